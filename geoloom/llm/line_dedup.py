@@ -171,7 +171,7 @@ def drops(docs: DataFrame) -> DataFrame:
 def _without_lines(docs: DataFrame) -> DataFrame:
     """Each row with `lost`, the ordinals of the lines that it loses (null: none)."""
     lost = durable(drops(docs.select("doc_id", "text")))
-    return docs.join(lost.withColumnRenamed("lines", "lost"), "doc_id", "left")
+    return docs.join(lost.withColumnRenamed("lines", "lost").hint("merge"), "doc_id", "left")
 
 
 def kept_text(text: bytes, lost: list[int] | None) -> tuple[bytes, int, int]:
@@ -208,5 +208,5 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with their texts less the repeated lines; a null text stays null."""
     lost = durable(drops(whole_texts(docs)))
     cut = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.coalesce(F.array_contains("__lost.lines", i), F.lit(False)), x)), lambda x: x.isNotNull()), "\n")
-    joined = docs.join(lost.select(F.col("doc_id").alias("__lost_id"), F.struct("lines").alias("__lost")), docs["doc_id"].cast("long") == F.col("__lost_id"), "left")
+    joined = docs.join(lost.select(F.col("doc_id").alias("__lost_id"), F.struct("lines").alias("__lost")).hint("merge"), docs["doc_id"].cast("long") == F.col("__lost_id"), "left")
     return joined.withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
