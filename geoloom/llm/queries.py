@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .common import documents
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licenses
@@ -14,6 +15,7 @@ from .line_dedup import dedup_lines
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe": lambda spark, sf_dir: round_trip(documents(spark, sf_dir)),
         "op5_exact_dedup": lambda spark, sf_dir: exact_dedup(documents(spark, sf_dir)),
         "op6_license_scan": lambda spark, sf_dir: scan_licenses(documents(spark, sf_dir)),
         "op7_line_dedup": lambda spark, sf_dir: dedup_lines(documents(spark, sf_dir), digest_only=True),
