@@ -11,6 +11,7 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .quality_rules import quality_rules
 from .simhash import near_duplicates
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": lambda spark, sf_dir: exact_dedup(documents(spark, sf_dir)),
         "op6_license_scan": lambda spark, sf_dir: scan_licenses(documents(spark, sf_dir)),
         "op7_line_dedup": lambda spark, sf_dir: dedup_lines(documents(spark, sf_dir), digest_only=True),
+        "op8_quality_rules": lambda spark, sf_dir: quality_rules(documents(spark, sf_dir)),
         "op10_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
     }
 
