@@ -11,17 +11,25 @@ from .common import documents
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
+from .mixing import mix
+from .pii import find_personal_data
 from .quality_rules import quality_rules
+from .sharding import shard_documents
 from .simhash import near_duplicates
+from .weak_labels import score_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": lambda spark, sf_dir: find_personal_data(documents(spark, sf_dir)),
         "op2_bpe": lambda spark, sf_dir: round_trip(documents(spark, sf_dir)),
+        "op3_sharding": lambda spark, sf_dir: shard_documents(documents(spark, sf_dir)),
+        "op4_mixing": lambda spark, sf_dir: mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op5_exact_dedup": lambda spark, sf_dir: exact_dedup(documents(spark, sf_dir)),
         "op6_license_scan": lambda spark, sf_dir: scan_licenses(documents(spark, sf_dir)),
         "op7_line_dedup": lambda spark, sf_dir: dedup_lines(documents(spark, sf_dir), digest_only=True),
         "op8_quality_rules": lambda spark, sf_dir: quality_rules(documents(spark, sf_dir)),
+        "op9_weak_labels": lambda spark, sf_dir: score_quality(documents(spark, sf_dir)),
         "op10_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
     }
 
