@@ -127,7 +127,6 @@ def _midpoint_links(f: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarr
     flips = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)])
     if most_bits < 2:
         flips = flips[:1] if most_bits < 1 else flips
-    us, vs = [], []
     mid = (f[:, None] ^ flips).ravel()
     who = np.repeat(np.arange(len(f)), len(flips))
     order = np.argsort(mid, kind="stable")
@@ -135,9 +134,23 @@ def _midpoint_links(f: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarr
     same = mid[1:] == mid[:-1]
     u, v = f[who[1:][same]], f[who[:-1][same]]
     good = np.bitwise_count(u ^ v) <= most_bits
-    us.append(u[good])
-    vs.append(v[good])
-    return np.concatenate(us), np.concatenate(vs)
+    return _spanning(f, who[1:][same][good], who[:-1][same][good])
+
+
+def _spanning(f: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One link for each fingerprint to the first of its part, instead of all links (u, v) between positions of f."""
+    root = np.arange(len(f))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, u, root[v])
+        np.minimum.at(low, v, root[u])
+        np.minimum.at(low, root, low)
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    far = np.flatnonzero(root != np.arange(len(f)))
+    return f[far], f[root[far]]
 
 
 def links(distinct: DataFrame, count: int, segments: int = SEGMENTS, most_bits: int = 2) -> DataFrame:
