@@ -60,7 +60,8 @@ def delta_lon(metres, lat0) -> Column:
 
 
 def clamp(x, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x within [low, high]; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def half_up(x) -> Column:

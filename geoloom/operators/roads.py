@@ -216,7 +216,7 @@ def route_start(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """Each seed's node nearest to the origin of those with two ways out, else of all."""
     out = ways.groupBy("seed_id", "node").agg(F.count(F.lit(1)).alias("n_ways"))
     rank = F.struct(F.when(F.coalesce("n_ways", F.lit(0)) >= 2, 0).otherwise(1).alias("a"), F.sqrt(F.col("x") * F.col("x") + F.col("z") * F.col("z")).alias("d"), F.col("node").alias("n"))
-    return nodes.join(out, ["seed_id", "node"], "left").groupBy("seed_id").agg(F.min_by(F.struct("node", "x", "z"), rank).alias("s")).select("seed_id", "s.*")
+    return nodes.join(out, ["seed_id", "node"], "left").groupBy("seed_id").agg(F.min_by(F.struct("node", "x", "z"), rank).alias("chosen")).select("seed_id", "chosen.*")
 
 
 def drivable_length(edges: DataFrame) -> DataFrame:

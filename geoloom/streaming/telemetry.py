@@ -42,7 +42,7 @@ def _accept(last: Column, at: Column, ms: int) -> Column:
 def cooldown_batch(requests: DataFrame, ms: int = 2500, key: str = "user_id") -> DataFrame:
     """Requests (key, ts, event_id) with `accepted`: the first of a client, and each that comes `ms` or more after the last
     accepted one. A fold over each client's requests in order; one client's requests are few beside the table."""
-    lists = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("at"), F.col("event_id").alias("event_id")))).alias("r"))
+    lists = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("event_id")))).alias("r"))
     zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<event_id:bigint,accepted:boolean>>").alias("out"))
 
     def step(acc, r):
