@@ -33,7 +33,7 @@ def polygon_measures(rings_: DataFrame) -> DataFrame:
 
 def clean_rings(rings_: DataFrame) -> DataFrame:
     """Rings without the repeated last vertex; those of at most 0.05 m2 become empty."""
-    a, b, r = F.get("ring", 0), F.element_at("ring", -1), F.col("ring")
+    a, b, r = F.get("ring", 0), F.try_element_at("ring", F.lit(-1)), F.col("ring")
     same = (F.size(r) > 1) & (F.sqrt((a["x"] - b["x"]) ** 2 + (a["z"] - b["z"]) ** 2) < 0.001)
     cut = rings_.withColumn("ring", F.when(same, F.slice(r, 1, F.size(r) - 1)).otherwise(r))
     return cut.withColumn("ring", F.when(F.abs(geo.ring_area(F.col("ring"))) > 0.05, F.col("ring")).otherwise(F.slice("ring", 1, 0)))
@@ -61,7 +61,7 @@ def merge_tile_fragments(fragments: DataFrame) -> DataFrame:
 
 def signature(ring) -> F.Column:
     """First and last vertex at six decimals, and the number of vertices."""
-    a, b = F.get(ring, 0), F.element_at(ring, -1)
+    a, b = F.get(ring, 0), F.try_element_at(ring, F.lit(-1))
     return F.concat(F.format_string("%.6f,%.6f;%.6f,%.6f;", a["lon"], a["lat"], b["lon"], b["lat"]), F.size(ring).cast("string"))
 
 

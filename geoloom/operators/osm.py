@@ -66,7 +66,7 @@ def polygons(elements: DataFrame) -> DataFrame:
     """elements (type, geometry, members) with `polygons`: a way of at least three finite points, closed; of a relation each
     way that is not inner as a polygon of its own."""
     path = lambda g: F.filter(F.transform(F.coalesce(g, F.array().cast("array<struct<lat:double,lon:double>>")), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))), lambda p: p["lon"].isNotNull() & p["lat"].isNotNull() & ~F.isnan(p["lon"]) & ~F.isnan(p["lat"]))
-    closed = lambda r: F.when(F.get(r, 0) == F.element_at(r, -1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+    closed = lambda r: F.when(F.get(r, 0) == F.try_element_at(r, F.lit(-1)), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
     own = path(F.col("geometry"))
     outer = F.filter(F.transform(F.filter(F.coalesce("members", F.array().cast(dict(elements.dtypes)["members"])), lambda m: (m["type"] == "way") & (F.coalesce(m["role"], F.lit("")) != "inner")), lambda m: path(m["geometry"])), lambda r: F.size(r) >= 3)
     none = F.array().cast("array<array<array<struct<lon:double,lat:double>>>>")

@@ -61,7 +61,7 @@ def merge_close(entries: Column, gap: float = 0.55) -> Column:
     """Entries (offset, ..., key) in order: one closer than `gap` to the last kept goes, unless it has a key: then it takes
     the last one's place."""
     def step(kept, e):
-        last = F.element_at(kept, -1)
+        last = F.try_element_at(kept, F.lit(-1))
         near = (F.size(kept) > 0) & (F.abs(last["offset"] - e["offset"]) < gap)
         return F.when(~near | (F.size(kept) == 0), F.concat(kept, F.array(e))).when(e["key"].isNotNull(), F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(e))).otherwise(kept)
 
@@ -71,7 +71,7 @@ def merge_close(entries: Column, gap: float = 0.55) -> Column:
 def compact(points: Column, gap: float = 0.3) -> Column:
     """Points (x, ..., z) less those closer than `gap` to the last kept one."""
     def step(kept, p):
-        last = F.element_at(kept, -1)
+        last = F.try_element_at(kept, F.lit(-1))
         far = F.sqrt((p["x"] - last["x"]) * (p["x"] - last["x"]) + (p["z"] - last["z"]) * (p["z"] - last["z"])) >= gap
         return F.when((F.size(kept) == 0) | far, F.concat(kept, F.array(p))).otherwise(kept)
 
@@ -132,10 +132,10 @@ def graph_entries(paths: DataFrame, refs: DataFrame, margin: float = 120.0) -> D
     kept = paths.withColumn("path", near).where(F.size("path") >= 2)
     steps = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.when(i == 1, 0.0).otherwise(_gap(F.get(F.col("path"), i - 2), F.get(F.col("path"), i - 1))))
     kept = kept.withColumn("steps", steps)
-    kept = kept.withColumn("offsets", F.aggregate("steps", F.array().cast("array<double>"), lambda acc, s: F.concat(acc, F.array(F.when(F.size(acc) == 0, s).otherwise(F.element_at(acc, -1) + s)))))
+    kept = kept.withColumn("offsets", F.aggregate("steps", F.array().cast("array<double>"), lambda acc, s: F.concat(acc, F.array(F.when(F.size(acc) == 0, s).otherwise(F.try_element_at(acc, F.lit(-1)) + s)))))
     lists = refs.groupBy("seed_id", "id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "connector", "at", "x", "z"))).alias("refs"))
     kept = kept.join(lists, ["seed_id", "id"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<struct<ref_pos:int,connector:string,at:double,x:double,z:double>>")))
-    path, offs, total = F.col("path"), F.col("offsets"), F.element_at("offsets", -1)
+    path, offs, total = F.col("path"), F.col("offsets"), F.try_element_at("offsets", F.lit(-1))
     plain = F.transform(F.sequence(F.lit(0), F.size(path) - 1), lambda i: F.struct(F.get(offs, i).alias("offset"), i.cast("int").alias("rank"), F.get(path, i)["x"].alias("x"), F.get(path, i)["z"].alias("z"), F.lit(None).cast("string").alias("key")))
 
     def nearest(c):
@@ -146,7 +146,7 @@ def graph_entries(paths: DataFrame, refs: DataFrame, margin: float = 120.0) -> D
         i = F.array_position(F.transform(F.slice(offs, 2, F.size(offs) - 1), lambda o: o >= target), True).cast("int")
         a, b, oa, ob = F.get(path, i - 1), F.get(path, i), F.get(offs, i - 1), F.get(offs, i)
         share = (target - oa) / F.greatest(F.lit(0.001), ob - oa)
-        end = F.element_at(path, -1)
+        end = F.try_element_at(path, F.lit(-1))
         return F.when(i > 0, F.struct((a["x"] + (b["x"] - a["x"]) * share).alias("x"), (a["z"] + (b["z"] - a["z"]) * share).alias("z"))).otherwise(F.struct(end["x"].alias("x"), end["z"].alias("z")))
 
     hit = F.transform("refs", lambda c: F.struct(c.alias("c"), nearest(c).alias("n")))

@@ -330,8 +330,8 @@ def _(t):
     return M.best_times(t["events"].select(F.col("user_id").alias("route"), F.col("value").alias("seconds")))
 
 
-@query("s4_request_cooldown", """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_ms(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
-f AS (SELECT user_id, event_id, at AS last, n, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, CASE WHEN o.at - f.last >= 43200000 THEN o.at ELSE f.last END, o.n, o.at - f.last >= 43200000 FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+@query("s4_request_cooldown", """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, ms AS last, n, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, CASE WHEN o.ms - f.last >= 43200000 THEN o.ms ELSE f.last END, o.n, o.ms - f.last >= 43200000 FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
 SELECT user_id, event_id, accepted FROM f""")
 def _(t):
     return M.cooldown_batch(t["events"].select("user_id", "event_id", "ts"), 43_200_000)

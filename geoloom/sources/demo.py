@@ -35,7 +35,7 @@ def demo_roads(seeds: DataFrame) -> DataFrame:
     """Grid roads both ways: seed_id, id, axis, offset, kind, width, speed_limit, n_points."""
     steps = F.floor(F.col("radius") * 2 / SPACING).cast("int")
     grid = F.transform(F.sequence(F.lit(0), steps), lambda k: half_up((k * SPACING - F.col("radius")) * 100) / 100.0)
-    full = F.when(F.element_at("grid", -1) < F.col("radius"), F.concat("grid", F.array("radius"))).otherwise(F.col("grid"))
+    full = F.when(F.try_element_at("grid", F.lit(-1)) < F.col("radius"), F.concat("grid", F.array("radius"))).otherwise(F.col("grid"))
     met = seeds.select("seed_id", "radius").withColumn("grid", grid).withColumn("grid", full)
     central = F.array_min(F.transform("grid", lambda o: F.struct(F.abs(o).alias("a"), F.array_position(F.col("grid"), o).alias("p"), o.alias("o"))))["o"]
     rows = met.withColumn("central", central).withColumn("n_points", F.size("grid")).select("seed_id", "central", "n_points", F.explode("grid").alias("offset"), F.array(F.lit("x"), F.lit("z")).alias("axes"))

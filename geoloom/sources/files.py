@@ -73,7 +73,7 @@ def position_list(text: Column, dim: int = 0) -> Column:
     n = F.floor(F.size(numbers) / d).cast("int")
     made = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: _vertex(F.get(numbers, i * d), F.get(numbers, i * d + 1), F.when(d == 3, F.get(numbers, i * d + 2)).otherwise(0.0)))).otherwise(F.array())
     kept = F.filter(made, lambda v: (F.abs(v["lat"]) <= 90) & (F.abs(v["lon"]) <= 180))
-    a, b = F.get(kept, 0), F.element_at(kept, -1)
+    a, b = F.get(kept, 0), F.try_element_at(kept, F.lit(-1))
     same = (F.abs(a["lon"] - b["lon"]) < 1e-10) & (F.abs(a["lat"] - b["lat"]) < 1e-10) & (F.abs(a["elevation"] - b["elevation"]) < 1e-4)
     return F.when((F.size(kept) > 3) & same, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
 
