@@ -123,46 +123,35 @@ def stitch_paths(fragments: DataFrame, reach: float = 12.0) -> DataFrame:
     return fragments.groupBy("id").applyInPandas(stitch, f"id {kind}, path array<struct<x:double,z:double>>")
 
 
-def graph_entries(paths: DataFrame, refs: DataFrame, margin: float = 120.0) -> DataFrame:
+def graph_entries(vertices: DataFrame, refs: DataFrame, margin: float = 120.0) -> DataFrame:
     """Each road's entries in order: its vertices near the seed and its connectors, close ones merged.
 
-    paths: seed_id, id, ord, radius and path (x, z); refs: seed_id, id, connector, at, x, z (the position, or null).
+    vertices: seed_id, id, ord, radius, pos, x, z; refs: seed_id, id, ref_pos, connector, at, x, z (the position, or null).
+    A connector within 24 m of the path stands at the nearest point of it, another at the fraction `at` of its length.
+    Vertices, spans and references all meet by (seed_id, id), so each side is shuffled once.
     """
-    near = F.filter("path", lambda p: F.sqrt(p["x"] * p["x"] + p["z"] * p["z"]) <= F.col("radius") + margin)
-    kept = paths.withColumn("path", near).where(F.size("path") >= 2)
-    steps = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.when(i == 1, 0.0).otherwise(_gap(F.get(F.col("path"), i - 2), F.get(F.col("path"), i - 1))))
-    kept = kept.withColumn("steps", steps)
-    kept = kept.withColumn("offsets", F.aggregate("steps", F.array().cast("array<double>"), lambda acc, s: F.concat(acc, F.array(F.when(F.size(acc) == 0, s).otherwise(F.try_element_at(acc, F.lit(-1)) + s)))))
-    lists = refs.groupBy("seed_id", "id").agg(F.array_sort(F.collect_list(F.struct("ref_pos", "connector", "at", "x", "z"))).alias("refs"))
-    kept = kept.join(lists, ["seed_id", "id"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<struct<ref_pos:int,connector:string,at:double,x:double,z:double>>")))
-    path, offs, total = F.col("path"), F.col("offsets"), F.try_element_at("offsets", F.lit(-1))
-    plain = F.transform(F.sequence(F.lit(0), F.size(path) - 1), lambda i: F.struct(F.get(offs, i).alias("offset"), i.cast("int").alias("rank"), F.get(path, i)["x"].alias("x"), F.get(path, i)["z"].alias("z"), F.lit(None).cast("string").alias("key")))
-
-    def nearest(c):
-        tried = F.transform(F.sequence(F.lit(1), F.size(path) - 1), lambda i: _on_segment(c, F.get(path, i - 1), F.get(path, i), F.get(offs, i - 1), i))
-        return F.when(c["x"].isNotNull(), F.array_min(tried))
-
-    def at_target(target):
-        i = F.array_position(F.transform(F.slice(offs, 2, F.size(offs) - 1), lambda o: o >= target), True).cast("int")
-        a, b, oa, ob = F.get(path, i - 1), F.get(path, i), F.get(offs, i - 1), F.get(offs, i)
-        share = (target - oa) / F.greatest(F.lit(0.001), ob - oa)
-        end = F.try_element_at(path, F.lit(-1))
-        return F.when(i > 0, F.struct((a["x"] + (b["x"] - a["x"]) * share).alias("x"), (a["z"] + (b["z"] - a["z"]) * share).alias("z"))).otherwise(F.struct(end["x"].alias("x"), end["z"].alias("z")))
-
-    hit = F.transform("refs", lambda c: F.struct(c.alias("c"), nearest(c).alias("n")))
-    kept = kept.withColumn("hit", hit)
-    joined = F.transform("hit", lambda h: F.when(h["n"]["distance"] < 24, F.struct(h["n"]["offset"].alias("offset"), (h["c"]["ref_pos"] + 1_000_000).cast("int").alias("rank"), h["n"]["x"].alias("x"), h["n"]["z"].alias("z"), F.concat(F.lit("connector:"), h["c"]["connector"]).alias("key"))).otherwise(F.struct((h["c"]["at"] * total).alias("offset"), (h["c"]["ref_pos"] + 1_000_000).cast("int").alias("rank"), at_target(h["c"]["at"] * total)["x"].alias("x"), at_target(h["c"]["at"] * total)["z"].alias("z"), F.concat(F.lit("connector:"), h["c"]["connector"]).alias("key"))))
-    merged = kept.withColumn("entries", F.array_sort(F.concat(plain, joined))).withColumn("entries", merge_close(F.col("entries")))
-    return merged.select("seed_id", "id", "ord", F.posexplode("entries").alias("entry", "e")).select("seed_id", "id", "ord", "entry", "e.offset", "e.x", "e.z", "e.key")
-
-
-def _gap(a: Column, b: Column) -> Column:
-    return F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["z"] - a["z"]) * (b["z"] - a["z"]))
-
-
-def _on_segment(c: Column, a: Column, b: Column, before: Column, i: Column) -> Column:
-    p = geo.project(c["x"], c["z"], a["x"], a["z"], b["x"], b["z"])
-    return F.struct(p["distance"].alias("distance"), i.alias("i"), p["x"].alias("x"), p["z"].alias("z"), (before + _gap(a, b) * p["t"]).alias("offset"))
+    near = vertices.where(F.sqrt(F.col("x") * F.col("x") + F.col("z") * F.col("z")) <= F.col("radius") + margin)
+    road = Window.partitionBy("seed_id", "id")
+    offs = cumulative_offsets(near).withColumn("n", F.count(F.lit(1)).over(road)).where("n >= 2")
+    w = road.orderBy("pos")
+    spans = offs.select("seed_id", "id", "ord", "pos", "total", F.col("x").alias("bx"), F.col("z").alias("bz"), F.col("offset").alias("till"), F.lag("x").over(w).alias("ax"), F.lag("z").over(w).alias("az"), F.lag("offset").over(w).alias("since")).where("ax is not null")
+    met = refs.join(spans, ["seed_id", "id"])
+    p = geo.project(*(F.col(c) for c in ("x", "z", "ax", "az", "bx", "bz")))
+    foot = F.struct(p["distance"].alias("distance"), p["x"].alias("x"), p["z"].alias("z"), (F.col("since") + (F.col("till") - F.col("since")) * p["t"]).alias("offset"))
+    target = F.col("at") * F.col("total")
+    share = (target - F.col("since")) / F.greatest(F.lit(0.001), F.col("till") - F.col("since"))
+    there = F.struct((F.col("ax") + (F.col("bx") - F.col("ax")) * share).alias("x"), (F.col("az") + (F.col("bz") - F.col("az")) * share).alias("z"))
+    best = met.groupBy("seed_id", "id", "ord", "ref_pos", "connector", target.alias("target")).agg(
+        F.min_by(foot, F.when(F.col("x").isNotNull(), F.struct(p["distance"].alias("d"), F.col("pos")))).alias("foot"),
+        F.min_by(there, F.when(F.col("till") >= target, F.col("pos"))).alias("there"), F.max_by(F.struct(F.col("bx").alias("x"), F.col("bz").alias("z")), "pos").alias("end"),
+    )
+    on = F.coalesce(F.col("foot.distance") < 24, F.lit(False))
+    pick = lambda c: F.when(on, F.col(f"foot.{c}")).otherwise(F.coalesce(F.col(f"there.{c}"), F.col(f"end.{c}"))).alias(c)
+    # of equal offsets vertices come before connectors
+    joined = best.select("seed_id", "id", "ord", F.when(on, F.col("foot.offset")).otherwise(F.col("target")).alias("offset"), (F.col("ref_pos") + 1_000_000).alias("rank"), pick("x"), pick("z"), F.concat(F.lit("connector:"), "connector").alias("key"))
+    plain = offs.select("seed_id", "id", "ord", "offset", F.col("pos").alias("rank"), "x", "z", F.lit(None).cast("string").alias("key"))
+    lists = plain.unionByName(joined).groupBy("seed_id", "id", "ord").agg(F.array_sort(F.collect_list(F.struct("offset", "rank", "x", "z", "key"))).alias("entries"))
+    return lists.select("seed_id", "id", "ord", F.posexplode(merge_close(F.col("entries"))).alias("entry", "e")).select("seed_id", "id", "ord", "entry", "e.offset", "e.x", "e.z", "e.key")
 
 
 def build_road_graph(roads: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -69,7 +69,8 @@ class Tables:
         return v.withColumn("path", F.transform("path", lambda p: F.struct(p["x"].alias("x"), p["z"].alias("z"))))
 
     def entries(self) -> DataFrame:
-        return R.graph_entries(self.local_roads(), self.refs())
+        v = T.to_local(self["road_vertices"], self.seeds).select("seed_id", "id", "ord", "radius", "pos", "x", "z")
+        return R.graph_entries(v, self.refs())
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return R.build_road_graph(self["road_base"], self.entries())

@@ -49,8 +49,8 @@ def test_world_tiles(spark):
 
 def road_table(spark, paths, kind="residential", one_way="both"):
     roads = spark.createDataFrame([(1, f"r{i}", i, kind, one_way, 6.0, None) for i in range(len(paths))], "seed_id int, id string, ord int, kind string, one_way string, width double, name string")
-    rows = [(1, f"r{i}", i, 500.0, [(float(x), float(z)) for x, z in p]) for i, p in enumerate(paths)]
-    return roads, spark.createDataFrame(rows, "seed_id int, id string, ord int, radius double, path array<struct<x:double,z:double>>")
+    rows = [(1, f"r{i}", i, 500.0, k, float(x), float(z)) for i, p in enumerate(paths) for k, (x, z) in enumerate(p)]
+    return roads, spark.createDataFrame(rows, "seed_id int, id string, ord int, radius double, pos int, x double, z double")
 
 
 def no_refs(spark, rows=()):
