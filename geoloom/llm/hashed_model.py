@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, byte_texts, chunks, joined, to_batch
+from .common import arrow_schema, byte_texts, chunks, durable, joined, to_batch
 
 BITS, GRAM = 15, 5
 #: The training sample: at most so many labelled documents (the smallest by a hash of doc_id), none longer than so many bytes.
@@ -69,21 +69,23 @@ def train(texts: list[bytes], targets: np.ndarray, steps: int = STEPS) -> np.nda
     return w
 
 
-def fit(labelled: DataFrame, classes: int) -> np.ndarray:
-    """Weights from a bounded sample of labelled (doc_id, text, target array<double>): TRAIN_DOCS rows of at most
-    TRAIN_BYTES bytes, chosen by a hash of doc_id; one task trains, and the weights alone reach the driver."""
-    fair = labelled.where(F.octet_length("text") <= TRAIN_BYTES)
-    ids = fair.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    sample = fair.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS)
+def fit(docs: DataFrame, targets: DataFrame, classes: int) -> np.ndarray:
+    """Weights from a bounded sample: of the documents (doc_id, text) with a target (doc_id, target array<double>) and at most
+    TRAIN_BYTES bytes, TRAIN_DOCS by a hash of doc_id. Ids and lengths alone are joined and sorted; the texts of the bounded
+    list of ids are then read by a broadcast of that list. One task trains, and the weights alone reach the driver."""
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    fair = docs.where("doc_id is not null").select("doc_id", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= TRAIN_BYTES)
+    chosen = durable(fair.select("doc_id").join(targets, "doc_id").dropDuplicates(["doc_id"]).orderBy(*order).limit(TRAIN_DOCS))
+    sample = docs.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(TRAIN_DOCS)
     schema = "weights binary"
-    arrow = arrow_schema(labelled, schema)
+    arrow = arrow_schema(docs, schema)
 
     def run(batches):
-        texts, targets = [], []
+        texts, aims = [], []
         for b in batches:
             texts += byte_texts(b["text"])
-            targets += b["target"].to_pylist()
-        yield to_batch({"weights": [train(texts, np.array(targets, float).reshape(-1, classes)).astype(np.float32).tobytes()]}, arrow)
+            aims += b["target"].to_pylist()
+        yield to_batch({"weights": [train(texts, np.array(aims, float).reshape(-1, classes)).astype(np.float32).tobytes()]}, arrow)
 
     got = sample.select("text", "target").coalesce(1).mapInArrow(run, schema).collect()
     return np.frombuffer(got[0]["weights"], np.float32).reshape(classes, -1).astype(float) if got else np.zeros((classes, (1 << BITS) + 1))

@@ -100,8 +100,8 @@ def score_quality(docs: DataFrame) -> DataFrame:
     # at most 3 ** len(LABELLERS) patterns, whatever the corpus
     _, _, good = estimate({r["votes"]: r["n"] for r in seen.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()})
     table = spark.createDataFrame(list(good.items()), "votes string, posterior double")
-    labelled = with_votes_beside(src).join(F.broadcast(table), "votes").withColumn("target", F.array(F.col("posterior"), 1 - F.col("posterior")))
-    shared = spark.sparkContext.broadcast((fit(labelled, 2).astype(np.float32), good))
+    targets = seen.where("doc_id is not null").join(F.broadcast(table), "votes").select("doc_id", F.array(F.col("posterior"), 1 - F.col("posterior")).alias("target"))
+    shared = spark.sparkContext.broadcast((fit(src, targets, 2).astype(np.float32), good))
     schema = "doc_id long, votes string, posterior double, score double, kept boolean"
     arrow = arrow_schema(docs, schema)
 
@@ -115,15 +115,3 @@ def score_quality(docs: DataFrame) -> DataFrame:
             yield to_batch({"doc_id": b["doc_id"], "votes": marks, "posterior": p, "score": s, "kept": (p + s) / 2 >= KEEP_AT}, arrow)
 
     return src.mapInArrow(run, schema)
-
-
-def with_votes_beside(docs: DataFrame) -> DataFrame:
-    """doc_id, text and votes, for training."""
-    schema = "doc_id long, text string, votes string"
-    arrow = arrow_schema(docs, schema)
-
-    def run(batches):
-        for b in batches:
-            yield to_batch({"doc_id": b["doc_id"], "text": b["text"], "votes": [votes(t) for t in byte_texts(b["text"])]}, arrow)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
