@@ -29,7 +29,7 @@ def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
     src = whole_texts(docs)
     k = len(DOMAINS)
     target = F.array(*[F.when(F.col("domain") == i, 1.0).otherwise(0.0) for i in range(k)])
-    weights = fit(src.join(domain_of(labels), "doc_id").withColumn("target", target), k)
+    weights = fit(src, domain_of(labels).select("doc_id", target.alias("target")), k)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     schema = f"doc_id long, tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}"
     arrow = arrow_schema(docs, schema)
@@ -112,8 +112,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most_copies: float = 1.0) -> DataFrame:
-    """The documents, all columns, as often as the mix takes them; by default none twice, the scarcest domain whole."""
-    taken = mix(docs, labels, targets, most_copies).where("doc_id is not null and copies > 0").select(F.col("doc_id").alias("__mix_id"), F.col("copies").alias("__copies")).distinct()
+    """The documents, all columns, as often as the mix takes them; by default none twice, the scarcest domain whole.
+
+    Rows with one doc_id are taken alike, by the largest of their copies; rows without a doc_id are in no mix."""
+    taken = mix(docs, labels, targets, most_copies).where("doc_id is not null and copies > 0").select(F.col("doc_id").alias("__mix_id"), "copies").groupBy("__mix_id").agg(F.max("copies").alias("__copies"))
     out = docs.join(taken, docs["doc_id"].cast("long") == F.col("__mix_id"))
     if most_copies > 1:
         out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))

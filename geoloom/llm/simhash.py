@@ -8,6 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_schema, byte_texts, chunks, durable, join_skewed, map_batches, parts_for, to_batch, whole_texts
 from .components import components
@@ -208,8 +209,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most_bits: int = 2, segme
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 3, most_bits: int = 2) -> DataFrame:
-    """The documents, all columns, of which one of each component stays: the row with the smallest doc_id, once."""
+    """The documents, all columns, of which one of each component stays: the smallest doc_id, once if rows repeat it.
+
+    Rows without a doc_id stand for no group, so they go.
+    """
     kept = near_duplicates(docs, shingle, most_bits).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    numbered = docs.where(docs["doc_id"].isNotNull())
-    out = numbered.join(kept, numbered["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
-    return out
+    out = docs.where(docs["doc_id"].isNotNull()).join(kept, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return out.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(docs.columns)
