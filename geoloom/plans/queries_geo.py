@@ -12,7 +12,7 @@ from ..operators import tiling as T
 from ..operators import world as W
 from ..sources import cache as C
 from ..sources import demo as D
-from .registry import DEG, LOCAL, RAD, hav, lx, lz, query, r, rd, rounded, tx, ty, unit, with_
+from .registry import DEG, RAD, fnv, hav, query, r, rd, rounded, tx, ty, unit, with_
 
 BOX = f"(radius / {RAD} / {DEG})", f"(radius / ({RAD} * cos(lat * {DEG})) / {DEG})"
 
@@ -70,6 +70,15 @@ def _(t):
     return drivable(t["road_base"]).select("id", "seed_id", "kind")
 
 
+@query("b10_osm_polygons", with_("osm") + "SELECT id, CASE WHEN n_points < 3 THEN 0 WHEN id % 3 = 0 THEN 2 ELSE 1 END AS n_polygons, CASE WHEN n_points >= 3 THEN n_points + 1 END AS n_vertices FROM osm")
+def _(t):
+    o = t["osm"]
+    ring = F.transform(F.filter(F.sequence(F.lit(1), F.lit(5)), lambda i: i <= F.col("n_points")), lambda i: F.struct((F.col("id") % 50 + i * i).cast("double").alias("lat"), (F.col("id") % 90 - i).cast("double").alias("lon")))
+    member = lambda role: F.struct(F.lit("way").alias("type"), F.lit(role).alias("role"), F.col("id").alias("ref"), ring.alias("geometry"))
+    el = o.select("id", F.when(F.col("id") % 3 == 0, "relation").otherwise("way").alias("type"), ring.alias("geometry"), F.array(member("outer"), member("inner"), member("")).alias("members"))
+    return O.polygons(el).select("id", F.size("polygons").alias("n_polygons"), F.size(F.get(F.get("polygons", 0), 0)).alias("n"), "polygons").select("id", "n_polygons", F.when(F.col("n_polygons") > 0, F.col("n")).alias("n_vertices"))
+
+
 @query("b11_clean_rings", with_("bv") + "SELECT seed_id, id, CASE WHEN abs(a) > 0.05 THEN 4 ELSE 0 END AS n FROM (SELECT seed_id, id, sum(x * nz - nx * z) / 2 AS a FROM (SELECT *, lead(x) OVER w AS nx, lead(z) OVER w AS nz FROM bv WINDOW w AS (PARTITION BY seed_id, id ORDER BY pos)) WHERE nx IS NOT NULL GROUP BY seed_id, id)")
 def _(t):
     return B.clean_rings(B.rings(t.rings())).select("seed_id", "id", F.size("ring").alias("n"))
@@ -239,6 +248,39 @@ def _(t):
     return t.seeds.select("seed_id", n.alias("grid_size"), p["rings"].alias("rings"), p["sectors"].alias("sectors"))
 
 
+@query("e20_terrarium_decode", "SELECT p_partkey, (p_partkey % 256) * 256 + (p_size % 256) + (p_partkey * 7 % 256) / 256e0 - 32768 AS elevation FROM part")
+def _(t):
+    return t["part"].select("p_partkey", resolve.terrarium(F.col("p_partkey") % 256, F.col("p_size") % 256, F.col("p_partkey") * 7 % 256).alias("elevation"))
+
+
+@query("e23_streaming_range", with_("seeds") + "SELECT seed_id, greatest(600e0, radius * 2.25e0) AS orbit_base, least(900e0, greatest(480e0, radius * 0.8e0)) AS fly_detail, least(620e0, greatest(340e0, radius * 0.55e0)) AS walk_detail FROM seeds")
+def _(t):
+    at = lambda mode: resolve.streaming_range(F.lit(mode), F.col("radius"))
+    return t.seeds.select("seed_id", at("orbit")["base"].alias("orbit_base"), at("fly")["detail"].alias("fly_detail"), at("walk")["detail"].alias("walk_detail"))
+
+
+@query("e27_route_seed", with_("seeds") + f"SELECT seed_id, {fnv("concat(printf('%.5f:%.5f:', lon, lat), CAST(CAST(radius AS BIGINT) AS VARCHAR))")} AS route_seed FROM seeds")
+def _(t):
+    from ..operators.network import route_seed
+
+    return route_seed(t.seeds)
+
+
+@query("e28_compact_properties", with_("buildings") + "SELECT id, 1 + CASE WHEN height IS NULL THEN 0 ELSE 1 END + CASE WHEN levels IS NULL THEN 0 ELSE 1 END AS n FROM buildings")
+def _(t):
+    p = F.create_map(F.lit("kind"), F.col("kind"), F.lit("height"), F.col("height").cast("string"), F.lit("levels"), F.col("levels").cast("string"))
+    return W.compact_properties(t["buildings"].select("id", p.alias("properties"))).select("id", F.size("properties").alias("n"))
+
+
+@query("e30_parse_position_list", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END AS n, CASE c_custkey % 4 WHEN 0 THEN 139.5e0 WHEN 1 THEN 120e0 WHEN 2 THEN 0e0 END AS lon FROM customer")
+def _(t):
+    from ..sources.files import position_list
+
+    texts = parse.lookup({0: "35.5 139.5 12 35.6 139.6 13", 1: "120 35 7 100 200 8", 2: "1 0 5 2 1 5 3 2 5 1 0 5", 3: ""}, (F.col("c_custkey") % 4).cast("int"))
+    v = position_list(texts, 3)
+    return t["customer"].select("c_custkey", F.size(v).alias("n"), F.get(v, 0)["lon"].alias("lon"))
+
+
 @query("a6_demo_city", with_("seeds", more=f"""k AS (SELECT seed_id, radius, -radius + i * 54e0 AS gx, -radius + j * 54e0 AS gz, i, j FROM seeds, range(40) a(i), range(40) b(j) WHERE i * 54 <= 2 * radius AND j * 54 <= 2 * radius),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY i, j) AS INTEGER) AS n FROM k WHERE sqrt(gx * gx + gz * gz) <= radius - 38 AND abs(gx) >= 13 AND abs(gz) >= 13 AND NOT (gx > 50 AND gx < 180 AND gz > -180 AND gz < -50)),
 d AS (SELECT *, concat('demo-building-', CAST(n - 1 AS VARCHAR)) AS id FROM n)""") + f"""SELECT seed_id, id, {rd('gx + (' + unit("concat(id, ':x')") + ' - 0.5e0) * 9')} AS x, {rd('20 + ' + unit("concat(id, ':w')") + ' * 18')} AS width, CASE WHEN n % 5 = 0 THEN {rd('18 + ' + unit("concat(id, ':h')") + ' * 54')} END AS height,

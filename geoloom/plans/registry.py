@@ -106,8 +106,12 @@ def hav(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"(2 * {RAD} * asin(sqrt(pow(sin(({lat2} - {lat1}) * {DEG} / 2), 2) + cos({lat1} * {DEG}) * cos({lat2} * {DEG}) * pow(sin(({lon2} - {lon1}) * {DEG} / 2), 2))))"
 
 
+def fnv(text: str) -> str:
+    return f"(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296))"
+
+
 def unit(text: str) -> str:
-    return f"(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) / 4294967295e0)"
+    return f"({fnv(text)} / 4294967295e0)"
 
 
 def rd(x: str, digits: int = 4) -> str:
