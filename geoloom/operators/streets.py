@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geo
 from ..functions.geo import seeded_unit
 from .roads import DRIVABLE, edges_with_points, node_degree, node_ends
 from .tiling import world_tile

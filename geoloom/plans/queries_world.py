@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -15,8 +14,8 @@ from ..operators import world as W
 from ..operators.storage import durable
 from ..sources import files as I
 from ..streaming import telemetry as M
-from .queries_roads import BUILT, DIST, EPN, NEAREST, built, entry_graph, matched
-from .registry import DEG, RAD, elev, lx, lz, query, r, rd, rounded, with_
+from .queries_roads import BUILT, EPN, NEAREST, built, entry_graph, matched
+from .registry import DEG, RAD, elev, query, r, rd, rounded, with_
 
 
 @query("a7_demo_elevation", with_("grid") + f"SELECT seed_id, row, col, {rd('height')} AS height FROM grid")
