@@ -9,7 +9,6 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from geoloom.llm import components, exact_dedup, line_dedup, mixing, sharding, simhash, weak_labels
 from .conftest import SCHEMA, edge_rows, prose
