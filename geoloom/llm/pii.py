@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
@@ -370,9 +369,15 @@ def said(spans: list[tuple[str, int, int]]) -> str:
 
 
 def fitted(docs: DataFrame) -> Tagger:
-    """A tagger whose examples stand in words of a bounded sample: SAMPLE_DOCS documents, the smallest by a hash of doc_id."""
-    sample = docs.select("doc_id", F.substring("text", 1, 2000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    return train([r["text"] for r in sample.select("text").collect()])
+    """A tagger whose examples stand in words of a bounded sample: SAMPLE_DOCS documents, the smallest by a hash of doc_id.
+
+    The ids are chosen first, so that every task sends at most SAMPLE_DOCS ids, and texts come of the chosen ones alone.
+    """
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(*order).limit(SAMPLE_DOCS)
+    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.substring("text", 1, 2000).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    rows = sample.limit(2 * SAMPLE_DOCS).collect()
+    return train([r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["text"]))])
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
