@@ -48,7 +48,7 @@ def _sums(rows: DataFrame, most_copies: float) -> tuple[np.ndarray, np.ndarray]:
     numbers from partial sums."""
     k = len(DOMAINS)
     a = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
-    free = ((F.col("rate") > 0) & (F.col("rate") < most_copies)).cast("double")
+    free = ((F.col("rate") > F.col("least_rate")) & (F.col("rate") < most_copies)).cast("double")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     got = rows.agg(*[F.sum(a[i] * F.col("rate")) for i in range(k)], *[F.sum(a[i] * a[j] * free) for i, j in pairs]).first()
     gram = np.zeros((k, k))
@@ -57,41 +57,47 @@ def _sums(rows: DataFrame, most_copies: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x or 0.0 for x in got[:k]]), gram
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most_copies: float = MOST_COPIES, total: float | None = None) -> DataFrame:
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most_copies: float = MOST_COPIES, total: float | None = None, keep_clean: bool = False) -> DataFrame:
     """rows (doc_id, tokens, p_*) with `rate`: 0 <= rate <= most_copies, by projected-gradient least squares.
 
     Minimised: the squared gap between the domains' expected token totals and targets * total. A step moves every rate
     along its gradient, scaled by the inverse Gram matrix of the documents that are free to move, and projects it on the
     bounds; a step that widens the gap is halved. It needs a few sums alone, so the rates never leave the executors.
     total: tokens of the mix; None: as many as the scarcest domain allows without taking it more than once on average.
+    keep_clean: documents to which no domain is likelier than clean have a rate of 1 at least, the clean tokens make up
+    their share of the mix, and the other domains' targets are upper bounds, which a scarce domain misses.
     """
     k = len(DOMAINS)
     share = np.array([targets[d] for d in DOMAINS], float)
     share /= share.sum()
     a = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
-    state = rows.withColumn("rate", F.lit(1.0))
-    sums, gram = _sums(state, most_copies + 1)
+    held = F.col("p_clean") >= F.greatest(*[F.col(f"p_{d}") for d in DOMAINS]) if keep_clean else F.lit(False)
+    state = rows.withColumn("rate", F.lit(1.0)).withColumn("least_rate", F.when(held, 1.0).otherwise(0.0))
+    sums, gram = _sums(state.withColumn("least_rate", F.when(held, 1.0).otherwise(-1.0)), most_copies + 1)
     if not sums.any():
-        return state
-    if total is None:
+        return state.drop("least_rate")
+    moves = [i for i in range(k) if not (keep_clean and DOMAINS[i] == "clean")]
+    if total is None and keep_clean:
+        total = sums[DOMAINS.index("clean")] / share[DOMAINS.index("clean")]
+    elif total is None:
         total = min(sums[i] / share[i] for i in range(k) if share[i] > 0 and sums[i] > 0)
-    want = share * total
+    want = np.minimum(share * total, sums) if keep_clean else share * total
     length = 1.0
     for step in range(1, STEPS + 1):
-        gap = sums - want
+        gap, part = (sums - want)[moves], gram[np.ix_(moves, moves)]
         if np.abs(gap).max() <= TOLERANCE * total or length < 1e-3:
             break
-        g = np.linalg.pinv(gram + np.eye(k) * 1e-9 * max(np.trace(gram), 1.0), hermitian=True) @ gap * length
-        moved = F.col("rate") - sum((a[i] * F.lit(float(g[i])) for i in range(1, k)), a[0] * F.lit(float(g[0])))
-        trial = state.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(float(most_copies)), moved)))
+        g = np.linalg.pinv(part + np.eye(len(moves)) * 1e-9 * max(np.trace(part), 1.0), hermitian=True) @ gap * length
+        moved = F.col("rate") - sum((a[i] * F.lit(float(x)) for i, x in zip(moves[1:], g[1:])), a[moves[0]] * F.lit(float(g[0])))
+        trial = state.withColumn("rate", F.greatest(F.col("least_rate"), F.least(F.lit(float(most_copies)), moved)))
         if step % WRITE_EVERY == 0:
             trial = durable(trial)
         new_sums, new_gram = _sums(trial, most_copies)
-        if np.linalg.norm(new_sums - want) < np.linalg.norm(gap):
+        if np.linalg.norm((new_sums - want)[moves]) < np.linalg.norm(gap):
             state, sums, gram, length = trial, new_sums, new_gram, min(1.0, 2 * length)
         else:
             length /= 2
-    return state
+    return state.drop("least_rate")
 
 
 def copies_of(rate: F.Column, doc_id: F.Column) -> F.Column:
@@ -100,22 +106,23 @@ def copies_of(rate: F.Column, doc_id: F.Column) -> F.Column:
     return F.floor(rate + draw).cast("long")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most_copies: float = MOST_COPIES, total: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most_copies: float = MOST_COPIES, total: float | None = None, keep_clean: bool = False) -> DataFrame:
     """doc_id, tokens, the posterior of each domain, rate and copies of each document in the mix.
 
     The classifier learns from `labels` (doc_id, quality, toxic) on a bounded sample (hashed_model.TRAIN_DOCS); it reads
     every whole text. A null or empty text has no tokens, so its rate stays 1. Without labels all domains are equally
     likely. Repeated rows count each time; an empty table gives no rows; other columns are ignored.
     """
-    rows = fit_rates(durable(memberships(docs, labels)), targets, most_copies, total)
+    rows = fit_rates(durable(memberships(docs, labels)), targets, most_copies, total, keep_clean)
     return rows.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most_copies: float = 1.0) -> DataFrame:
-    """The documents, all columns, as often as the mix takes them; by default none twice, the scarcest domain whole.
+    """The documents, all columns, as often as the mix takes them; by default none twice. Clean documents
+    stay, whatever there is of the other domains, and all documents do without labels; low and toxic ones fill their shares.
 
     Rows with one doc_id are taken alike, by the largest of their copies; rows without a doc_id are in no mix."""
-    taken = mix(docs, labels, targets, most_copies).where("doc_id is not null and copies > 0").select(F.col("doc_id").alias("__mix_id"), "copies").groupBy("__mix_id").agg(F.max("copies").alias("__copies"))
+    taken = mix(docs, labels, targets, most_copies, keep_clean=True).where("doc_id is not null and copies > 0").select(F.col("doc_id").alias("__mix_id"), "copies").groupBy("__mix_id").agg(F.max("copies").alias("__copies"))
     out = docs.join(taken, docs["doc_id"].cast("long") == F.col("__mix_id"))
     if most_copies > 1:
         out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
