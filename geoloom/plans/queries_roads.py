@@ -172,22 +172,22 @@ def _(t):
     return S.nearest_road_indexed(t.positions(), e).select("seed_id", "point", r("distance", 3))
 
 
-def walks(t, max_steps: int):
+def walks(t):
     nodes, edges = entry_graph(t)
     nodes, edges = durable(nodes), durable(edges)
     ways = R.adjacency(edges)
     starts = N.walk_starts(t.seeds, nodes, R.route_start(nodes, ways))
-    return durable(N.seeded_walks(starts, ways, max_steps)), nodes
+    return durable(N.seeded_walks(starts, ways)), nodes
 
 
 @query("g3_seeded_walks")
 def _(t):
-    return rounded(walks(t, 24)[0], "length", digits=3)
+    return rounded(walks(t)[0], "length", digits=3)
 
 
 @query("g4_drive_routes")
 def _(t):
-    w, nodes = walks(t, 24)
+    w, nodes = walks(t)
     routes, points = N.drive_routes(w, nodes, t.seeds)
     n = points.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n_points"))
     return routes.join(n, "seed_id").select("seed_id", "route", "n_steps", r("walked", 2), r("spacing", 3), "n_points")
