@@ -2,205 +2,186 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .bloom import drop_rows, row_keys
 from .common import arrow_schema, byte_texts, chunks, durable, to_batch, whole_texts
 
 SYMBOLS = b"#*$%&|<>"
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
-#: Symbol classes of the model: word end, a-z (accents folded), digit, other letter, sentence mark, symbol, other.
-CLASSES = 32
-#: Languages are dealt to this many models by a hash of `lang`; with CLASSES ** 3 grams each, a model table has at most
-#: SLOTS * CLASSES ** 3 = 2,097,152 entries (32 MB), whatever the corpus.
-SLOTS = 64
-#: Half width of a language's band, in robust standard deviations of its documents and of single symbols.
-BAND_DOCS, BAND_SYMBOLS = 20.0, 8.0
-#: Distinct words that a task counts before it turns them into grams, and words that a scorer remembers.
-MOST_WORDS = 200_000
-BIN = 1000
-
-
-class _Fold(dict):
-    def __missing__(self, c: int) -> str:
-        ch = chr(c)
-        base = unicodedata.normalize("NFD", ch)[0].lower()
-        if "a" <= base <= "z":
-            n = ord(base) - 96
-        elif ch.isdigit():
-            n = 27
-        elif ch.isalpha():
-            n = 28
-        elif ch in ".,;:!?'\"()-":
-            n = 29
-        elif ch in "#*$%&|<>":
-            n = 30
-        else:
-            n = 31
-        self[c] = chr(n)
-        return chr(n)
-
-
-_FOLD = _Fold({0: "\0"})
-
-
-def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The gram codes of words one after the other (two word ends before each, one after), and how many each has."""
-    text = "\0\0" + "\0\0\0".join([w.replace(b"\0", b" ").decode().translate(_FOLD) for w in words]) + "\0"
-    s = np.frombuffer(text.encode("latin-1"), np.uint8).astype(np.int32)
-    ends = np.flatnonzero(np.concatenate([(s[:-2] == 0) & (s[1:-1] == 0) & (s[2:] != 0), [False, False]]))
-    code = (s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:]
-    start = ends
-    stop = np.append(start[1:] - 3, len(s) - 3) + 1  # the last gram of a word predicts its end
-    n = stop - start
-    at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    return code[at], n
-
-
-def slot_of(lang) -> F.Column:
-    return F.pmod(F.xxhash64(F.coalesce(lang.cast("string"), F.lit(""))), F.lit(SLOTS)).cast("int")
+NO_LETTER = bytes(c for c in range(128) if not chr(c).isalnum())
+#: Bytes of a gram. Words are joined by one blank, so grams cross word ends; GRAM - 1 line ends stand before a text.
+GRAM = 5
+#: The most frequent grams, at most so many, are broadcast to the scorers; all others meet the model in a shuffle.
+HEAD_GRAMS = 1 << 18
+#: A document may lie so many robust deviations of its language below and above the median, and NOISE / sqrt(its letters) more.
+LOW, HIGH, NOISE = 8.0, 6.0, 2.0
+#: Least deviation (nats a letter), and documents at which a language's deviation is doubled, as so few say little of it.
+LEAST_SPREAD, FEW_DOCS = 0.02, 20
+#: Grams that a task holds before it sends what it has counted.
+MOST_HELD = 4_000_000
+BIN = 2000
+
+
+def language(lang: Column) -> Column:
+    """The language of a tag: its first two or three letters ("en-GB": en), "und" for null or anything else. So there are at
+    most 26 ** 2 + 26 ** 3 + 1 = 18,253 languages, and tables with a row for each are broadcast."""
+    found = F.lower(F.regexp_extract(F.coalesce(lang.cast("string"), F.lit("")), r"^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
+    return F.when(found == "", "und").otherwise(found)
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of texts one after the other, packed into 64-bit numbers, and how many each text has: one for each byte of
+    its words joined by blanks, and one for the end; none without a word."""
+    words = [b" ".join(t.split()) for t in texts]
+    n = np.array([len(w) + 1 if w else 0 for w in words], np.int64)
+    data = np.frombuffer(b"".join(b"\n" * (GRAM - 1) + w + b" " for w in words if w), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.int64), n
+    key = np.zeros(len(data) - GRAM + 1, np.int64)
+    for k in range(GRAM):
+        key = key << 8 | data[k : len(data) - GRAM + 1 + k]
+    full = n[n > 0]
+    starts = np.cumsum(full + GRAM - 1) - (full + GRAM - 1)
+    at = np.repeat(starts - (np.cumsum(full) - full), full) + np.arange(full.sum())
+    return key[at], n
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """slot, code, n: how often each gram of each language's words occurs in the whole corpus, summed by Spark.
-
-    docs: slot and text. Tasks count words first, so what they send follows the number of tasks and their grams.
-    """
-    schema = "slot int, code int, n long"
+    """lang, gram, n: how often each gram occurs in each language of the whole corpus. Tasks count first, Spark sums."""
+    schema = "lang string, gram long, n long"
     arrow = arrow_schema(docs, schema)
 
     def run(batches):
-        held: dict[int, Counter] = defaultdict(Counter)
+        held: dict[str, list] = defaultdict(list)
 
         def flush():
-            out = {"slot": [], "code": [], "n": []}
-            for slot, words in held.items():
-                if words:
-                    code, n = trigrams(list(words))
-                    total = np.bincount(code, weights=np.repeat(np.fromiter(words.values(), np.float64), n), minlength=CLASSES**3)
-                    seen = np.flatnonzero(total)
-                    out["slot"].append(np.full(len(seen), slot, np.int32))
-                    out["code"].append(seen.astype(np.int32))
-                    out["n"].append(total[seen].astype(np.int64))
+            for lang, parts in held.items():
+                key, n = _merged(parts)
+                yield to_batch({"lang": [lang] * len(key), "gram": key, "n": n}, arrow)
             held.clear()
-            return to_batch({k: np.concatenate(v) if v else np.zeros(0, np.int32) for k, v in out.items()}, arrow)
 
         for b in batches:
-            for slot, t in zip(b["slot"].to_pylist(), byte_texts(b["text"])):
-                held[slot].update(t.split())
-                if len(held[slot]) > MOST_WORDS:
-                    yield flush()
-        yield flush()
-
-    return docs.mapInArrow(run, schema).groupBy("slot", "code").agg(F.sum("n").alias("n"))
-
-
-class KneserNey:
-    """An interpolated modified Kneser-Ney trigram model per slot, kept as sorted arrays of gram hashes and log values."""
-
-    def __init__(self, slot: np.ndarray, code: np.ndarray, n: np.ndarray) -> None:
-        c = CLASSES
-        key3 = slot.astype(np.int64) * c**3 + code
-        order = np.argsort(key3)
-        key3, n3 = key3[order], n[order].astype(np.float64)
-        # continuation counts: how many different symbols stand before a gram
-        key2, n2 = np.unique((key3 // c**3) * c**2 + key3 % c**2, return_counts=True)
-        key1, n1 = np.unique((key2 // c**2) * c + key2 % c, return_counts=True)
-        slots = np.unique(key1 // c)
-        p1, _, _ = self._level(key1, n1.astype(float), c, lambda k: np.full(len(k), 1.0 / c), c)
-        low1 = lambda k: self._find(key1, p1, (k // c**2) * c + k % c)
-        p2, ctx2, g2 = self._level(key2, n2.astype(float), c**2, low1, c)
-        low2 = lambda k: self._find(key2, p2, (k // c**3) * c**2 + k % c**2)
-        p3, ctx3, g3 = self._level(key3, n3, c**3, low2, c)
-        self.levels = [self._stored(k, np.log(p)) for k, p in ((key1, p1), (key2, p2), (key3, p3))]
-        self.backoff = [self._stored(k, np.log(g)) for k, g in ((ctx2, g2), (ctx3, g3))]
-        self.floor = float(np.log(1e-6))
-        self.slots = slots
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        return values[np.searchsorted(keys, wanted)]
-
-    @staticmethod
-    def _level(key: np.ndarray, n: np.ndarray, per_slot: int, lower, c: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of the seen grams of one order, and the weight of each context's lower order."""
-        slot = key // per_slot
-        context, at = np.unique(key // c, return_inverse=True)
-        total = np.bincount(at, weights=n)
-        top = int(slot.max()) + 1
-        of = [np.bincount(slot[n == i], minlength=top).astype(float) for i in (1, 2, 3, 4)]
-        y = of[0] / np.maximum(of[0] + 2 * of[1], 1)
-        d = [np.clip(i - (i + 1) * y * of[i] / np.maximum(of[i - 1], 1), 0.05, 0.9 * i) for i in (1, 2, 3)]
-        cut = np.minimum(np.choose(np.minimum(n, 3).astype(int) - 1, [x[slot] for x in d]), 0.9 * n)
-        gamma = np.bincount(at, weights=cut) / total
-        return np.maximum(n - cut, 0) / total[at] + gamma[at] * lower(key), context, gamma
+            langs, raw = b["lang"].to_pylist(), byte_texts(b["text"])
+            for a, z in chunks(raw):
+                by: dict[str, list[bytes]] = defaultdict(list)
+                for lang, t in zip(langs[a:z], raw[a:z]):
+                    by[lang].append(t)
+                for lang, texts in by.items():
+                    held[lang].append(np.unique(grams(texts)[0], return_counts=True))
+                if sum(len(p[0]) for parts in held.values() for p in parts) > MOST_HELD:
+                    for lang, parts in held.items():
+                        held[lang] = [_merged(parts)]
+                    if sum(len(p[0]) for parts in held.values() for p in parts) > MOST_HELD // 2:
+                        yield from flush()
+        yield from flush()
+
+    return docs.mapInArrow(run, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _discounts(level: DataFrame) -> DataFrame:
+    """A row per language: how much is taken off grams seen once, twice, and more often."""
+    n = [F.count_if(F.col("n") == i).cast("double") for i in (1, 2, 3, 4)]
+    c = level.groupBy("lang").agg(*[x.alias(f"n{i + 1}") for i, x in enumerate(n)])
+    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
+    cut = lambda i: F.greatest(F.lit(0.05), F.least(F.lit(0.9 * i), i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0))))
+    return c.select("lang", *[cut(i).alias(f"cut{i}") for i in (1, 2, 3)])
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """lang, gram, n, p, held: interpolated modified Kneser-Ney probabilities of the counted grams' last bytes, and those
+    that documents are scored by: a gram that the corpus has once is foretold by its own document alone, so it is scored as
+    one that is not seen.
+
+    Shorter grams are counted by the different bytes that stand before them. Every join and window works on keys of at most
+    256 rows, so no language or byte is hot.
+    """
+    levels = {GRAM: counts}
+    for k in range(GRAM - 1, 0, -1):
+        levels[k] = durable(levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    p = None
+    for k in range(1, GRAM + 1):
+        cut = F.when(F.col("n") == 1, F.col("cut1")).when(F.col("n") == 2, F.col("cut2")).otherwise(F.col("cut3"))
+        x = levels[k].join(F.broadcast(_discounts(levels[k])), "lang").select("lang", "gram", "n", cut.alias("cut"), F.shiftright("gram", 8).alias("context"))
+        w = Window.partitionBy("lang", "context")
+        x = x.withColumns({"all": F.sum("n").over(w), "lost": F.sum("cut").over(w)})
+        if p is None:
+            x = x.withColumn("lower", F.lit(1 / 256))
+        else:
+            lower = p.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            x = x.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(lower, ["lang", "suffix"])
+        known = (F.col("n") - F.col("cut") + F.col("lost") * F.col("lower")) / F.col("all")
+        p = x.select("lang", "gram", "n", known.alias("p"), F.when(F.col("n") == 1, F.col("lost") * F.col("lower") / F.col("all")).otherwise(known).alias("held"))
+    return durable(p)
+
+
+def _count_bin(n: Column) -> Column:
+    """Counts in order, in at most 4,500 bins: exact below 1,024, of equal ratios above."""
+    return F.when(n < 1024, n).otherwise(1024 + F.floor(F.log2(n / 1024) * 64)).cast("long")
+
+
+def head_of(model: DataFrame, most: int | None = None) -> tuple[dict, DataFrame]:
+    """The most frequent grams, at most `most`, as arrays of each language, and the table of all others."""
+    most = HEAD_GRAMS if most is None else most
+    bins = sorted(((r["bin"], r["rows"]) for r in model.groupBy(_count_bin(F.col("n")).alias("bin")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    least, held = 1 << 62, 0
+    for b, rows in bins:
+        held += rows
+        if held > most:
+            break
+        least = b
+    top = model.where(_count_bin(F.col("n")) >= least).select("lang", "gram", "held").toPandas()
+    tables = {lang: HashArrays(one["gram"].to_numpy(), -np.log(one["held"].to_numpy())) for lang, one in top.groupby("lang")}
+    return tables, model.where(_count_bin(F.col("n")) < least)
+
+
+class HashArrays:
+    """Grams as sorted arrays of their hashes, with values; the first bits of a hash say where to look for it."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray) -> None:
+        h = self._hash(gram)
+        order = np.argsort(h)
+        self.hashes, self.values = h[order], value[order].astype(np.float32)
+        self.bits = max(1, int(len(h)).bit_length())
+        self.starts = np.searchsorted(self.hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     @staticmethod
-    def _hash(key: np.ndarray) -> np.ndarray:
-        return key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    def _stored(self, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = self._hash(key)
-        order = np.argsort(h)
-        return h[order], value[order].astype(np.float32)
-
-    def _look(self, table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
-        """The stored values, NaN where the gram is unseen."""
-        h = self._hash(key)
-        at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
-        return np.where(table[0][at] == h, table[1][at], np.nan)
-
-    def log_prob(self, slot: int, code: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of grams: seen ones as stored, others through their contexts' lower orders."""
-        c = CLASSES
-        key = np.int64(slot) * c**3 + code.astype(np.int64)
-        out = self._look(self.levels[2], key)
-        gone = np.flatnonzero(np.isnan(out))
-        if len(gone):
-            k, s = key[gone], np.int64(slot)
-            b3 = np.nan_to_num(self._look(self.backoff[1], k // c))
-            two = s * c**2 + k % c**2
-            p = self._look(self.levels[1], two)
-            lost = np.isnan(p)
-            if lost.any():
-                b2 = np.nan_to_num(self._look(self.backoff[0], two[lost] // c))
-                p[lost] = b2 + np.nan_to_num(self._look(self.levels[0], s * c + two[lost] % c), nan=self.floor)
-            out[gone] = b3 + p
+    def _hash(gram: np.ndarray) -> np.ndarray:
+        """An odd factor permutes 64-bit numbers, so different grams have different hashes."""
+        return gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def look(self, gram: np.ndarray) -> np.ndarray:
+        """The grams' values, NaN where they are not held."""
+        h = self._hash(gram)
+        top = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, stop = self.starts[top], self.starts[top + 1]
+        out = np.full(len(h), np.nan, np.float32)
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            here = self.hashes[at[left]]
+            hit = here == h[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (here < h[left])]
+            at[left] += 1
+            left = left[at[left] < stop[left]]
         return out
 
 
-def fit(docs: DataFrame) -> KneserNey | None:
-    """The model of a corpus (slot, text); at most SLOTS * CLASSES ** 3 counts reach the driver. None without a word."""
-    got = gram_counts(docs).toPandas()
-    return KneserNey(got["slot"].to_numpy(), got["code"].to_numpy(), got["n"].to_numpy()) if len(got) else None
-
-
-class WordScorer:
-    """Negative log probability of words under a slot's model, remembered by word."""
-
-    def __init__(self, model: KneserNey) -> None:
-        self.model, self.known = model, defaultdict(dict)
-
-    def __call__(self, slot: int, words: list[bytes]) -> tuple[float, int]:
-        known = self.known[slot]
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) > MOST_WORDS:
-                known.clear()
-                new = list(set(words))
-            code, n = trigrams(new)
-            nll = -np.add.reduceat(self.model.log_prob(slot, code), np.cumsum(n) - n)
-            known.update(zip(new, zip(nll.tolist(), n.tolist())))
-        got = [known[w] for w in words]
-        return sum(g[0] for g in got), sum(g[1] for g in got)
-
-
 def repeated_words(lists: list[list[bytes]], window: int = 5) -> list[int]:
-    """For each list of words, how many stand in windows that the list has twice or more."""
+    """For each list of words, how many stand in windows that the list has twice or more. Hashes propose repeated windows,
+    the words themselves confirm them."""
     sizes = np.array([len(x) for x in lists])
     h = np.fromiter((hash(w) for x in lists for w in x), np.int64).view(np.uint64)
     starts = np.cumsum(sizes) - sizes
@@ -211,90 +192,126 @@ def repeated_words(lists: list[list[bytes]], window: int = 5) -> list[int]:
         key = key * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - window + 1 + k]
     doc = np.repeat(np.arange(len(lists)), sizes)
     key = (key ^ (key >> np.uint64(31))) + doc[: len(key)].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    whole = doc[: len(key)] == doc[window - 1 :]
-    at = np.flatnonzero(whole)
-    _, back, n = np.unique(key[at], return_inverse=True, return_counts=True)
-    again = at[n[back] > 1]
+    at = np.flatnonzero(doc[: len(key)] == doc[window - 1 :])
+    order = np.argsort(key[at], kind="stable")
+    near = key[at][order]
+    same = near[1:] == near[:-1]
+    again = np.sort(at[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]])
+    if len(again):
+        said = [(d, *lists[d][i - s : i - s + window]) for i, d, s in zip(again.tolist(), doc[again].tolist(), starts[doc[again]].tolist())]
+        times = Counter(said)
+        again = again[[times[x] > 1 for x in said]]
     step = np.zeros(len(h) + 1, np.int64)
     np.add.at(step, again, 1)
     np.add.at(step, again + window, -1)
-    covered = np.append(np.cumsum(step[:-1]) > 0, False).astype(np.int64)
-    ends = starts + sizes
-    total = np.concatenate([[0], np.cumsum(covered)])
-    return (total[ends] - total[starts]).tolist()
+    total = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
+    return (total[starts + sizes] - total[starts]).tolist()
 
 
-RULES = "doc_id long, slot int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nll double, n_grams long"
+RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+SCORES = ("n_letters", "nll", "rare", "times")
 
 
-def measured(docs: DataFrame, model: KneserNey | None) -> DataFrame:
-    """The rules' numbers and the model's total negative log probability of each row (doc_id, slot, text)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    arrow = arrow_schema(docs, RULES)
+def measured(docs: DataFrame, head: dict) -> DataFrame:
+    """The rules' numbers of each row (doc_id, lang, text, __key1, __key2), the number of its letters and digits (bytes), the
+    negative log probability of its grams in the head, and its other grams with their numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(head)
+    schema = f"doc_id long, lang string, __key1 long, __key2 long, {', '.join(f'{k} long' for k in RULES)}, n_letters long, nll double, rare array<long>, times array<long>"
+    arrow = arrow_schema(docs, schema)
+
+    def scored(raw: list[bytes], langs: list[str], out: dict) -> None:
+        of: dict[str, list[int]] = defaultdict(list)
+        for i, lang in enumerate(langs):
+            of[lang].append(i)
+        got: list = [None] * len(raw)
+        for lang, rows in of.items():
+            key, n = grams([raw[i] for i in rows])
+            cost = shared.value[lang].look(key) if lang in shared.value else np.full(len(key), np.nan, np.float32)
+            sums = np.concatenate([[0.0], np.cumsum(np.nan_to_num(cost), dtype=np.float64)])
+            ends = np.cumsum(n)
+            lost = np.flatnonzero(np.isnan(cost))
+            cuts = np.searchsorted(lost, np.concatenate([ends - n, ends[-1:]]))
+            for j, i in enumerate(rows):
+                rare, times = np.unique(key[lost[cuts[j] : cuts[j + 1]]], return_counts=True) if cuts[j + 1] > cuts[j] else ((), ())
+                got[i] = (len(raw[i].translate(None, NO_LETTER)), float(sums[ends[j]] - sums[ends[j] - n[j]]), rare, times)
+        for k, name in enumerate(SCORES):
+            out[name] += [g[k] for g in got]
 
     def run(batches):
-        score = WordScorer(shared.value) if shared.value else None
         for b in batches:
-            raw, slots = byte_texts(b["text"]), b["slot"].to_pylist()
-            out = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nll", "n_grams")}
+            raw, langs = byte_texts(b["text"]), b["lang"].to_pylist()
+            out: dict[str, list] = {k: [] for k in (*RULES, *SCORES)}
             for a, z in chunks(raw):
                 lists = [t.split() for t in raw[a:z]]
                 out["n_repeat_words"] += repeated_words(lists)
-                for t, words, slot in zip(raw[a:z], lists, slots[a:z]):
+                for t, words in zip(raw[a:z], lists):
                     lines = [x for x in t.split(b"\n") if x.strip()]
-                    nll, grams = score(slot, words) if words else (0.0, 0)
                     out["n_words"].append(len(words))
                     out["word_chars"].append(len(t.translate(None, WHITE_SPACE).decode()))
                     out["n_symbols"].append(len(t) - len(t.translate(None, SYMBOLS)))
                     out["n_dup_lines"].append(len(lines) - len(set(lines)))
-                    out["nll"].append(nll)
-                    out["n_grams"].append(grams)
-            yield to_batch(out | {"doc_id": b["doc_id"], "slot": b["slot"]}, arrow)
+                scored(raw[a:z], langs[a:z], out)
+            yield to_batch(out | {k: b[k] for k in ("doc_id", "lang", "__key1", "__key2")}, arrow)
 
-    return docs.mapInArrow(run, RULES)
+    return docs.mapInArrow(run, schema)
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """slot, middle, spread: a language's median log perplexity and its robust deviation, from counts of fine bins (at
-    most SLOTS times the bins of the possible range come together)."""
-    x = F.floor(F.col("nll") / F.col("n_grams") * BIN).cast("long")
-    long_enough = rows.where("n_words >= 10 and n_grams > 0").groupBy("slot", x.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    seen = long_enough.toPandas()
-    found = []
-    for slot, one in seen.groupby("slot"):
-        value, weight = one["bin"].to_numpy() / BIN, one["n"].to_numpy()
-        middle = _weighted_median(value, weight)
-        found.append((int(slot), float(middle), float(1.4826 * _weighted_median(np.abs(value - middle), weight))))
-    return rows.sparkSession.createDataFrame(found, "slot int, middle double, spread double")
+def _median(rows: DataFrame, value: str, weight: str) -> DataFrame:
+    """lang and m, the weighted median of whole numbers. A language has few of them: the bins of the possible range."""
+    w = Window.partitionBy("lang")
+    run = F.sum(weight).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = rows.groupBy("lang", value).agg(F.sum(weight).alias(weight))
+    return summed.withColumns({"run": run, "all": F.sum(weight).over(w)}).where(F.col("run") * 2 >= F.col("all")).groupBy("lang").agg(F.min(value).alias("m"))
+
 
+def bands(rows: DataFrame) -> DataFrame:
+    """lang, low, high: the log perplexities that documents may have, less the allowance for their length.
 
-def _weighted_median(value: np.ndarray, weight: np.ndarray) -> float:
-    order = np.argsort(value, kind="stable")
-    total = np.cumsum(weight[order])
-    return value[order][np.searchsorted(total, total[-1] / 2)]
+    rows: lang, x (log perplexity), n_letters and word_chars of documents that the base rules keep. Documents alike in all of
+    these count once, so that copies don't make up the middle of a language.
+    """
+    top = int(BIN * 40)
+    x = F.least(F.lit(top), F.floor(F.col("x") * BIN)).cast("long")
+    once = rows.select("lang", x.alias("bin"), "n_letters", "word_chars").distinct()
+    n = durable(once.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")))
+    middle = _median(n, "bin", "n").withColumnRenamed("m", "middle")
+    far = n.join(F.broadcast(middle), "lang").withColumn("far", F.abs(F.col("bin") - F.col("middle")))
+    of = far.groupBy("lang").agg(F.sum("n").alias("docs"), F.max("middle").alias("middle")).join(_median(far, "far", "n"), "lang")
+    spread = F.greatest(F.lit(LEAST_SPREAD), F.col("m") * 1.4826 / BIN) * (1 + FEW_DOCS / F.col("docs"))
+    at = (F.col("middle") + 0.5) / BIN
+    return of.select("lang", (at - LOW * spread).alias("low"), (at + HIGH * spread).alias("high"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The rules' numbers, x (log perplexity), base_failed, kept and the row_keys() of each row."""
+    src = whole_texts(docs, language(docs["lang"]).alias("lang"), *[c.alias(k) for k, c in row_keys(docs).items()])
+    head, others = head_of(kneser_ney(durable(gram_counts(src.select("lang", "text")))))
+    rows = durable(measured(src, head).withColumn("row", F.monotonically_increasing_id()))
+    rare = rows.where(F.size("rare") > 0).select("lang", "row", F.explode(F.arrays_zip("rare", "times")).alias("g")).select("lang", "row", "g.rare", "g.times")
+    cost = rare.join(others.select("lang", F.col("gram").alias("rare"), "held"), ["lang", "rare"]).groupBy("row").agg(F.sum(-F.log("held") * F.col("times")).alias("more"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    x = F.when(F.col("n_words") > 0, (F.col("nll") + F.coalesce("more", F.lit(0.0))) / F.greatest(F.col("n_letters"), F.lit(1)))
+    known = durable(rows.drop("rare", "times").join(cost, "row", "left").withColumns({"x": x, "base_failed": failed}).drop("row", "nll", "more"))
+    found = bands(known.where("not base_failed"))
+    slack = F.lit(NOISE) / F.sqrt(F.greatest(F.col("n_letters"), F.lit(1)))
+    inside = F.coalesce((F.col("x") >= F.col("low") - slack) & (F.col("x") <= F.col("high") + slack), F.lit(True))
+    return known.join(F.broadcast(found), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The rules' numbers, base_failed and the verdict of each document, with its perplexity.
 
-    A document is kept if it does not fail the base rules and its log perplexity lies within its language's band: the
-    median, give or take BAND_DOCS robust deviations of documents and BAND_SYMBOLS / sqrt(symbols). The model and the
-    bands come from all documents. A null or empty text has no words, fails the base rules and has no perplexity (null).
-    A null lang is a language of its own. Repeated rows count each time; an empty table gives no rows; other columns are
-    ignored.
+    A document is kept if it does not fail the base rules and its log perplexity lies within its language's band (bands())
+    or at most NOISE / sqrt(letters) outside. The log perplexity is the negative log probability of all bytes, by letter or
+    digit: marks between and behind words add to it and don't thin it out. The model is counted on all whole texts of a
+    language. A null or empty
+    text has no words, fails the base rules and has no perplexity (null). Documents without a language tag form one, "und".
+    Repeated rows count each time; an empty table gives no rows; other columns are ignored.
     """
-    src = whole_texts(docs, slot_of(docs["lang"]).alias("slot"))
-    rows = durable(measured(src, fit(src.select("slot", "text"))))
-    x = F.when(F.col("n_grams") > 0, F.col("nll") / F.col("n_grams"))
-    width = F.lit(BAND_DOCS) * F.col("spread") + F.lit(BAND_SYMBOLS) / F.sqrt("n_grams")
-    inside = F.coalesce(F.abs(x - F.col("middle")) <= width, F.lit(True))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = rows.join(F.broadcast(bands(rows)), "slot", "left").withColumn("base_failed", failed)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.exp(x).alias("perplexity"))
+    return _judged(docs).select("doc_id", *RULES, "base_failed", "kept", F.when(F.col("x").isNotNull(), F.exp(F.least(F.lit(700.0), F.col("x")))).alias("perplexity"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, that quality_rules() keeps; rows without a doc_id go, as no verdict can be joined to them."""
-    kept = quality_rules(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
+    """The documents, all columns, that quality_rules() keeps. Each row is judged by its own text and language, so one
+    without a doc_id stays or goes like any other, and of rows that share a doc_id each has its own verdict."""
+    return drop_rows(docs, durable(_judged(docs).where("not kept").select("__key1", "__key2").distinct()))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -169,19 +170,20 @@ def test_expressions():
 def brute_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    covered = {k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 5)} if len(words) < 400 else None
+    times = Counter(windows)
+    covered = {k for i, w in enumerate(windows) if times[w] > 1 for k in range(i, i + 5)}
     seen, again = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
             again += line in seen
             seen.add(line)
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, None if covered is None else len(covered)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered)
 
 
 def test_rules(edge_docs, no_docs):
     for r in quality_rules.quality_rules(edge_docs).collect():
         want = brute_rules({row[0]: row[1] or "" for row in edge_rows()}[r["doc_id"]])
-        assert tuple(r)[1:5] == want[:4] and want[4] in (None, r["n_repeat_words"])
+        assert tuple(r)[1:6] == want
         assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) and not (r["base_failed"] and r["kept"])
     assert quality_rules.quality_rules(no_docs).collect() == []
 
@@ -192,17 +194,69 @@ def test_repeated_words_in_random_lists():
     assert quality_rules.repeated_words(lists) == [brute_rules(b" ".join(x).decode())[4] for x in lists]
 
 
-def test_model_is_a_distribution_and_junk_goes(spark):
-    r = np.random.default_rng(3)
-    code = np.unique(r.integers(0, quality_rules.CLASSES**3, 4000))
-    model = quality_rules.KneserNey(np.zeros(len(code), int), code, r.integers(1, 9, len(code)))
-    seen = np.unique(code // quality_rules.CLASSES)[:20]
-    sums = [np.exp(model.log_prob(0, c * quality_rules.CLASSES + np.arange(quality_rules.CLASSES))).sum() for c in seen]
-    assert np.allclose(sums, 1, atol=0.02)
-    import random as rn
+def brute_grams(text):
+    w = " ".join(text.split()).encode()
+    padded = b"\n" * 4 + w + b" "
+    return [padded[i : i + 5] for i in range(len(w) + 1)] if w else []
 
-    rnd, syllables = rn.Random(1), "the er ing tion an on ed sh ble rea".split()
-    text = lambda: " ".join("".join(rnd.choices(syllables, k=rnd.randint(1, 3))) for _ in range(150))
+
+def brute_model(texts):
+    """p(last byte | the bytes before) of every gram in the texts, and that of grams seen once as if they weren't, by
+    dictionaries and recursion."""
+    levels = {5: Counter(g for t in texts for g in brute_grams(t))}
+    for k in (4, 3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cuts = {}
+    for k, level in levels.items():
+        n = [sum(c == i for c in level.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / max(n[0] + 2 * n[1], 1)
+        cuts[k] = [max(0.05, min(0.9 * i, i - (i + 1) * y * n[i] / max(n[i - 1], 1))) for i in (1, 2, 3)]
+
+    def p(g, held=False):
+        if not g:
+            return 1 / 256
+        k = len(g)
+        same = [c for x, c in levels[k].items() if x[:-1] == g[:-1]]
+        cut = [cuts[k][min(c, 3) - 1] for c in same]
+        own = 0 if held and k == 5 and levels[k][g] == 1 else levels[k][g] - cuts[k][min(levels[k][g], 3) - 1]
+        return (own + sum(cut) * p(g[1:])) / sum(same)
+
+    return {g: p(g) for g in levels[5]}, {g: p(g, True) for g in levels[5]}
+
+
+def test_model_equals_brute_force(spark, monkeypatch):
+    texts = [prose(12, s) for s in range(6)] + ["é日 x  y\tz", "", "a"]
+    docs = spark.createDataFrame([(i, t, "en-GB" if i % 2 else "EN") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    want, held = brute_model(texts)
+    got = quality_rules.kneser_ney(quality_rules.gram_counts(docs.select(quality_rules.language(docs["lang"]).alias("lang"), "text"))).collect()
+    assert {r["lang"] for r in got} == {"en"} and {r["gram"].to_bytes(5, "big"): r["p"] for r in got} == pytest.approx(want)
+    letters = lambda t: sum(b >= 128 or chr(b).isalnum() for b in t.encode())
+    log = {i: sum(-np.log(held[g]) for g in brute_grams(t)) / letters(t) for i, t in enumerate(texts) if t}
+    for most in (1 << 18, 40, 0):  # whatever stands in the broadcast head, the perplexities are the same
+        monkeypatch.setattr(quality_rules, "HEAD_GRAMS", most)
+        rows = quality_rules.quality_rules(docs).collect()
+        assert {r["doc_id"]: np.log(r["perplexity"]) for r in rows if r["perplexity"]} == pytest.approx(log, rel=1e-4)
+
+
+def noise(rnd, n=150):
+    return " ".join("".join(rnd.choices("the er ing tion an on ed sh ble rea".split(), k=rnd.randint(1, 3))) for _ in range(n))
+
+
+def test_bands_reject_both_sides_of_each_language(spark):
+    rnd = random.Random(1)
+    rows = [(i, noise(rnd), "en") for i in range(200)] + [(300 + i, "".join(rnd.choices("xqzjkvw8日Ж", k=9)) + " " + noise(rnd), "fr") for i in range(3)]
     junk = " ".join("".join(rnd.choices("xqzjkvw8日Ж%", k=9)) for _ in range(150))
-    docs = spark.createDataFrame([(i, text(), "en") for i in range(200)] + [(999, junk, "en")], "doc_id long, text string, lang string")
-    assert [r["doc_id"] for r in quality_rules.quality_rules(docs).where("not kept").collect()] == [999]
+    marked = " ".join(w + rnd.choice(["***", "###", "$$$"]) for w in noise(rnd).split())
+    # different words all along, of which most bytes are foretold
+    dull = " ".join("theeringtionanonedshblereatheeringtionanonedshblerea" * 3 + x for x in "a b c d e f g h i j k l m n o p q r s t".split())
+    rows += [(998, marked, "en"), (999, junk, "en"), (997, dull, "en"), (996, junk, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality_rules.quality_rules(docs).where("not kept").collect()} == {997, 998, 999}
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    rnd = random.Random(2)
+    good, bad = noise(rnd), "few words"
+    rows = [(i, noise(rnd), "en") for i in range(40)] + [(None, good, "en"), (None, bad, "en"), (7, bad, "en"), (8, None, "en"), (50, good, "en"), (50, good, "en")]
+    kept = quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([r for r in rows if r[1] not in (bad, None)], key=str)
