@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -34,7 +35,7 @@ IDENTIFIERS = {
 }
 #: How free a use each label leaves: 1 for any use with notice, 0 for none.
 FREEDOM = {"mit": 1.0, "apache-2": 1.0, "bsd": 1.0, "isc": 1.0, "zlib": 1.0, "unlicense": 1.0, "cc0": 1.0, "cc-by": 0.9, "mpl-2": 0.7, "cc-by-sa": 0.6, "lgpl": 0.6, "gpl-2": 0.4, "gpl-3": 0.4, "agpl-3": 0.3, "cc-by-nc": 0.2, "all-rights-reserved": 0.0}
-TAG, TAG_WORDS = b"spdx-license-identifier:", "spdx license identifier"
+TAG, TAG_WORDS = "spdx-license-identifier:", "spdx license identifier"
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 #: Upper case to lower case, every ASCII byte that is in no word to a blank; bytes of longer code points stay.
@@ -43,12 +44,15 @@ _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
-def postfix(expression: str) -> list[str] | None:
-    """Shunting yard: the expression in postfix order, `with` binding closest and `or` least; None if it is malformed."""
+def postfix(expression: str, start: int = 0, stop: int | None = None) -> list[str] | None:
+    """Shunting yard: the expression in postfix order, `with` binding closest and `or` least; None if it is malformed.
+
+    It is read from start on, token by token, to the second of two operands without an operator or to stop."""
     out: list[str] = []
     held: list[str] = []
     operand = True
-    for token in _TOKEN.findall(expression):
+    for found in _TOKEN.finditer(expression, start, len(expression) if stop is None else stop):
+        token = found[0]
         word = token.lower()
         if word in _BINDS:
             if operand:
@@ -79,10 +83,10 @@ def postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
-def evaluate(expression: str) -> tuple[set[str], float] | None:
+def evaluate(expression: str, start: int = 0, stop: int | None = None) -> tuple[set[str], float] | None:
     """The labels that an expression names and its freedom: `or` leaves the freer side, `and` the stricter, `with` an
     exception that keeps its licence's labels and loosens it a little. None if it is malformed or names nothing known."""
-    order = postfix(expression)
+    order = postfix(expression, start, stop)
     if order is None:
         return None
     stack: list[tuple[set[str], float]] = []
@@ -111,27 +115,33 @@ def scanner():
     def scan(text: bytes) -> tuple[int, list[int], set[str], set[str], float]:
         words = text.translate(_WORDS).split()
         line = f" {b' '.join(words).decode('latin-1')} "
-        starts, base, labels, scores, tagged = [], set(), set(), [], False
+        places, base, labels, scores, tagged = [], set(), set(), [], False
         for end, phrase in every.iter(line):
             if phrase in BASE_PHRASES:
-                starts.append(line.count(" ", 0, end - len(phrase) - 1))
+                places.append(end - len(phrase) - 1)
                 base.add(BASE_PHRASES[phrase])
                 labels.add(BASE_PHRASES[phrase])
             elif phrase == TAG_WORDS:
                 tagged = True
             else:
                 labels.add(MORE_PHRASES[phrase])
+        starts = []
+        if places:  # blanks before a place: the number of the word that begins there
+            blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
+            starts = np.searchsorted(blanks, places).tolist()
         scores += [FREEDOM[x] for x in labels]
         if tagged:
-            lower = text.lower()
+            # a tag's expression ends with its line or at the next tag, so no stretch is read twice
+            lower = text.lower().decode("latin-1")
             at = lower.find(TAG)
             while at >= 0:
-                stop = lower.find(b"\n", at)
-                got = evaluate(lower[at + len(TAG) : stop if stop >= 0 else len(lower)].decode("utf-8", "replace"))
+                after = lower.find(TAG, at + 1)
+                stop = lower.find("\n", at, after if after >= 0 else len(lower))
+                got = evaluate(lower, at + len(TAG), stop if stop >= 0 else after if after >= 0 else len(lower))
                 if got:
                     labels |= got[0]
                     scores.append(got[1])
-                at = lower.find(TAG, at + 1)
+                at = after
         return len(words), starts, base, labels, min(scores, default=0.0)
 
     return scan

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, assembled, filter_of, parted
 from .common import arrow_schema, byte_texts, durable, join_skewed, to_batch, whole_texts
 
 STRIP = b" \t\n\x0b\x0c\r"
 MIN_POINTS = 10
-#: Bits of the once-seen filter of one segment of the hash space, and hashes that set a bit each.
-SEGMENT_BITS, N_HASHES = 1 << 23, 4
-#: Suspected hashes up to which the twice-seen filter (16 bits for each) is broadcast; beyond, hashes shuffle to it.
-MOST_BROADCAST = 2_000_000
+#: Bits of the once-seen filter of one segment of the hash space (segments grow in number with the corpus), and of the
+#: twice-seen filter with all its segments, 16 MB. With more than about 13 million repeated keys, more lines are suspected in
+#: vain, which costs shuffle and changes no result; larger corpora take a larger filter.
+SEGMENT_BITS, TWICE_BITS = 1 << 23, 1 << 27
 FLUSH = 1_000_000
 
 
@@ -40,29 +40,6 @@ def _hash(key: bytes) -> int:
     return xxhash.xxh3_64_intdigest(key)
 
 
-class Bloom:
-    """A Bloom filter over 64-bit hashes, filled and asked for arrays of them."""
-
-    def __init__(self, bits: int, data: bytes | None = None) -> None:
-        self.bits = bits
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else np.frombuffer(data, np.uint8)
-
-    def _at(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
-        a, b = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-        for i in range(N_HASHES):
-            yield ((a + np.uint64(i) * b) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(self.bits)
-
-    def add(self, hashes: np.ndarray) -> None:
-        for at in self._at(hashes):
-            np.bitwise_or.at(self.data, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for at in self._at(hashes):
-            found &= (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return found
-
-
 def line_hashes(docs: DataFrame, segments: int) -> DataFrame:
     """segment, hash, twice: each key's hash once per task, before any shuffle; twice if two documents of the task have it."""
     schema = "segment int, hash long, twice boolean"
@@ -89,89 +66,78 @@ def line_hashes(docs: DataFrame, segments: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def suspects(hashes: DataFrame, segments: int) -> DataFrame:
-    """The hashes that the once-seen filter of their segment had already, or that came as seen twice."""
-    schema = "hash long"
+def twice_seen(hashes: DataFrame, segments: int) -> Bloom:
+    """The twice-seen filter, of TWICE_BITS bits in all: each segment's hashes go through a once-seen filter of their own,
+    and those that it had already, or that came as seen twice, into the segment's slice of the twice-seen filter."""
+    schema = "slice int, bits binary"
     arrow = arrow_schema(hashes, schema)
+    width = TWICE_BITS // segments
 
     def run(batches):
         once: dict[int, Bloom] = {}
+        again: dict[int, Bloom] = {}
         for b in batches:
             seg, h, twice = b["segment"].to_numpy(), b["hash"].to_numpy().view(np.uint64), b["twice"].to_numpy(zero_copy_only=False)
-            for s in np.unique(seg):
+            for s in np.unique(seg).tolist():
                 mine = seg == s
                 u, at, n = np.unique(h[mine], return_inverse=True, return_counts=True)
                 flagged = np.zeros(len(u), bool)
                 np.logical_or.at(flagged, at, twice[mine])
-                seen = once.setdefault(int(s), Bloom(SEGMENT_BITS))
-                again = seen.has(u) | flagged | (n > 1)
+                seen = once.setdefault(s, Bloom(SEGMENT_BITS))
+                again.setdefault(s, Bloom(width)).add(u[seen.has(u) | flagged | (n > 1)])
                 seen.add(u)
-                yield to_batch({"hash": u[again].view(np.int64)}, arrow)
+        for s, f in again.items():
+            yield to_batch({"slice": [s], "bits": [f.data.tobytes()]}, arrow)
 
-    return hashes.repartition(segments, "segment").mapInArrow(run, schema).distinct()
+    return assembled(hashes.repartition(segments, "segment").mapInArrow(run, schema), TWICE_BITS, segments)
 
 
-def _twice_filter(found: DataFrame, count: int) -> tuple[int, bytes]:
-    """The twice-seen filter: parts built by the tasks and merged; its size is bounded by MOST_BROADCAST."""
-    bits = 1 << max(16, (16 * count - 1).bit_length())
-    schema = "bits binary"
-    arrow = arrow_schema(found, schema)
-
-    def run(batches):
-        f = Bloom(bits)
-        for b in batches:
-            f.add(b["hash"].to_numpy().view(np.uint64))
-        yield to_batch({"bits": [f.data.tobytes()]}, arrow)
-
-    total = np.zeros(bits // 8, np.uint8)
-    for row in found.coalesce(2).mapInArrow(run, schema).toLocalIterator():
-        total |= np.frombuffer(row["bits"], np.uint8)
-    return bits, total.tobytes()
-
-
-def _suspected_lines(docs: DataFrame, found: DataFrame, count: int) -> DataFrame:
-    """doc_id, key and the ordinals of its lines in the document, for keys whose hash is suspected."""
-    schema = "doc_id long, hash long, key binary, lines array<int>"
+def _suspected_lines(docs: DataFrame, twice: Bloom) -> DataFrame:
+    """doc_id, key, its digest and the ordinals of its lines in the document, for keys that the twice-seen filter may have."""
+    schema = "doc_id long, key binary, digest binary, lines array<int>"
     arrow = arrow_schema(docs, schema)
-    kept = None
-    if count <= MOST_BROADCAST:
-        kept = docs.sparkSession.sparkContext.broadcast(_twice_filter(found, max(count, 1)))
+    shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches):
-        twice = Bloom(*kept.value) if kept else None
         for b in batches:
-            rows = {"doc_id": [], "hash": [], "key": [], "lines": []}
             held, hashes = [], []
             for d, t in zip(b["doc_id"].to_pylist(), byte_texts(b["text"])):
                 if d is not None:
                     for key, lines in keys_of(t).items():
                         held.append((d, key, lines))
                         hashes.append(_hash(key))
-            h = np.array(hashes, np.uint64)
-            chosen = np.flatnonzero(twice.has(h)) if twice else np.arange(len(h))
-            rows["hash"] = h[chosen].view(np.int64)
-            rows["doc_id"], rows["key"], rows["lines"] = ([held[i][k] for i in chosen] for k in range(3))
-            yield to_batch(rows, arrow)
+            chosen = [held[i] for i in np.flatnonzero(shared.value.has(np.array(hashes, np.uint64)))]
+            yield to_batch({"doc_id": [x[0] for x in chosen], "key": [x[1] for x in chosen], "digest": [xxhash.xxh3_128_digest(x[1]) for x in chosen], "lines": [x[2] for x in chosen]}, arrow)
 
-    lines = docs.mapInArrow(run, schema)
-    return lines if kept else lines.join(found, "hash", "left_semi")
+    return docs.mapInArrow(run, schema)
 
 
 def drops(docs: DataFrame) -> DataFrame:
-    """doc_id and the ordinals of the lines that it loses, for each document that loses one."""
-    segments = max(12, 2 * docs.rdd.getNumPartitions())
-    found = durable(suspects(line_hashes(docs, segments), segments))
-    lines = durable(_suspected_lines(docs, found, found.count()).drop("hash"))
+    """doc_id and the ordinals of the lines that it loses, for each document that loses one.
+
+    Keys are confirmed as whole texts, once for each task that has them; their documents meet them by 128-bit digests. That
+    no two confirmed keys share a digest is checked.
+    """
+    segments = 1 << max(4, (2 * docs.rdd.getNumPartitions() - 1).bit_length())
+    lines = durable(_suspected_lines(docs, twice_seen(line_hashes(docs, segments), segments)))
     total = lines.count()
-    confirmed = lines.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("held")).where("first_id < last_id").drop("last_id")
-    lost = join_skewed(lines, durable(confirmed), "key", "held", total).where("doc_id > first_id")
+    held = lines.groupBy("key", "digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("held"))
+    confirmed = durable(held.where("first_id < last_id").select("digest", "first_id", "held"))
+    n, different = confirmed.agg(F.count(F.lit(1)), F.countDistinct("digest")).first()
+    if n != different:
+        raise RuntimeError("two lines share a 128-bit digest")
+    lost = join_skewed(lines.select("doc_id", "digest", "lines"), confirmed, "digest", "held", total).where("doc_id > first_id")
     return lost.groupBy("doc_id").agg(F.flatten(F.collect_list("lines")).alias("lines"))
 
 
 def _without_lines(docs: DataFrame) -> DataFrame:
-    """Each row with `lost`, the ordinals of the lines that it loses (null: none)."""
-    lost = durable(drops(docs.select("doc_id", "text")))
-    return docs.join(lost.withColumnRenamed("lines", "lost").hint("merge"), "doc_id", "left")
+    """The rows of docs with `__lost`, the ordinals of the lines that they lose (null: none). Only documents that may lose
+    one are shuffled."""
+    lost = durable(drops(whole_texts(docs))).select(F.col("doc_id").alias("__lost_id"), F.col("lines").alias("__lost"))
+    keyed = docs.withColumn("__id", docs["doc_id"].cast("long"))
+    maybe, others = parted(keyed.withColumn("__key", F.xxhash64("__id")), filter_of(lost.select(F.xxhash64("__lost_id").alias("hash"))), "__key")
+    met = maybe.join(lost, maybe["__id"] == lost["__lost_id"], "left").select(*docs.columns, "__lost")
+    return met.unionByName(others.select(*docs.columns, F.lit(None).cast("array<int>").alias("__lost")))
 
 
 def kept_text(text: bytes, lost: list[int] | None) -> tuple[bytes, int, int]:
@@ -197,7 +163,7 @@ def dedup_lines(docs: DataFrame, digest_only: bool = False) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = [kept_text(t, x) for t, x in zip(byte_texts(b["text"]), b["lost"].to_pylist())]
+            got = [kept_text(t, x) for t, x in zip(byte_texts(b["text"]), b["__lost"].to_pylist())]
             last = [hashlib.sha256(g[0]).hexdigest() for g in got] if digest_only else pa.array([g[0] for g in got], pa.binary()).cast(pa.string())
             yield to_batch({"doc_id": b["doc_id"], "n_lines": [g[1] for g in got], "n_dropped": [g[2] for g in got], name.split()[0]: last}, arrow)
 
@@ -205,8 +171,7 @@ def dedup_lines(docs: DataFrame, digest_only: bool = False) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with their texts less the repeated lines; a null text stays null."""
-    lost = durable(drops(whole_texts(docs)))
-    cut = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.coalesce(F.array_contains("__lost.lines", i), F.lit(False)), x)), lambda x: x.isNotNull()), "\n")
-    joined = docs.join(lost.select(F.col("doc_id").alias("__lost_id"), F.struct("lines").alias("__lost")).hint("merge"), docs["doc_id"].cast("long") == F.col("__lost_id"), "left")
-    return joined.withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
+    """The documents, all columns, with their texts less the repeated lines; a null text stays null. Rows without a doc_id
+    keep their texts."""
+    cut = F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(~F.array_contains("__lost", i), x)), lambda x: x.isNotNull()), "\n")
+    return _without_lines(docs).withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from geoloom.llm import components, exact_dedup, line_dedup, mixing, sharding, simhash, weak_labels
+from geoloom.llm import bloom, components, exact_dedup, line_dedup, mixing, sharding, simhash, weak_labels
 from .conftest import SCHEMA, edge_rows, prose
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -123,15 +123,26 @@ def test_line_dedup(spark, edge_docs, no_docs, monkeypatch):
     want = {r[0]: r[3] for r in brute_lines(rows)}
     whole = line_dedup.without_repeated_lines(spark.createDataFrame(rows, SCHEMA))
     assert whole.columns == edge_docs.columns and {r["doc_id"]: r["text"] for r in whole.collect()} == want
-    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", 0)  # the way beyond the broadcast
+    monkeypatch.setattr(line_dedup, "TWICE_BITS", 256)  # a filter that is full: all lines are suspected
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()} == want
     assert line_dedup.dedup_lines(no_docs).collect() == []
 
 
-def test_bloom_filter_forgets_nothing():
-    f, h = line_dedup.Bloom(1 << 16), np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
-    f.add(h[:2000])
-    assert f.has(h[:2000]).all() and f.has(h[2000:]).mean() < 0.05
+def test_bloom_filter_forgets_nothing(spark):
+    h = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
+    made = bloom.filter_of(spark.createDataFrame([(int(x),) for x in h[:2000].view(np.int64)], "hash long").repartition(5), 1 << 16, 8)
+    one = bloom.Bloom(1 << 16, slices=8)
+    one.add(h[:2000])
+    assert (made.data == one.data).all() and made.has(h[:2000]).all() and made.has(h[2000:]).mean() < 0.05
+
+
+def test_rows_are_dropped_by_their_content(edge_docs, spark):
+    gone = edge_docs.select(*[c.alias(k) for k, c in bloom.row_keys(edge_docs).items()], "doc_id", "text").where("doc_id is null or doc_id in (0, 4, 7)").select("__key1", "__key2").distinct()
+    left = bloom.drop_rows(edge_docs, gone)
+    want = [r for r in edge_rows() if r[0] not in (None, 0, 4, 7)]
+    assert left.columns == edge_docs.columns and sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    none = spark.createDataFrame([], "__key1 long, __key2 long")
+    assert bloom.drop_rows(edge_docs, none).count() == len(edge_rows())
 
 
 # operator 9

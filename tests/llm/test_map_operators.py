@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -156,6 +157,17 @@ def test_random_phrases():
         assert (n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base))) == brute_license(text)
 
 
+def test_long_texts_take_linear_time():
+    scan = license_scan.scanner()
+    tags, phrases = "SPDX-License-Identifier: MIT OR ISC and more " * 23_000, "cc by nc " * 115_000
+    began = time.perf_counter()
+    n, starts, base, labels, score = scan(phrases.encode())
+    assert (n, starts[:2], starts[-1], len(starts), base) == (345_000, [0, 3], 344_997, 115_000, {"cc-by-nc"})
+    assert scan(tags.encode())[3:] == ({"mit", "isc"}, 1.0)
+    assert time.perf_counter() - began < 4
+    assert scan(b"SPDX-License-Identifier: (MIT OR\nSPDX-License-Identifier: GPL-3.0 SPDX-License-Identifier: ISC")[3] == {"gpl-3", "isc"}
+
+
 def test_expressions():
     e = license_scan.evaluate
     assert license_scan.postfix("MIT OR GPL-2.0 AND ISC WITH x") == ["mit", "gpl-2.0", "isc", "x", "with", "and", "or"]
