@@ -99,4 +99,4 @@ def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     Only rows that the filter of the keys names are shuffled to meet them; the others stay where they are.
     """
     maybe, others = parted(docs.withColumns(row_keys(docs)), filter_of(gone.select(F.col("__key1").alias("hash"))), "__key1")
-    return maybe.join(gone, ["__key1", "__key2"], "left_anti").select(docs.columns).unionByName(others.select(docs.columns))
+    return maybe.join(gone.hint("merge"), ["__key1", "__key2"], "left_anti").select(docs.columns).unionByName(others.select(docs.columns))

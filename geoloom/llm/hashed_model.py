@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, byte_texts, chunks, durable, joined, to_batch
 
 BITS, GRAM = 15, 5
-#: The training sample: at most so many labelled documents (the smallest by a hash of doc_id), none longer than so many bytes.
-TRAIN_DOCS, TRAIN_BYTES = 2000, 20_000
+#: The training sample: at most so many labelled documents, the smallest by a hash of doc_id, with their whole texts.
+TRAIN_DOCS = 2000
 STEPS, RATE = 60, 0.3
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -47,20 +47,23 @@ def train(texts: list[bytes], targets: np.ndarray, steps: int = STEPS) -> np.nda
     w = np.zeros((k, (1 << BITS) + 1))
     if not len(texts):
         return w
-    g, n = grams(texts)
-    starts = np.cumsum(n) - n
-    # a text as its distinct grams and their shares
-    key, count = np.unique(np.repeat(np.arange(len(n)), n).astype(np.int64) << BITS | g, return_counts=True)
-    row, col = key >> BITS, key & ((1 << BITS) - 1)
-    share = count / n[row]
-    starts = np.searchsorted(row, np.arange(len(n)))
+    # a text as its distinct grams (at most 2 ** BITS) and their shares; texts are read a chunk at a time
+    rows, cols, shares = [], [], []
+    for a, z in chunks(texts):
+        g, n = grams(texts[a:z])
+        key, count = np.unique(np.repeat(np.arange(z - a), n).astype(np.int64) << BITS | g, return_counts=True)
+        rows.append((key >> BITS) + a)
+        cols.append((key & ((1 << BITS) - 1)).astype(np.int32))
+        shares.append((count / n[key >> BITS]).astype(np.float32))
+    row, col, share = np.concatenate(rows), np.concatenate(cols), np.concatenate(shares)
+    starts = np.searchsorted(row, np.arange(len(texts)))
     prior = targets.mean(axis=0).clip(1e-6)
     w[:, -1] = np.log(prior)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         x = np.stack([np.add.reduceat(w[c][col] * share, starts) + w[c, -1] for c in range(k)], axis=1)
         e = np.exp(x - x.max(axis=1, keepdims=True))
-        miss = (e / e.sum(axis=1, keepdims=True) - targets) / len(n)
+        miss = (e / e.sum(axis=1, keepdims=True) - targets) / len(texts)
         grad = np.stack([np.append(np.bincount(col, weights=miss[row, c] * share, minlength=1 << BITS), miss[:, c].sum()) for c in range(k)])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = RATE * 4 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
@@ -70,13 +73,12 @@ def train(texts: list[bytes], targets: np.ndarray, steps: int = STEPS) -> np.nda
 
 
 def fit(docs: DataFrame, targets: DataFrame, classes: int) -> np.ndarray:
-    """Weights from a bounded sample: of the documents (doc_id, text) with a target (doc_id, target array<double>) and at most
-    TRAIN_BYTES bytes, TRAIN_DOCS by a hash of doc_id. Ids and lengths alone are joined and sorted; the texts of the bounded
-    list of ids are then read by a broadcast of that list. One task trains, and the weights alone reach the driver."""
+    """Weights from a bounded sample: of the documents (doc_id, text) with a target (doc_id, target array<double>),
+    TRAIN_DOCS by a hash of doc_id. Ids alone are joined and sorted; the whole texts of the bounded list of ids are then read
+    by a broadcast of that list. One task trains, and the weights alone reach the driver."""
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    fair = docs.where("doc_id is not null").select("doc_id", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= TRAIN_BYTES)
-    chosen = durable(fair.select("doc_id").join(targets, "doc_id").dropDuplicates(["doc_id"]).orderBy(*order).limit(TRAIN_DOCS))
-    sample = docs.where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(TRAIN_DOCS)
+    chosen = durable(docs.where("doc_id is not null").select("doc_id").join(targets, "doc_id").dropDuplicates(["doc_id"]).orderBy(*order).limit(TRAIN_DOCS))
+    sample = docs.join(F.broadcast(chosen), "doc_id").orderBy(*order, F.xxhash64("text")).limit(TRAIN_DOCS)
     schema = "weights binary"
     arrow = arrow_schema(docs, schema)
 

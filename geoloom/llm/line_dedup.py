@@ -136,7 +136,7 @@ def _without_lines(docs: DataFrame) -> DataFrame:
     lost = durable(drops(whole_texts(docs))).select(F.col("doc_id").alias("__lost_id"), F.col("lines").alias("__lost"))
     keyed = docs.withColumn("__id", docs["doc_id"].cast("long"))
     maybe, others = parted(keyed.withColumn("__key", F.xxhash64("__id")), filter_of(lost.select(F.xxhash64("__lost_id").alias("hash"))), "__key")
-    met = maybe.join(lost, maybe["__id"] == lost["__lost_id"], "left").select(*docs.columns, "__lost")
+    met = maybe.join(lost.hint("merge"), maybe["__id"] == lost["__lost_id"], "left").select(*docs.columns, "__lost")
     return met.unionByName(others.select(*docs.columns, F.lit(None).cast("array<int>").alias("__lost")))
 
 

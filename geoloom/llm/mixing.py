@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import drop_rows, row_keys
 from .common import arrow_schema, byte_texts, durable, to_batch, whole_texts
 from .hashed_model import fit, posteriors
 
@@ -25,20 +26,20 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 
 def memberships(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, tokens (words of the whole text) and the posterior of each domain, by a classifier of labelled documents."""
-    src = whole_texts(docs)
+    """doc_id, row_keys(), tokens (words of the whole text) and the posterior of each domain, by a classifier of labelled documents."""
+    src = whole_texts(docs, *[c.alias(k) for k, c in row_keys(docs).items()])
     k = len(DOMAINS)
     target = F.array(*[F.when(F.col("domain") == i, 1.0).otherwise(0.0) for i in range(k)])
-    weights = fit(src, domain_of(labels).select("doc_id", target.alias("target")), k)
+    weights = fit(src.select("doc_id", "text"), domain_of(labels).select("doc_id", target.alias("target")), k)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    schema = f"doc_id long, tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}"
+    schema = f"doc_id long, __key1 long, __key2 long, tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}"
     arrow = arrow_schema(docs, schema)
 
     def run(batches):
         for b in batches:
             raw = byte_texts(b["text"])
             p = posteriors(raw, shared.value)
-            yield to_batch({"doc_id": b["doc_id"], "tokens": [len(t.split()) for t in raw]} | {f"p_{d}": p[:, i] for i, d in enumerate(DOMAINS)}, arrow)
+            yield to_batch({c: b[c] for c in ("doc_id", "__key1", "__key2")} | {"tokens": [len(t.split()) for t in raw]} | {f"p_{d}": p[:, i] for i, d in enumerate(DOMAINS)}, arrow)
 
     return src.mapInArrow(run, schema)
 
@@ -113,6 +114,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     every whole text. A null or empty text has no tokens, so its rate stays 1. Without labels all domains are equally
     likely. Repeated rows count each time; an empty table gives no rows; other columns are ignored.
     """
+    return _mix(docs, labels, targets, most_copies, total, keep_clean).drop("__key1", "__key2")
+
+
+def _mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most_copies: float, total: float | None, keep_clean: bool) -> DataFrame:
     rows = fit_rates(durable(memberships(docs, labels)), targets, most_copies, total, keep_clean)
     return rows.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 
@@ -121,9 +126,14 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """The documents, all columns, as often as the mix takes them; by default none twice. Clean documents
     stay, whatever there is of the other domains, and all documents do without labels; low and toxic ones fill their shares.
 
-    Rows with one doc_id are taken alike, by the largest of their copies; rows without a doc_id are in no mix."""
-    taken = mix(docs, labels, targets, most_copies, keep_clean=True).where("doc_id is not null and copies > 0").select(F.col("doc_id").alias("__mix_id"), "copies").groupBy("__mix_id").agg(F.max("copies").alias("__copies"))
-    out = docs.join(taken, docs["doc_id"].cast("long") == F.col("__mix_id"))
+    Each row is taken by its own text, one without a doc_id too; equal rows are taken alike. A null or empty text has no
+    tokens and stays once."""
+    taken = _mix(docs, labels, targets, most_copies, None, True)
+    if most_copies > 1:
+        taken = durable(taken)
+    out = drop_rows(docs, durable(taken.where("copies = 0").select("__key1", "__key2").distinct()))
     if most_copies > 1:
-        out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select([docs[c] for c in docs.columns])
+        more = taken.where("copies > 1").groupBy("__key1", "__key2").agg(F.max("copies").alias("__copies"))
+        again = docs.withColumns(row_keys(docs)).join(more, ["__key1", "__key2"]).withColumn("__copy", F.explode(F.sequence(F.lit(2), F.col("__copies"))))
+        out = out.unionByName(again.select(docs.columns))
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bloom import filter_of, parted, row_keys
 from .common import arrow_schema, byte_texts, durable, join_skewed, map_batches, parts_for, to_batch, whole_texts
 from .components import components
 from .simhash import fingerprints, links
@@ -53,11 +54,12 @@ def similarity(a: bytes, b: bytes) -> float:
     return len(x & y) / len(x | y)
 
 
-def _sketched(texts: DataFrame) -> DataFrame:
-    """doc_id, digest of the words, and of texts with words the number of shingles, sketch and fingerprints of passages."""
+def _sketched(docs: DataFrame) -> DataFrame:
+    """doc_id and row_keys() of each row, digest of the words, and of texts with words the number of shingles, sketch and
+    fingerprints of passages."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {"doc_id": batch["doc_id"], "digest": [], "n": [], "sketch": [], "fps": []}
+        out = {k: batch[k] for k in ("doc_id", "__key1", "__key2")} | {"digest": [], "n": [], "sketch": [], "fps": []}
         for t in byte_texts(batch["text"]):
             words = t.lower().split()
             n, bits, passages = sketch(words) if words else (0, b"", [])
@@ -67,7 +69,11 @@ def _sketched(texts: DataFrame) -> DataFrame:
             out["fps"].append(np.unique(fingerprints(passages).view(np.int64)).tolist())
         return out
 
-    return map_batches(texts, run, "doc_id long, digest binary, n long, sketch binary, fps array<long>")
+    return map_batches(_keyed(docs), run, "doc_id long, __key1 long, __key2 long, digest binary, n long, sketch binary, fps array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return whole_texts(docs, *[c.alias(k) for k, c in row_keys(docs).items()])
 
 
 def _estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -144,23 +150,25 @@ def _once(node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray
 def _with_texts(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
     """The pairs with the text of one side; a text of many pairs is not gathered with all of them."""
     held = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("held"))
-    found = durable(held.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")), side))
+    found = durable(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}")).join(held.hint("merge"), side))
     return join_skewed(pairs, found, side, "held", pairs.count())
 
 
-def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first doc_id of each text that differs in words (doc_id, digest), and the verified links (a, b) of these.
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketched rows of docs; of these the row that stands for each doc_id (doc_id, first: the least doc_id with the same
+    words); and the verified links (a, b) of such first ids.
 
     Linked are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, verified on the words themselves.
     Candidates are texts of which a passage's fingerprints differ in at most 2 bits (as simhash.links() finds them) or are
     joined by such. Texts are lower-cased in A-Z and cut at ASCII white space; one with fewer words than a shingle is one.
+    Of rows that share a doc_id, the least by a hash of its content stands for it. Only texts of candidates are shuffled.
     """
-    # ids are made unique before texts meet, so repeated rows of an id don't multiply
-    by = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    texts = durable(whole_texts(docs).where("doc_id is not null").withColumn("__row", F.row_number().over(by)).where("__row = 1").drop("__row"))
-    rows = durable(_sketched(texts))
-    firsts = durable(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    passages = durable(rows.join(firsts.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n", "sketch", F.explode("fps").alias("fp")))
+    rows = durable(_sketched(docs))
+    by = Window.partitionBy("doc_id").orderBy("__key1", "__key2")
+    named = durable(rows.where("doc_id is not null").withColumn("__row", F.row_number().over(by)).where("__row = 1").drop("__row"))
+    firsts = durable(named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("held")))
+    named = durable(join_skewed(named, firsts, "digest", "held", named.count()).drop("held"))
+    passages = durable(named.where("doc_id = first").select(F.col("doc_id").alias("node"), "n", "sketch", F.explode("fps").alias("fp")))
     total = passages.count()
     groups = durable(passages.groupBy("fp").agg(F.count(F.lit(1)).alias("held")))
     found = components(links(groups, groups.count())).withColumnRenamed("node", "fp")
@@ -169,22 +177,32 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = durable(keyed.join(shared, "key", "left_semi"))
     met = durable(join_skewed(passages, shared, "fp", "held", total).select("key", "node", "n", "sketch"))
     pairs = durable(_candidates(met, met.count()))
+    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(named.select("doc_id", "__key1", "__key2"), "doc_id"))
+    texts, _ = parted(_keyed(docs), filter_of(wanted.select(F.col("__key1").alias("hash"))), "__key1")
+    # repeated rows share their keys, so one of each is enough
+    texts = durable(texts.join(wanted.hint("merge"), ["doc_id", "__key1", "__key2"], "left_semi").dropDuplicates(["doc_id"]))
     both = _with_texts(durable(_with_texts(pairs, texts, "a").select("a", "b", "text_a")), texts, "b").select("a", "b", "text_a", "text_b")
 
     def verify(batch: pa.RecordBatch) -> dict:
         good = [similarity(x, y) >= SIMILARITY for x, y in zip(byte_texts(batch["text_a"]), byte_texts(batch["text_b"]))]
         return {"a": batch["a"].filter(pa.array(good)), "b": batch["b"].filter(pa.array(good))}
 
-    return firsts, durable(map_batches(both, verify, "a long, b long"))
+    return rows, named, durable(map_batches(both, verify, "a long, b long"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, of which one of each group of linked near copies stays: the smallest doc_id, once if
-    rows repeat it. Rows without a doc_id stand for no group, so they go. Texts without words are copies of each other."""
-    firsts, linked = near_copies(docs)
+    """The documents, all columns, of which one of each group of linked near copies stays: that of the smallest doc_id.
+
+    A doc_id and text that rows repeat stays once. Of different texts with one doc_id, one stands for it in its group and
+    the others, which no link can name, stay; so do rows without a doc_id. Texts without words are copies of each other.
+    """
+    rows, named, linked = near_copies(docs)
     found = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    gone = found.where("node <> root").select(F.col("node").alias("doc_id"))
-    kept = durable(firsts.join(gone, "doc_id", "left_anti").select(F.col("doc_id").alias("__kept_id")))
-    out = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return out.withColumn("__row", F.row_number().over(once)).where("__row = 1").select(docs.columns)
+    lost = found.where("node <> root").select(F.col("node").alias("doc_id")).distinct()
+    gone = durable(named.where("doc_id <> first").unionByName(named.where("doc_id = first").join(lost, "doc_id", "left_semi")).select("__key1", "__key2", F.lit(True).alias("gone")))
+    again = rows.where("doc_id is not null").groupBy("__key1", "__key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key1", "__key2", F.lit(False).alias("gone"))
+    marked = durable(gone.unionByName(again).groupBy("__key1", "__key2").agg(F.max("gone").alias("__gone")))
+    maybe, others = parted(docs.withColumns(row_keys(docs)), filter_of(marked.select(F.col("__key1").alias("hash"))), "__key1")
+    met = maybe.join(marked.hint("merge"), ["__key1", "__key2"], "left")
+    once = met.where("__gone = false").dropDuplicates(["__key1", "__key2"])
+    return others.select(docs.columns).unionByName(met.where("__gone is null").select(docs.columns)).unionByName(once.select(docs.columns))

@@ -253,4 +253,7 @@ def test_pipeline_runs_over_edges(spark, edge_docs, labels, tmp_path):
         assert docs.columns == edge_docs.columns, name
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     edge_docs.write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect())) == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    assert sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()), key=str) == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    spark.createDataFrame([], edge_docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
