@@ -8,15 +8,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, whole_texts
+from .common import arrow_schema, chunks, map_batches, to_batch, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Windows of characters, half overlapping: each character is read in the window in which it stands nearer the middle.
+#: What the tagger finds: the kinds of the fixed patterns in forms that these miss too, and secrets (keys, tokens, passwords).
+TAGGED = (*KINDS, "secret")
+TAGS = ("O", *(f"{p}-{k}" for k in TAGGED for p in "BI"))
+#: Windows of characters, half overlapping; a character's scores come from both windows, more from that of which it stands
+#: nearer the middle.
 WINDOW, HALF = 64, 32
 HIDDEN = 16
-#: Training: examples made from the spans of a bounded sample of documents and from written forms of each kind.
-SAMPLE_DOCS, EXAMPLES, EPOCHS, BATCH, RATE, SEED = 200, 1600, 6, 32, 0.02, 7
+#: Training: examples from whole texts of a bounded sample of documents, with their own spans and written forms of each kind.
+SAMPLE_DOCS, EXAMPLES, EPOCHS, BATCH, RATE, SEED = 200, 2000, 6, 32, 0.02, 7
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -24,7 +27,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
-_DIGITS = re.compile(r"[0-9]")
+_LONG = re.compile(r"[A-Za-z0-9_/+-]{12,}")
 
 
 def luhn(digits: str) -> bool:
@@ -143,19 +146,32 @@ class Tagger:
         b, _ = self._lstm(x[::-1], "b", False)
         return np.concatenate([f, b[::-1]], axis=2) @ self.p["out"] + self.p["bias"]
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag paths of windows: Viterbi over emissions and transitions."""
-        e, move = self.emissions(x), self.p["move"]
-        best, back = e[0], []
-        for t in range(1, len(e)):
-            s = best[:, :, None] + move
-            back.append(s.argmax(axis=1))
-            best = s.max(axis=1) + e[t]
-        path = [best.argmax(axis=1)]
-        rows = np.arange(x.shape[1])
-        for b in reversed(back):
-            path.append(b[rows, path[-1]])
-        return np.stack(path[::-1])
+    def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tag path of each stretch, given its (time, tags) scores: Viterbi over scores and transitions, from the
+        first character of a stretch to its last. Stretches go side by side, the longest first."""
+        order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(emissions)
+        move = self.p["move"]
+        for a in range(0, len(order), 256):
+            part = order[a : a + 256]
+            sizes = np.array([len(emissions[i]) for i in part])
+            best, back = np.stack([emissions[i][0] for i in part]), []
+            for t in range(1, sizes[0]):
+                n = int((sizes > t).sum())
+                s = best[:n, :, None] + move
+                back.append(s.argmax(axis=1).astype(np.int8))
+                best[:n] = s.max(axis=1) + np.stack([emissions[i][t] for i in part[:n]])
+            at = best.argmax(axis=1)
+            paths = [np.empty(n, np.int64) for n in sizes]
+            for t in range(sizes[0] - 1, -1, -1):
+                n = int((sizes > t).sum())
+                for k in range(n):
+                    paths[k][t] = at[k]
+                if t:
+                    at[:n] = back[t - 1][np.arange(n), at[:n]]
+            for i, path in zip(part, paths):
+                out[i] = path
+        return out
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """The mean loss of a batch (time, batch) and its gradients."""
@@ -225,6 +241,10 @@ def written(kind: str, r: np.random.Generator) -> str:
     d = lambda n: "".join(map(str, r.integers(0, 10, n)))
     word = lambda n: "".join(chr(97 + i) for i in r.integers(0, 26, n))
     pick = lambda *x: x[int(r.integers(len(x)))]
+    if kind == "secret":
+        key = "".join("0123456789abcdef"[i] for i in r.integers(0, 16, int(pick(24, 32, 40, 40, 64))))
+        free = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"[i] for i in r.integers(0, 62, int(pick(16, 20, 28, 36))))
+        return pick(key, key, key.upper(), free, "AKIA" + free.upper()[:16], "ghp_" + free)
     if kind == "email":
         at = pick("@", "@", "@", " @ ", "(@)", "[@]")
         return f"{word(int(r.integers(3, 9)))}{pick('', '.', '_')}{pick(d(2), word(4))}{at}{word(5)}{pick('', d(1))}.{pick('com', 'org', 'net', 'de', 'example.com')}"
@@ -238,37 +258,68 @@ def written(kind: str, r: np.random.Generator) -> str:
     return pick(f"+{pick('1', '44', '49', '33')} ({area}) {d(3)}-{d(4)}", f"+{pick('1', '44', '49')} {area} {d(3)} {d(4)}", f"({area}) {d(3)}-{d(4)}", f"{area}-{d(3)}-{d(4)}", f"00{pick('44', '49')} {area} {d(6)}", f"0{d(3)} {d(7)}")
 
 
+def before_secret(r: np.random.Generator) -> tuple[str, str]:
+    """What stands before and behind a secret."""
+    name = ("token", "api_key", "password", "secret", "key", "auth")[int(r.integers(6))]
+    name = name.upper() if r.random() < 0.2 else name
+    return ((f'{name} = "', '"'), (f"{name}={chr(39)}", "'"), (f"{name}: ", ""), (f"{name}=", ""))[int(r.integers(4)) if r.random() < 0.6 else 0]
+
+
 def other_number(r: np.random.Generator) -> str:
-    """Numbers and marks that are nobody's: versions, years, prices, keys, handles."""
+    """Numbers and marks that are nobody's: versions, years, prices, handles."""
     d = lambda n: "".join(map(str, r.integers(0, 10, n)))
-    hexes = "".join("0123456789abcdef"[i] for i in r.integers(0, 16, int(r.integers(12, 40))))
-    forms = (f"Version {d(1)}.{d(1)}.", f"version {d(1)}.", f"in {d(4)}", f"{d(2)}.{d(2)}.{d(4)}", f"${d(3)}.{d(2)}", f'token = "{hexes}"', f"password={hexes[:18]}", f"AKIA{hexes.upper()[:16]}", f"@{hexes[:6]}", f"{d(2)}%", f"{d(1)},{d(3)},{d(3)}", f"no. {d(5)}", f"{d(2)}:{d(2)}")
+    word = "".join(chr(97 + i) for i in r.integers(0, 26, int(r.integers(3, 14))))
+    forms = (f"Version {d(1)}.{d(1)}.", f"version {d(1)}.", f"in {d(4)}", f"{d(2)}.{d(2)}.{d(4)}", f"${d(3)}.{d(2)}", f"@{word[:6]}", f"{d(2)}%", f"{d(1)},{d(3)},{d(3)}", f"no. {d(5)}", f"{d(2)}:{d(2)}", f"{word}{d(1)}", f'{word} = "{word}"', f"{d(6)}")
     return forms[int(r.integers(len(forms)))]
 
 
+def _own_piece(texts: list[str], spans: list[list[tuple[str, int, int]]], r: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]] | None:
+    """A piece of a real text with the spans in it, half of the time one around a span; None where it would cut a span or
+    holds a long run of letters and digits of which it isn't known what it is."""
+    i = int(r.integers(len(texts)))
+    text, found = texts[i], spans[i]
+    size = int(r.integers(3, 60))
+    at = int(r.integers(max(1, len(text) - size)))
+    if found and r.random() < 0.5:
+        _, s, e = found[int(r.integers(len(found)))]
+        at, size = max(0, s - int(r.integers(20))), e - s + 30
+    inside = [(k, s - at, e - at) for k, s, e in found if at <= s and e <= at + size]
+    if any(s < at + size and e > at for _, s, e in found if not (at <= s and e <= at + size)):
+        return None
+    piece = text[at : at + size]
+    if any(re.search("[0-9]", m[0]) and not any(s <= m.start() < e for _, s, e in inside) for m in _LONG.finditer(piece)):
+        return None
+    return piece, inside
+
+
 def labelled(backgrounds: list[str], count: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, list[tuple[str, list[tuple[str, int, int]]]]]:
-    """Labelled windows: classes and tags (window, time), and the texts with their spans."""
+    """Labelled windows: classes and tags (window, time), and the texts with their spans. Pieces of real texts keep the spans
+    of the fixed patterns; written forms of each kind, and numbers that are none, stand between them."""
     r = np.random.default_rng(seed)
     backgrounds = [b for b in backgrounds if b.strip()] or ["the of and to in is that it for was on are"]
+    own = [sorted(base_spans(b), key=lambda x: x[1]) for b in backgrounds]
     xs, ys, texts = [], [], []
     for _ in range(count):
-        parts, spans, at = [], [], 0
-        while at < WINDOW:
-            b = backgrounds[int(r.integers(len(backgrounds)))]
-            cut = int(r.integers(max(1, len(b) - 30)))
-            words = _ANCHOR.sub("", b[cut : cut + int(r.integers(3, 30))])
-            for s, kind in ((words, None), *(((written(k, r), k),) if (k := KINDS[int(r.integers(4))]) and r.random() < 0.6 else ((other_number(r), None),))):
-                if kind:
-                    spans.append((kind, at, at + len(s)))
-                s += " " if r.random() < 0.9 or kind is None else (". ", ", ", "\n")[int(r.integers(3))]
-                parts.append(s)
-                at += len(s)
-        text = "".join(parts)
+        text, spans = "", []
+        while len(text) < WINDOW + 8:
+            piece = _own_piece(backgrounds, own, r)
+            if piece:
+                spans += [(k, s + len(text), e + len(text)) for k, s, e in piece[1]]
+                text += piece[0] + " "
+            kind = TAGGED[int(r.integers(len(TAGGED)))]
+            if r.random() < 0.6:
+                lead, tail = before_secret(r) if kind == "secret" else ("", "")
+                form = written(kind, r)
+                spans.append((kind, len(text) + len(lead), len(text) + len(lead) + len(form)))
+                text += lead + form + tail
+            else:
+                text += other_number(r)
+            text += " " if r.random() < 0.8 else (". ", ", ", "\n", "!! ", "%%% ", "### ", ".")[int(r.integers(7))]
         shift = int(r.integers(0, max(1, len(text) - WINDOW + 1)))
         tags = np.zeros(len(text), np.int64)
         for kind, a, z in spans:
-            tags[a:z] = 2 + 2 * KINDS.index(kind)
-            tags[a] = 1 + 2 * KINDS.index(kind)
+            tags[a:z] = 2 + 2 * TAGGED.index(kind)
+            tags[a] = 1 + 2 * TAGGED.index(kind)
         xs.append(classes(text)[shift : shift + WINDOW])
         ys.append(tags[shift : shift + WINDOW])
         texts.append((text, spans))
@@ -283,47 +334,61 @@ def train(backgrounds: list[str]) -> Tagger:
     return tagger
 
 
+#: How much a window says of each of its characters.
+_WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+
+
 def model_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int]]]:
     """Spans that the tagger finds in whole texts.
 
-    Windows tile a text, half overlapping; each is decoded, a character takes its tag from the window in whose middle
-    half it stands, and spans are read from the tags of the whole text, so one may cross any number of windows. A span
-    must hold a digit or an at sign; where no window of a text's stretch has one, its tags are all outside.
+    Windows tile a text, half overlapping. Where windows overlap their scores are averaged, and each stretch of adjoining
+    windows is decoded once, from its first character to its last, so a span may cross any number of windows. A span must
+    hold a digit or an at sign; where no window of a stretch has one, the characters are outside.
     """
-    chars, chosen = [], []
+    blank = 6 + _Classes.MARKS.index("\n")
+    chars, chosen, stretches = {}, [], []
     for i, text in enumerate(texts):
-        c = None
         near = sorted({(m.start() + HALF // 2) // HALF + k for m in _ANCHOR.finditer(text) for k in (-2, -1, 0, 1)})
+        near = [w for w in near if w >= 0 and w * HALF < len(text) + HALF]
         if near:
-            c = np.concatenate([np.full(WINDOW, 6 + _Classes.MARKS.index("\n"), np.uint8), classes(text), np.full(2 * WINDOW, 6 + _Classes.MARKS.index("\n"), np.uint8)])
-            chosen += [(i, w) for w in near if w >= 0 and w * HALF < len(text) + HALF]
-        chars.append(c)
-    tags: dict[int, np.ndarray] = {}
+            chars[i] = np.concatenate([np.full(WINDOW, blank, np.uint8), classes(text), np.full(2 * WINDOW, blank, np.uint8)])
+        for w in near:
+            if chosen and chosen[-1][:2] == (i, w - 1):
+                stretches[-1][2] += 1
+            else:
+                stretches.append([i, w, 1])
+            chosen.append((i, w, len(stretches) - 1))
+    if not chosen:
+        return [[] for _ in texts]
+    # window w covers the text from w * HALF - HALF // 2 on
+    summed = [np.zeros(((n + 1) * HALF, len(TAGS)), np.float32) for _, _, n in stretches]
+    weights = [np.zeros(((n + 1) * HALF, 1), np.float32) for _, _, n in stretches]
     for a in range(0, len(chosen), 512):
         part = chosen[a : a + 512]
-        # window w covers the text from w * HALF - HALF // 2 on; its middle half begins at w * HALF
-        starts = [w * HALF - HALF // 2 + WINDOW for _, w in part]
-        x = np.stack([chars[i][s : s + WINDOW] for (i, _), s in zip(part, starts)], axis=1)
-        got = tagger.decode(x)
-        for k, (i, w) in enumerate(part):
-            whole = tags.setdefault(i, np.zeros(len(texts[i]) + WINDOW, np.int64))
-            whole[w * HALF : w * HALF + HALF] = got[HALF // 2 : HALF // 2 + HALF, k]
+        x = np.stack([chars[i][w * HALF - HALF // 2 + WINDOW :][:WINDOW] for i, w, _ in part], axis=1)
+        got = tagger.emissions(x).astype(np.float32) * _WEIGHT[:, None]
+        for k, (_, w, s) in enumerate(part):
+            at = (w - stretches[s][1]) * HALF
+            summed[s][at : at + WINDOW] += got[:, k]
+            weights[s][at : at + WINDOW] += _WEIGHT
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, t in tags.items():
-        t = t[: len(texts[i])]
+    for (i, w, _), t in zip(stretches, tagger.decode([x / y for x, y in zip(summed, weights)])):
         kind = (t + 1) // 2
-        new = np.flatnonzero((kind > 0) & ((np.diff(kind, prepend=0) != 0) | (t % 2 == 1)))
-        for s in new.tolist():
+        start = w * HALF - HALF // 2
+        for s in np.flatnonzero((kind > 0) & ((np.diff(kind, prepend=0) != 0) | (t % 2 == 1))).tolist():
             e = s + 1
             while e < len(t) and kind[e] == kind[s] and t[e] % 2 == 0:
                 e += 1
-            out[i].append((KINDS[kind[s] - 1], s, e))
+            if 0 <= start + s < len(texts[i]):
+                out[i].append((TAGGED[kind[s] - 1], start + s, min(start + e, len(texts[i]))))
     return out
 
 
 def plausible(kind: str, s: str) -> bool:
     """What a found span must have to be reported."""
     d = digits_of(s)
+    if kind == "secret":
+        return len(s) >= 12 and bool(d) and re.search(r"[A-Za-z]", s) is not None and _LONG.fullmatch(s) is not None
     if kind == "email":
         return "@" in s and "." in s[s.index("@") :] and not s.startswith("@")
     if kind == "ip":
@@ -336,12 +401,12 @@ def plausible(kind: str, s: str) -> bool:
 
 def trimmed(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
     """Grow a span of numbers to whole numbers and cut marks off its ends."""
-    edge = re.compile(r"[0-9]" if kind != "email" else r"[A-Za-z0-9]")
+    edge = re.compile({"email": r"[A-Za-z0-9]", "secret": r"[A-Za-z0-9_]"}.get(kind, r"[0-9]"))
     while start > 0 and edge.match(text[start - 1]) and edge.match(text[start]):
         start -= 1
     while end < len(text) and edge.match(text[end]) and edge.match(text[end - 1]):
         end += 1
-    while start < end and not (edge.match(text[start]) or text[start] in "+("):
+    while start < end and not (edge.match(text[start]) or kind == "phone" and text[start] in "+("):
         start += 1
     while end > start and not edge.match(text[end - 1]):
         end -= 1
@@ -360,7 +425,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
             if s < e and plausible(kind, text[s:e]) and not any(a < e and s < z for a, z in taken):
                 more.append((kind, s, e))
                 taken.append((s, e))
-        out.append((base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1]))))
+        out.append((base, sorted(base + more, key=lambda x: (TAGGED.index(x[0]), x[1]))))
     return out
 
 
@@ -369,19 +434,30 @@ def said(spans: list[tuple[str, int, int]]) -> str:
 
 
 def fitted(docs: DataFrame) -> Tagger:
-    """A tagger whose examples stand in words of a bounded sample: SAMPLE_DOCS documents, the smallest by a hash of doc_id.
+    """A tagger whose examples stand in whole texts of a bounded sample: SAMPLE_DOCS documents, the smallest by a hash of
+    doc_id, and of one id by a hash of the text.
 
-    The ids are chosen first, so that every task sends at most SAMPLE_DOCS ids, and texts come of the chosen ones alone.
+    The ids are chosen first, so that every task sends at most SAMPLE_DOCS ids, and texts come of the chosen ones alone. One
+    task trains, and the weights alone reach the driver.
     """
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(*order).limit(SAMPLE_DOCS)
-    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.substring("text", 1, 2000).alias("text"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    rows = sample.limit(2 * SAMPLE_DOCS).collect()
-    return train([r["text"] for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["text"]))])
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(*order).limit(SAMPLE_DOCS)
+    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(*order, F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    schema = "name string, shape array<int>, weights binary"
+    arrow = arrow_schema(docs, schema)
+
+    def run(batches):
+        tagger = train([t for b in batches for t in b["text"].to_pylist()])
+        yield to_batch({"name": list(tagger.p), "shape": [list(v.shape) for v in tagger.p.values()], "weights": [v.tobytes() for v in tagger.p.values()]}, arrow)
+
+    tagger = Tagger()
+    tagger.p = {r["name"]: np.frombuffer(r["weights"], np.float32).reshape(r["shape"]) for r in sample.select("text").coalesce(1).mapInArrow(run, schema).collect()} or tagger.p
+    return tagger
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base (kind:start:end in that order) and spans (all).
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base (kind:start:end in that order), spans (all, secrets last),
+    n_secret and n_spans (of all).
 
     Positions are code points, ends exclusive. A null or empty text has no spans (empty strings). Repeated rows give
     repeated results, an empty table none; other columns are ignored. Long texts are tagged whole, window by window.
@@ -391,13 +467,15 @@ def find_spans(docs: DataFrame) -> DataFrame:
     counts = ", ".join(f"n_{k} long" for k in KINDS)
 
     def run(batch) -> dict:
-        got = all_spans(batch["text"].to_pylist(), shared.value)
-        return {"doc_id": batch["doc_id"], "base": [said(b) for b, _ in got], "spans": [said(a) for _, a in got]} | {f"n_{k}": [sum(x[0] == k for x in b) for b, _ in got] for k in KINDS}
+        texts = batch["text"].to_pylist()
+        got = [x for a, z in chunks(texts) for x in all_spans(texts[a:z], shared.value)]
+        out = {"doc_id": batch["doc_id"], "base": [said(b) for b, _ in got], "spans": [said(a) for _, a in got]} | {f"n_{k}": [sum(x[0] == k for x in b) for b, _ in got] for k in KINDS}
+        return out | {"n_secret": [sum(x[0] == "secret" for x in a) for _, a in got], "n_spans": [len(a) for _, a in got]}
 
-    return map_batches(src, run, f"doc_id long, {counts}, base string, spans string")
+    return map_batches(src, run, f"doc_id long, {counts}, base string, spans string, n_secret long, n_spans long")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """find_spans() with the base spans as a digest, base_sha256."""
     found = find_spans(docs)
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_secret", "n_spans")

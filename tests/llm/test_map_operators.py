@@ -1,6 +1,7 @@
 """Operators that look at one document at a time, against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -49,14 +50,28 @@ def tagger():
 
 
 def test_tagger_on_held_out_spans(tagger):
-    x, y, texts = pii.labelled([prose(50, 100 + s) for s in range(20)], 300, seed=99)
-    assert (tagger.decode(x.T).T == y).mean() > 0.95
+    _, _, texts = pii.labelled([prose(50, 100 + s) for s in range(20)], 300, seed=99)
     right = found = held = 0
     for (text, spans), (_, got) in zip(texts, pii.all_spans([t for t, _ in texts], tagger)):
         want = {s for s in spans if s[0] != "card" or pii.luhn(pii.digits_of(text[s[1] : s[2]]))}
-        got = {s for s in got}
-        right, found, held = right + len(want & got), found + len(got), held + len(want)
-    assert right / found > 0.9 and right / held > 0.85
+        right, found, held = right + len(want & set(got)), found + len(got), held + len(want)
+    assert right / found > 0.9 and right / held > 0.9
+
+
+def test_tagger_adds_what_the_patterns_miss(tagger):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for n in range(0, 70, 7):  # wherever the windows fall
+        text = prose(n) + f' token = "{key}" ' + prose(9)
+        assert pii.all_spans([text], tagger) == [([], [("secret", text.index(key), text.index(key) + 40)])]
+
+
+def test_stretches_are_decoded_as_wholes():
+    t, r = pii.Tagger(), np.random.default_rng(3)
+    t.p["move"] = r.normal(0, 1, t.p["move"].shape)
+    scores = [r.normal(0, 1, (n, len(pii.TAGS))) for n in (4, 1, 3)]
+    for e, path in zip(scores, t.decode(scores)):
+        total = lambda p: sum(e[i, k] for i, k in enumerate(p)) + sum(t.p["move"][a, b] for a, b in zip(p, p[1:]))
+        assert total(path) == pytest.approx(max(total(p) for p in itertools.product(range(len(pii.TAGS)), repeat=len(e))))
 
 
 def test_tagger_gradients():
@@ -89,7 +104,7 @@ def test_personal_data_query(edge_docs, no_docs):
     for r in got:
         text = {row[0]: row[1] or "" for row in edge_rows()}[r["doc_id"]]
         assert r["base_sha256"] == sha(pii.said(brute_spans(text)))
-        assert set(pii.said(brute_spans(text)).split(",")) <= set(r["spans"].split(","))
+        assert set(pii.said(brute_spans(text)).split(",")) <= set(r["spans"].split(",")) and r["n_spans"] == len(list(filter(None, r["spans"].split(","))))
     assert pii.find_personal_data(no_docs).collect() == []
 
 
