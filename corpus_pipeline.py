@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, tokens; each stage works on what the one before kept."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, tokens; each stage works on what the one before kept.
+
+Rows are judged by their content, so one without a doc_id passes through all stages like any other (it can neither lose lines
+nor be named as a copy), and rows that share a doc_id have their own verdicts; a doc_id and text that rows repeat comes out of
+near-dedup once. A null text counts as empty and fails the quality rules. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from geoloom.llm import bpe, line_dedup, mixing, near_copies, quality_rules
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the base rules or the perplexity bands reject go."""
     return quality_rules.keep_good(docs)
 
 
