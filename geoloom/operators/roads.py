@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions.parse import GRAPH_SPEEDS, lookup
+from .terrain import lay
 
 # Classes that can be driven on.
 DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "living_street", "unclassified", "service", "track", "road", "unknown")
@@ -22,22 +23,28 @@ def path_segments(vertices: DataFrame) -> DataFrame:
     return made.where(F.col("bx").isNotNull())
 
 
+def _axes(vertices: DataFrame) -> list[str]:
+    """x, z, and y where the vertices have a height."""
+    return ["x", "z", *(["y"] if "y" in vertices.columns else [])]
+
+
 def cumulative_offsets(vertices: DataFrame) -> DataFrame:
-    """vertices with offset, the length from the start, and total, the path's length."""
+    """vertices with offset, the length from the start, and total, the path's length; in space where they have a height y."""
     w = Window.partitionBy("seed_id", "id").orderBy("pos")
-    dx, dz = F.col("x") - F.lag("x").over(w), F.col("z") - F.lag("z").over(w)
-    step = F.coalesce(F.sqrt(dx * dx + dz * dz), F.lit(0.0))
+    gaps = [F.col(c) - F.lag(c).over(w) for c in _axes(vertices)]
+    step = F.coalesce(F.sqrt(sum((d * d for d in gaps[1:]), gaps[0] * gaps[0])), F.lit(0.0))
     return vertices.withColumn("step", step).withColumn("offset", F.sum("step").over(w)).withColumn("total", F.max("offset").over(Window.partitionBy("seed_id", "id"))).drop("step")
 
 
 def locate_along(offsets: DataFrame, fractions: DataFrame) -> DataFrame:
-    """The point at a fraction of each path's length: fractions (seed_id, id, fraction) with x, z."""
+    """The point at a fraction of each path's length: fractions (seed_id, id, fraction) with x, z (and y)."""
     w = Window.partitionBy("seed_id", "id").orderBy("pos")
-    spans = offsets.select("seed_id", "id", "pos", F.col("x").alias("bx"), F.col("z").alias("bz"), "offset", "total", F.lag("x").over(w).alias("ax"), F.lag("z").over(w).alias("az"), F.lag("offset").over(w).alias("before")).where("ax is not null")
+    axes = _axes(offsets)
+    spans = offsets.select("seed_id", "id", "pos", "offset", "total", *[F.col(c).alias(f"b{c}") for c in axes], *[F.lag(c).over(w).alias(f"a{c}") for c in axes], F.lag("offset").over(w).alias("before")).where("ax is not null")
     met = fractions.join(spans, ["seed_id", "id"]).withColumn("target", geo.clamp(F.col("fraction"), 0.0, 1.0) * F.col("total")).where("offset >= target")
-    first = met.groupBy("seed_id", "id", "fraction").agg(F.min_by(F.struct("ax", "az", "bx", "bz", "before", "offset", "target"), "pos").alias("s"))
+    first = met.groupBy("seed_id", "id", "fraction").agg(F.min_by(F.struct(*[f"{e}{c}" for e in "ab" for c in axes], "before", "offset", "target"), "pos").alias("s"))
     share = (F.col("s.target") - F.col("s.before")) / F.greatest(F.lit(0.001), F.col("s.offset") - F.col("s.before"))
-    return first.select("seed_id", "id", "fraction", (F.col("s.ax") + (F.col("s.bx") - F.col("s.ax")) * share).alias("x"), (F.col("s.az") + (F.col("s.bz") - F.col("s.az")) * share).alias("z"))
+    return first.select("seed_id", "id", "fraction", *[(F.col(f"s.a{c}") + (F.col(f"s.b{c}") - F.col(f"s.a{c}")) * share).alias(c) for c in axes])
 
 
 def clip_roads(segments: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -154,8 +161,8 @@ def graph_entries(vertices: DataFrame, refs: DataFrame, margin: float = 120.0) -
     return lists.select("seed_id", "id", "ord", F.posexplode(merge_close(F.col("entries"))).alias("entry", "e")).select("seed_id", "id", "ord", "entry", "e.offset", "e.x", "e.z", "e.key")
 
 
-def build_road_graph(roads: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (seed_id, node, x, z) and edges of the drivable roads (seed_id, id, kind, one_way, width, name).
+def build_road_graph(roads: DataFrame, entries: DataFrame, grid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (seed_id, node, x, z, first: their order; with a grid also y, 0.09 m above it) and edges of the drivable roads (seed_id, id, kind, one_way, width, name).
 
     A node is a connector or a 1.25 m cell; it stands where the first entry of an edge long enough (0.75 m) puts it, by
     road order and entry. Edges between different nodes are kept; nodes without edges go.
@@ -167,12 +174,13 @@ def build_road_graph(roads: DataFrame, entries: DataFrame) -> tuple[DataFrame, D
     length = F.sqrt((F.col("bx") - F.col("x")) * (F.col("bx") - F.col("x")) + (F.col("bz") - F.col("z")) * (F.col("bz") - F.col("z")))
     pairs = pairs.withColumn("length", length).where("length >= 0.75").join(drivable(roads).select("seed_id", "id", "kind", "one_way", "width", "name"), ["seed_id", "id"])
     ends = pairs.select("seed_id", "node", "ord", (F.col("entry") * 2).alias("k"), "x", "z").unionByName(pairs.select("seed_id", F.col("to_node").alias("node"), "ord", (F.col("entry") * 2 + 1).alias("k"), F.col("bx").alias("x"), F.col("bz").alias("z")))
-    nodes = ends.groupBy("seed_id", "node").agg(F.min_by(F.struct("x", "z"), F.struct("ord", "k")).alias("p")).select("seed_id", "node", "p.x", "p.z")
+    nodes = ends.groupBy("seed_id", "node").agg(F.min_by(F.struct("x", "z"), F.struct("ord", "k")).alias("p"), F.min(F.struct("ord", "k")).alias("first")).select("seed_id", "node", "p.x", "p.z", "first")
     edges = pairs.where("node <> to_node").select(
         "seed_id", F.concat(F.lit("edge:"), "id", F.lit(":"), F.col("entry").cast("string")).alias("edge"), F.col("id").alias("road"), "ord", "entry",
         F.col("node").alias("from_node"), "to_node", "length", "kind", "one_way", "width", "name", graph_speed(F.col("kind")).alias("speed_limit"),
     )
-    return connected_nodes(nodes, edges), edges
+    nodes = connected_nodes(nodes, edges)
+    return (nodes if grid is None else lay(nodes, grid, {"y": ("x", "z")}, 0.09)), edges
 
 
 def node_ends(edges: DataFrame) -> DataFrame:
@@ -213,8 +221,8 @@ def drivable_length(edges: DataFrame) -> DataFrame:
 
 
 def spawn_points(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
-    """Per seed the `most` nodes of highest degree (then by name), with the heading of their first edge."""
-    w = Window.partitionBy("seed_id").orderBy(F.desc("degree"), "node")
+    """Per seed the `most` nodes of highest degree (then in the order of the graph), with the heading of their first edge."""
+    w = Window.partitionBy("seed_id").orderBy(F.desc("degree"), "first")
     best = nodes.join(node_degree(edges), ["seed_id", "node"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     first = node_ends(edges).groupBy("seed_id", "node").agg(F.min_by("edge", F.struct("ord", "entry")).alias("edge"))
     e = edges_with_points(nodes, edges).select("seed_id", "edge", "from_node", "ax", "az", "bx", "bz")
@@ -224,15 +232,15 @@ def spawn_points(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame
 
 
 def checkpoints_along(vertices: DataFrame, spacing: float) -> DataFrame:
-    """Points every `spacing` metres along paths (seed_id, id, pos, x, z), from the start on; the end is added if it is over
-    0.35 spacings from the last, else it takes its place: seed_id, id, k, x, z."""
-    offs = cumulative_offsets(vertices)
-    totals = offs.groupBy("seed_id", "id").agg(F.max("total").alias("total"), F.min_by(F.struct("x", "z"), "pos").alias("a"), F.max_by(F.struct("x", "z"), "pos").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Points every `spacing` metres along paths (seed_id, id, pos, x, z and y where there are heights), from the start on;
+    the end is added if it is over 0.35 spacings from the last, else it takes its place: seed_id, id, k, x, z (and y)."""
+    offs, axes = cumulative_offsets(vertices), _axes(vertices)
+    totals = offs.groupBy("seed_id", "id").agg(F.max("total").alias("total"), F.min_by(F.struct(*axes), "pos").alias("a"), F.max_by(F.struct(*axes), "pos").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     ks = totals.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("total") / spacing).cast("int")))).withColumn("fraction", F.when(F.col("total") > 0, F.col("k") * spacing / F.col("total")).otherwise(0.0))
     inner = locate_along(offs, ks.where("k > 0").select("seed_id", "id", "fraction"))
-    points = ks.join(inner, ["seed_id", "id", "fraction"], "left").select("seed_id", "id", "k", F.coalesce("x", "a.x").alias("x"), F.coalesce("z", "a.z").alias("z"), "b")
+    points = ks.join(inner, ["seed_id", "id", "fraction"], "left").select("seed_id", "id", "k", *[F.coalesce(c, f"a.{c}").alias(c) for c in axes], "b")
     w = Window.partitionBy("seed_id", "id")
-    far = F.sqrt((F.col("x") - F.col("b.x")) ** 2 + (F.col("z") - F.col("b.z")) ** 2) > 0.35 * spacing
+    far = F.sqrt(sum(((F.col(c) - F.col(f"b.{c}")) ** 2 for c in axes), F.lit(0.0))) > 0.35 * spacing
     marked = points.withColumn("last", F.col("k") == F.max("k").over(w)).withColumn("far", far)
-    end = marked.where("last").select("seed_id", "id", F.when(F.col("far"), F.col("k") + 1).otherwise(F.col("k")).alias("k"), "b.x", "b.z")
-    return marked.where("not last or far").select("seed_id", "id", "k", "x", "z").unionByName(end)
+    end = marked.where("last").select("seed_id", "id", F.when(F.col("far"), F.col("k") + 1).otherwise(F.col("k")).alias("k"), *[f"b.{c}" for c in axes])
+    return marked.where("not last or far").select("seed_id", "id", "k", *axes).unionByName(end)

@@ -45,6 +45,15 @@ def elevation_at(points: DataFrame, grid: DataFrame, header: DataFrame | None =
     return met.withColumn("y", F.coalesce(top + (low - top) * F.col("tz"), F.lit(0.0))).select(*points.columns, "y")
 
 
+def lay(rows: DataFrame, grid: DataFrame, spots: dict[str, tuple[str, str]], lift: float = 0.0) -> DataFrame:
+    """rows with a height `lift` above the grid for each spot: the height's name and the columns that say where it is."""
+    head = grid_header(grid)
+    for name, (x, z) in spots.items():
+        points = rows.select("seed_id", F.struct(*rows.columns).alias("__row"), F.col(x).alias("x"), F.col(z).alias("z"))
+        rows = elevation_at(points, grid, head).select("__row.*", (F.col("y") + lift).alias(name))
+    return rows
+
+
 def grid_summary(grid: DataFrame) -> DataFrame:
     """Per seed the middle sample's elevation (origin) and the range above it."""
     head = grid_header(grid).select("seed_id", F.floor(F.col("n_rows") / 2).cast("int").alias("row"), F.floor(F.col("n_cols") / 2).cast("int").alias("col"))

@@ -116,7 +116,7 @@ DIST = "sqrt(pow(p.x - (ax + (bx - ax) * t), 2) + pow(p.z - (az + (bz - az) * t)
 def _blocked(pad: float) -> str:
     from .registry import proj
 
-    return f"SELECT seed_id, event_id FROM (SELECT p.*, b.id, ax, az, bx, bz, {proj('p.x', 'p.z', 'ax', 'az', 'bx', 'bz')} AS t FROM telemetry p JOIN bseg b ON b.seed_id = p.seed_id) p GROUP BY seed_id, event_id, x, z, id HAVING {PIP} OR min({DIST}) <= {pad}"
+    return f"SELECT seed_id, event_id FROM (SELECT p.*, b.id, ax, az, bx, bz, {proj('p.x', 'p.z', 'ax', 'az', 'bx', 'bz')} AS t FROM telemetry p JOIN bseg b ON b.seed_id = p.seed_id) p GROUP BY seed_id, event_id, x, z, id HAVING {PIP} OR min({DIST}) < {pad}"
 
 
 @query("c4_can_occupy", with_("bseg", "telemetry", more=f"bad AS ({_blocked(1.1)})") + "SELECT p.seed_id, p.event_id AS point FROM telemetry p JOIN seeds s ON s.seed_id = p.seed_id WHERE sqrt(x * x + z * z) <= radius - 1.1 AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.seed_id = p.seed_id AND bad.event_id = p.event_id)")
@@ -149,8 +149,8 @@ for _mode in REACH:
         return T.visible_tiles(at, T.world_tile(t["telemetry"]), mode)
 
 
-@query("c14_open_spawn", with_("bseg", more=f"""cand AS (SELECT seed_id, radius, k AS event_id, CASE k WHEN 1 THEN 18e0 WHEN 2 THEN -18e0 WHEN 0 THEN 0e0 WHEN 3 THEN 0e0 WHEN 4 THEN 0e0 ELSE cos(((k - 5) % 12) * pi() / 6) * (24 + ((k - 5) // 12) * 18) END AS x,
-CASE k WHEN 3 THEN 18e0 WHEN 4 THEN -18e0 WHEN 0 THEN 0e0 WHEN 1 THEN 0e0 WHEN 2 THEN 0e0 ELSE sin(((k - 5) % 12) * pi() / 6) * (24 + ((k - 5) // 12) * 18) END AS z FROM seeds, range(800) r(k) WHERE k < 5 OR 24 + ((k - 5) // 12) * 18 < radius * 0.7e0),
+@query("c14_open_spawn", with_("bseg", more=f"""cand AS (SELECT seed_id, radius, k AS event_id, CASE k WHEN 0 THEN 0e0 WHEN 1 THEN 0e0 WHEN 2 THEN 16e0 WHEN 3 THEN -16e0 WHEN 4 THEN 0e0 ELSE cos(((k - 5) % 12) * pi() / 6) * (24 + ((k - 5) // 12) * 18) END AS x,
+CASE k WHEN 0 THEN 0e0 WHEN 1 THEN 16e0 WHEN 2 THEN 0e0 WHEN 3 THEN 0e0 WHEN 4 THEN -16e0 ELSE sin(((k - 5) % 12) * pi() / 6) * (24 + ((k - 5) // 12) * 18) END AS z FROM seeds, range(800) r(k) WHERE k < 5 OR 24 + ((k - 5) // 12) * 18 < radius * 0.7e0),
 bad AS ({_blocked(2.0).replace('telemetry p', 'cand p')}), free AS (SELECT * FROM cand c WHERE sqrt(x * x + z * z) <= radius - 2 AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.seed_id = c.seed_id AND bad.event_id = c.event_id)), best AS (SELECT seed_id, arg_min(x, event_id) AS x, arg_min(z, event_id) AS z FROM free GROUP BY seed_id)""") + f"SELECT s.seed_id, {rd('coalesce(x, 0)')} AS x, {rd('coalesce(z, 0)')} AS z FROM seeds s LEFT JOIN best b ON b.seed_id = s.seed_id")
 def _(t):
     return rounded(S.open_spawn(t.seeds, t.rings()), "x", "z")
@@ -169,10 +169,10 @@ def _(t):
     return W.source_details(t["buildings"]).select("seed_id", F.array_join("sources", ",").alias("sources"))
 
 
-@query("t1_nearest_buildings", with_("rb", "bbox", "bv", more="m AS (SELECT seed_id, id, avg(x) AS mx, avg(z) AS mz FROM bv GROUP BY seed_id, id), s AS (SELECT rb.seed_id, rb.id, rb.ord, sqrt(mx * mx + mz * mz) - 0.2e0 * least(rh, 100e0) AS score FROM rb JOIN m ON m.seed_id = rb.seed_id AND m.id = rb.id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY score, ord) AS INTEGER) AS rank, count(*) OVER (PARTITION BY seed_id) AS n FROM s)") + f"SELECT seed_id, id, rank, {rd('score', 3)} AS score, greatest(n - 40, 0) AS truncated FROM k WHERE rank <= 40")
+@query("t1_nearest_buildings", with_("rb", "bbox", "bv", more="m AS (SELECT seed_id, id, avg(x) AS mx, avg(z) AS mz FROM bv GROUP BY seed_id, id), s AS (SELECT rb.seed_id, rb.id, rb.ord, sqrt(mx * mx + mz * mz) - 0.2e0 * least(rh, 100e0) AS score FROM rb JOIN m ON m.seed_id = rb.seed_id AND m.id = rb.id), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY score, ord) AS INTEGER) AS rank, count(*) OVER (PARTITION BY seed_id) AS n FROM s)") + f"SELECT seed_id, id, rank, {rd('score', 3)} AS score, greatest(n - 2500, 0) AS truncated FROM k WHERE rank <= 2500")
 def _(t):
     means = B.polygon_measures(B.rings(t.rings())).select("seed_id", "id", "mean_x", "mean_z")
-    return B.nearest_buildings(B.resolve_heights(t["buildings"]), means, 40).select("seed_id", "id", "rank", r("score", 3), "truncated")
+    return B.nearest_buildings(B.resolve_heights(t["buildings"]), means).select("seed_id", "id", "rank", r("score", 3), "truncated")
 
 
 @query("j1_extract_coordinates", with_("urls") + r"""SELECT page_id, coalesce(t_lon, u_lon) AS lon, coalesce(t_lat, u_lat) AS lat FROM (
@@ -281,12 +281,17 @@ def _(t):
     return t["customer"].select("c_custkey", F.size(v).alias("n"), F.get(v, 0)["lon"].alias("lon"))
 
 
-@query("a6_demo_city", with_("seeds", more=f"""k AS (SELECT seed_id, radius, -radius + i * 54e0 AS gx, -radius + j * 54e0 AS gz, i, j FROM seeds, range(40) a(i), range(40) b(j) WHERE i * 54 <= 2 * radius AND j * 54 <= 2 * radius),
+@query("a6_demo_city", with_("seeds", more=f"""k AS (SELECT seed_id, radius, -radius + 45e0 + i * 54e0 AS gx, -radius + 45e0 + j * 54e0 AS gz, i, j FROM seeds, range(40) a(i), range(40) b(j) WHERE -radius + 45e0 + i * 54e0 < radius - 45e0 AND -radius + 45e0 + j * 54e0 < radius - 45e0),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY i, j) AS INTEGER) AS n FROM k WHERE sqrt(gx * gx + gz * gz) <= radius - 38 AND abs(gx) >= 13 AND abs(gz) >= 13 AND NOT (gx > 50 AND gx < 180 AND gz > -180 AND gz < -50)),
 d AS (SELECT *, concat('demo-building-', CAST(n - 1 AS VARCHAR)) AS id FROM n)""") + f"""SELECT seed_id, id, {rd('gx + (' + unit("concat(id, ':x')") + ' - 0.5e0) * 9')} AS x, {rd('20 + ' + unit("concat(id, ':w')") + ' * 18')} AS width, CASE WHEN n % 5 = 0 THEN {rd('18 + ' + unit("concat(id, ':h')") + ' * 54')} END AS height,
-CASE WHEN n % 3 = 0 THEN 3 + floor({unit("concat(id, ':l')")} * 8) END AS levels, CASE WHEN n % 4 = 0 THEN 'commercial' ELSE 'residential' END AS kind, CASE WHEN n % 7 = 0 THEN 'gabled' WHEN n % 11 = 0 THEN 'hipped' ELSE 'flat' END AS roof_shape FROM d""")
+CASE WHEN n % 3 = 0 THEN 3 + floor({unit("concat(id, ':l')")} * 8) END AS levels, CASE WHEN n % 4 = 0 THEN 'commercial' ELSE 'residential' END AS kind, CASE WHEN n % 7 = 0 THEN 'gabled' WHEN n % 11 = 0 THEN 'hipped' ELSE 'flat' END AS roof_shape, CASE WHEN n % 5 = 0 THEN '#8d5f56' END AS roof_color FROM d""")
 def _(t):
-    return D.demo_buildings(t.seeds).select("seed_id", "id", r("x"), r("width"), r("height"), "levels", "kind", "roof_shape")
+    return D.demo_buildings(t.seeds).select("seed_id", "id", r("x"), r("width"), r("height"), "levels", "kind", "roof_shape", "roof_color")
+
+
+@query("a6_demo_areas", with_("seeds") + "SELECT seed_id, 'demo-park' AS id, 'park' AS kind, 60e0 AS x, -170e0 AS z, 160e0 AS width, 120e0 AS depth FROM seeds UNION ALL SELECT seed_id, 'demo-water', 'water', 35e0 - radius, 0e0, 42e0, radius * 1.6e0 FROM seeds")
+def _(t):
+    return D.demo_areas(t.seeds)
 
 
 @query("a6_demo_roads", with_("seeds", more="g AS (SELECT seed_id, radius, floor((k * 54 - radius) * 100 + 0.5e0) / 100 AS o FROM seeds, range(40) r(k) WHERE k * 54 <= 2 * radius), f AS (SELECT * FROM g UNION ALL SELECT seed_id, radius, radius FROM g GROUP BY seed_id, radius HAVING max(o) < radius), c AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY abs(o), o) AS near, CAST(count(*) OVER (PARTITION BY seed_id) AS INTEGER) AS n_points FROM f)") + "SELECT seed_id, axis, o AS \"offset\", n_points, CASE WHEN near = 1 THEN 'primary' ELSE 'residential' END AS kind, CASE WHEN near = 1 THEN 12e0 ELSE 6e0 END AS width, CASE WHEN near = 1 THEN 50e0 ELSE 30e0 END AS speed_limit FROM c CROSS JOIN (VALUES ('x'), ('z')) a(axis)")

@@ -8,8 +8,9 @@ from ..operators import network as N
 from ..operators import roads as R
 from ..operators import spatial as S
 from ..operators import streets as X
+from ..operators import terrain as E
 from ..operators.storage import durable
-from .registry import proj, query, r, rd, rounded, unit, with_
+from .registry import elev, proj, query, r, rd, rounded, unit, with_
 
 CLIP = """SELECT seed_id, id, ord, pos, radius, ax + (bx - ax) * t0 AS ax, az + (bz - az) * t0 AS az, ax + (bx - ax) * t1 AS bx, az + (bz - az) * t1 AS bz FROM (
 SELECT *, CASE WHEN a > 0 AND disc >= 0 AND greatest(0e0, (-b - sqrt(greatest(disc, 0))) / (2 * a)) <= least(1e0, (-b + sqrt(greatest(disc, 0))) / (2 * a)) THEN greatest(0e0, (-b - sqrt(greatest(disc, 0))) / (2 * a)) WHEN a = 0 AND c <= 0 THEN 0e0 END AS t0,
@@ -82,20 +83,20 @@ def _(t):
     return t.local_roads().select("seed_id", "id", F.size(R.compact(F.col("path"), 30.0)).alias("n"))
 
 
-def entry_graph(t):
+def entry_graph(t, heights: bool = False):
     """The graph of whole vertices: each vertex an entry, every second one a connector; what SQL can say of G1."""
     from ..operators import tiling as T
 
     v = T.to_local(t["road_vertices"], t.seeds)
     e = v.select("seed_id", "id", "ord", F.col("pos").alias("entry"), "x", "z", F.when(F.col("pos") % 2 == 0, F.concat(F.lit("connector:"), "connector")).alias("key"))
-    return R.build_road_graph(t["road_base"], e)
+    return R.build_road_graph(t["road_base"], e, t.grid() if heights else None)
 
 
 BUILT = """named AS (SELECT *, pos AS entry, CASE WHEN pos % 2 = 0 THEN concat('connector:', connector) ELSE concat('node:', CAST(CAST(floor(x / 1.25e0 + 0.5e0) AS BIGINT) AS VARCHAR), ':', CAST(CAST(floor(z / 1.25e0 + 0.5e0) AS BIGINT) AS VARCHAR)) END AS node FROM rv),
 pairs AS (SELECT p.*, b.kind, b.one_way, b.width FROM (SELECT *, lead(node) OVER w AS to_node, lead(x) OVER w AS bx, lead(z) OVER w AS bz FROM named WINDOW w AS (PARTITION BY seed_id, id ORDER BY entry)) p JOIN road_base b ON b.id = p.id WHERE to_node IS NOT NULL AND kind <> 'footway' AND sqrt(pow(bx - x, 2) + pow(bz - z, 2)) >= 0.75),
 ends AS (SELECT seed_id, node, ord * 1000 + entry * 2 AS k, x, z FROM pairs UNION ALL SELECT seed_id, to_node, ord * 1000 + entry * 2 + 1, bx, bz FROM pairs),
 edges AS (SELECT seed_id, concat('edge:', id, ':', CAST(entry AS VARCHAR)) AS edge, ord, entry, node AS from_node, to_node, sqrt(pow(bx - x, 2) + pow(bz - z, 2)) AS length, kind, one_way, width FROM pairs WHERE node <> to_node),
-nodes AS (SELECT e.seed_id, e.node, arg_min(x, k) AS x, arg_min(z, k) AS z FROM ends e WHERE EXISTS (SELECT 1 FROM edges g WHERE g.seed_id = e.seed_id AND (g.from_node = e.node OR g.to_node = e.node)) GROUP BY e.seed_id, e.node),
+nodes AS (SELECT e.seed_id, e.node, arg_min(x, k) AS x, arg_min(z, k) AS z, min(k) AS seq FROM ends e WHERE EXISTS (SELECT 1 FROM edges g WHERE g.seed_id = e.seed_id AND (g.from_node = e.node OR g.to_node = e.node)) GROUP BY e.seed_id, e.node),
 tips AS (SELECT seed_id, from_node AS node, edge, ord, entry FROM edges UNION ALL SELECT seed_id, to_node, edge, ord, entry FROM edges),
 ep AS (SELECT e.*, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz FROM edges e JOIN nodes a ON a.seed_id = e.seed_id AND a.node = e.from_node JOIN nodes b ON b.seed_id = e.seed_id AND b.node = e.to_node),
 ways AS (SELECT seed_id, from_node AS node, to_node AS next_node, edge, length, false AS reversed FROM edges WHERE one_way <> 'backward' UNION ALL SELECT seed_id, to_node, from_node, edge, length, true FROM edges WHERE one_way <> 'forward'),
@@ -111,9 +112,9 @@ def _(t):
     return entry_graph(t)[1].select("seed_id", "edge", "from_node", "to_node", r("length", 3), "kind", "one_way")
 
 
-@query("g1_road_graph_nodes", built(f"SELECT seed_id, node, {rd('x', 3)} AS x, {rd('z', 3)} AS z FROM nodes"))
+@query("g1_road_graph_nodes", built(f"SELECT seed_id, node, {rd('x', 3)} AS x, {rd('y + 0.09e0', 3)} AS y, {rd('z', 3)} AS z FROM ({elev('nodes')})", "grid"))
 def _(t):
-    return rounded(entry_graph(t)[0], "x", "z", digits=3)
+    return rounded(entry_graph(t, True)[0].select("seed_id", "node", "x", "y", "z"), "x", "y", "z", digits=3)
 
 
 @query("g1_road_graph_full")
@@ -149,7 +150,7 @@ def _(t):
     return rounded(R.route_start(nodes, R.adjacency(edges)), "x", "z", digits=3)
 
 
-@query("t2_spawn_points", built(f"SELECT b.seed_id, b.node, rank, degree, f.edge, {rd('CASE WHEN from_node = b.node THEN atan2(bx - ax, bz - az) ELSE atan2(ax - bx, az - bz) END')} AS heading FROM best b JOIN firsts f ON f.seed_id = b.seed_id AND f.node = b.node JOIN ep ON ep.seed_id = b.seed_id AND ep.edge = f.edge", more="best AS (SELECT * FROM (SELECT seed_id, node, degree, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY degree DESC, node) AS INTEGER) AS rank FROM deg) WHERE rank <= 8), firsts AS (SELECT seed_id, node, arg_min(edge, ord * 1000 + entry) AS edge FROM tips GROUP BY seed_id, node)"))
+@query("t2_spawn_points", built(f"SELECT b.seed_id, b.node, rank, degree, f.edge, {rd('CASE WHEN from_node = b.node THEN atan2(bx - ax, bz - az) ELSE atan2(ax - bx, az - bz) END')} AS heading FROM best b JOIN firsts f ON f.seed_id = b.seed_id AND f.node = b.node JOIN ep ON ep.seed_id = b.seed_id AND ep.edge = f.edge", more="best AS (SELECT * FROM (SELECT d.seed_id, d.node, degree, CAST(row_number() OVER (PARTITION BY d.seed_id ORDER BY degree DESC, seq) AS INTEGER) AS rank FROM deg d JOIN nodes m ON m.seed_id = d.seed_id AND m.node = d.node) WHERE rank <= 8), firsts AS (SELECT seed_id, node, arg_min(edge, ord * 1000 + entry) AS edge FROM tips GROUP BY seed_id, node)"))
 def _(t):
     return rounded(R.spawn_points(*entry_graph(t)).select("seed_id", "node", "rank", "degree", "edge", "heading"), "heading")
 
@@ -193,14 +194,16 @@ def _(t):
     return routes.join(n, "seed_id").select("seed_id", "route", "n_steps", r("walked", 2), r("spacing", 3), "n_points")
 
 
-@query("w6_checkpoints_along", with_("roff", more="""tot AS (SELECT seed_id, id, max(total) AS total, arg_min(x, pos) AS sx, arg_min(z, pos) AS sz, arg_max(x, pos) AS ex, arg_max(z, pos) AS ez FROM roff GROUP BY seed_id, id HAVING count(*) > 1),
+@query("w6_checkpoints_along", with_("rv", "grid", more=f"""ry AS (SELECT seed_id, id, pos, x, y, z FROM ({elev('rv', slim=True)})),
+ro AS (SELECT *, max(off) OVER (PARTITION BY seed_id, id) AS total FROM (SELECT *, sum(step) OVER (PARTITION BY seed_id, id ORDER BY pos) AS off FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(z - lag(z) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0e0) AS step FROM ry WINDOW w AS (PARTITION BY seed_id, id ORDER BY pos)))),
+tot AS (SELECT seed_id, id, max(total) AS total, arg_min(x, pos) AS sx, arg_min(y, pos) AS sy, arg_min(z, pos) AS sz, arg_max(x, pos) AS ex, arg_max(y, pos) AS ey, arg_max(z, pos) AS ez FROM ro GROUP BY seed_id, id HAVING count(*) > 1),
 ks AS (SELECT *, k * 80e0 AS target FROM tot, range(1000) a(k) WHERE k <= floor(total / 80)),
-sp AS (SELECT seed_id, id, pos, x AS bx, z AS bz, off, lag(x) OVER w AS ax, lag(z) OVER w AS az, lag(off) OVER w AS before FROM roff WINDOW w AS (PARTITION BY seed_id, id ORDER BY pos)),
-hit AS (SELECT ks.*, ax + (bx - ax) * (target - before) / greatest(0.001e0, off - before) AS hx, az + (bz - az) * (target - before) / greatest(0.001e0, off - before) AS hz, row_number() OVER (PARTITION BY ks.seed_id, ks.id, k ORDER BY pos) AS n FROM ks JOIN sp ON sp.seed_id = ks.seed_id AND sp.id = ks.id AND ax IS NOT NULL AND off >= target),
-pt AS (SELECT seed_id, id, k, CASE WHEN k = 0 THEN sx ELSE hx END AS x, CASE WHEN k = 0 THEN sz ELSE hz END AS z, ex, ez, max(k) OVER (PARTITION BY seed_id, id) AS last FROM hit WHERE n = 1),
-fl AS (SELECT *, sqrt(pow(x - ex, 2) + pow(z - ez, 2)) > 28 AS far FROM pt)""") + f"SELECT seed_id, id, CAST(k AS INTEGER) AS k, {rd('x', 2)} AS x, {rd('z', 2)} AS z FROM (SELECT seed_id, id, k, x, z FROM fl WHERE k < last OR far UNION ALL SELECT seed_id, id, CASE WHEN far THEN k + 1 ELSE k END, ex, ez FROM fl WHERE k = last)")
+sp AS (SELECT seed_id, id, pos, x AS bx, y AS by_, z AS bz, off, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lag(z) OVER w AS az, lag(off) OVER w AS before FROM ro WINDOW w AS (PARTITION BY seed_id, id ORDER BY pos)),
+hit AS (SELECT ks.*, (target - before) / greatest(0.001e0, off - before) AS s, ax, ay, az, bx, by_, bz, row_number() OVER (PARTITION BY ks.seed_id, ks.id, k ORDER BY pos) AS n FROM ks JOIN sp ON sp.seed_id = ks.seed_id AND sp.id = ks.id AND ax IS NOT NULL AND off >= target),
+pt AS (SELECT seed_id, id, k, CASE WHEN k = 0 THEN sx ELSE ax + (bx - ax) * s END AS x, CASE WHEN k = 0 THEN sy ELSE ay + (by_ - ay) * s END AS y, CASE WHEN k = 0 THEN sz ELSE az + (bz - az) * s END AS z, ex, ey, ez, max(k) OVER (PARTITION BY seed_id, id) AS last FROM hit WHERE n = 1),
+fl AS (SELECT *, sqrt(pow(x - ex, 2) + pow(y - ey, 2) + pow(z - ez, 2)) > 28 AS far FROM pt)""") + f"SELECT seed_id, id, CAST(k AS INTEGER) AS k, {rd('x', 2)} AS x, {rd('y', 2)} AS y, {rd('z', 2)} AS z FROM (SELECT seed_id, id, k, x, y, z FROM fl WHERE k < last OR far UNION ALL SELECT seed_id, id, CASE WHEN far THEN k + 1 ELSE k END, ex, ey, ez FROM fl WHERE k = last)")
 def _(t):
-    return rounded(R.checkpoints_along(t.road_points(), 80.0).withColumn("k", F.col("k").cast("int")), "x", "z", digits=2)
+    return rounded(R.checkpoints_along(E.lay(t.road_points(), t.grid(), {"y": ("x", "z")}), 80.0).withColumn("k", F.col("k").cast("int")), "x", "y", "z", digits=2)
 
 
 def matched(t):
@@ -218,22 +221,24 @@ def _(t):
     return rounded(out, "target_x", "target_z", "heading_error", "lateral_error", "corner_severity", "recommended_speed", digits=3)
 
 
-@query("g9_road_strips", with_("rseg", "road_base", more=f"c AS ({CLIP}), l AS (SELECT c.*, least(width, 30) / 2 AS half, sqrt(pow(bx - ax, 2) + pow(bz - az, 2)) AS length FROM c JOIN road_base b ON b.id = c.id AND b.seed_id = c.seed_id)") + f"SELECT seed_id, id, pos, {rd('-(bz - az) / length * half', 3)} AS nx, {rd('(bx - ax) / length * half', 3)} AS nz, {rd('length', 3)} AS length, concat(CAST(CAST(floor(((ax + bx) / 2 + 150) / 300) AS INTEGER) AS VARCHAR), ':', CAST(CAST(floor(((az + bz) / 2 + 150) / 300) AS INTEGER) AS VARCHAR)) AS tile FROM l WHERE length >= 0.05")
+@query("g9_road_strips", with_("rseg", "road_base", "grid", more=f"c AS ({CLIP}), l AS (SELECT c.*, least(width, 30) / 2 AS half, sqrt(pow(bx - ax, 2) + pow(bz - az, 2)) AS length FROM c JOIN road_base b ON b.id = c.id AND b.seed_id = c.seed_id), s0 AS (SELECT *, ax AS x, az AS z FROM l WHERE length >= 0.05), s1 AS (SELECT * EXCLUDE (x, z, y), y + 0.14e0 AS ay, bx AS x, bz AS z FROM ({elev('s0', slim=True)}))") + f"SELECT seed_id, id, pos, {rd('ay', 3)} AS ay, {rd('y + 0.14e0', 3)} AS \"by\", {rd('-(bz - az) / length * half', 3)} AS nx, {rd('(bx - ax) / length * half', 3)} AS nz, {rd('length', 3)} AS length, concat(CAST(CAST(floor(((ax + bx) / 2 + 150) / 300) AS INTEGER) AS VARCHAR), ':', CAST(CAST(floor(((az + bz) / 2 + 150) / 300) AS INTEGER) AS VARCHAR)) AS tile FROM ({elev('s1', slim=True)})")
 def _(t):
     s = R.clip_roads(R.path_segments(t.road_points()), t.seeds)
-    return X.road_strips(s, t["road_base"]).select("seed_id", "id", "pos", r("nx", 3), r("nz", 3), r("length", 3), "tile")
+    return X.road_strips(s, t["road_base"], t.grid()).select("seed_id", "id", "pos", r("nx", 3), r("nz", 3), r("length", 3), "tile", r("ay", 3), r("by", 3))
 
 
-@query("g10_sidewalks_and_markings", with_("rseg", "road_base", more=f"""c AS ({CLIP}), l AS (SELECT c.*, kind, width, sqrt(pow(bx - ax, 2) + pow(bz - az, 2)) AS length FROM c JOIN road_base b ON b.id = c.id AND b.seed_id = c.seed_id WHERE kind <> 'footway'),
+@query("g10_sidewalks_and_markings", with_("rseg", "road_base", "grid", more=f"""c AS ({CLIP}), l AS (SELECT c.*, kind, width, sqrt(pow(bx - ax, 2) + pow(bz - az, 2)) AS length FROM c JOIN road_base b ON b.id = c.id AND b.seed_id = c.seed_id WHERE kind <> 'footway'),
 w AS (SELECT *, 0 AS k, 'sidewalk' AS layer, 0e0 AS a, length AS b, width / 2 + 0.72e0 AS off FROM l WHERE length >= 2 AND kind <> 'motorway' AND width >= 4 UNION ALL SELECT *, 1, 'sidewalk', 0e0, length, -(width / 2 + 0.72e0) FROM l WHERE length >= 2 AND kind <> 'motorway' AND width >= 4
 UNION ALL SELECT l.*, CAST(i + 2 AS INTEGER), 'marking', 2.5e0 + i * 9, least(length - 0.5e0, 6e0 + i * 9), 0e0 FROM l, range(200) r(i) WHERE length >= 2 AND width >= 6.5 AND kind <> 'service' AND 2.5e0 + i * 9 < length - 1),
-q AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY ord, pos, k) AS n FROM w)""") + f"SELECT seed_id, id, pos, k, layer, {rd('ax + (bx - ax) / length * a - (bz - az) / length * off', 3)} AS x0, {rd('az + (bz - az) / length * a + (bx - ax) / length * off', 3)} AS z0, {rd('ax + (bx - ax) / length * b - (bz - az) / length * off', 3)} AS x1 FROM q WHERE n <= 16000")
+q AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY ord, pos, k) AS n FROM w),
+e AS (SELECT seed_id, id, pos, k, layer, ax + (bx - ax) / length * a - (bz - az) / length * off AS x0, az + (bz - az) / length * a + (bx - ax) / length * off AS z0, ax + (bx - ax) / length * b - (bz - az) / length * off AS x1, az + (bz - az) / length * b + (bx - ax) / length * off AS z1, CASE layer WHEN 'sidewalk' THEN 0.18e0 ELSE 0.22e0 END AS lift FROM q WHERE n <= 16000),
+e0 AS (SELECT *, x0 AS x, z0 AS z FROM e), e1 AS (SELECT * EXCLUDE (x, z, y), y AS y0, x1 AS x, z1 AS z FROM ({elev('e0', slim=True)}))""") + f"SELECT seed_id, id, pos, k, layer, {rd('x0', 3)} AS x0, {rd('z0', 3)} AS z0, {rd('x1', 3)} AS x1, {rd('y0 + lift', 3)} AS y0, {rd('y + lift', 3)} AS y1 FROM ({elev('e1', slim=True)})")
 def _(t):
     s = R.clip_roads(R.path_segments(t.road_points()), t.seeds)
-    return X.sidewalks_and_markings(s, t["road_base"]).select("seed_id", "id", "pos", "k", "layer", r("x0", 3), r("z0", 3), r("x1", 3))
+    return X.sidewalks_and_markings(s, t["road_base"], t.grid()).select("seed_id", "id", "pos", "k", "layer", r("x0", 3), r("z0", 3), r("x1", 3), r("y0", 3), r("y1", 3))
 
 
-FIRST = "firsts AS (SELECT seed_id, node, arg_min(edge, ord * 1000 + entry) AS edge, count(*) AS degree FROM tips GROUP BY seed_id, node HAVING count(*) >= 3), j AS (SELECT n.seed_id, n.node, n.x, n.z, e.width, CASE WHEN sqrt(pow(ax - n.x, 2) + pow(az - n.z, 2)) > 0.5 THEN ax ELSE bx END - n.x AS dx, CASE WHEN sqrt(pow(ax - n.x, 2) + pow(az - n.z, 2)) > 0.5 THEN az ELSE bz END - n.z AS dz FROM nodes n JOIN firsts f ON f.seed_id = n.seed_id AND f.node = n.node JOIN ep e ON e.seed_id = f.seed_id AND e.edge = f.edge), jl AS (SELECT *, greatest(0.001e0, sqrt(dx * dx + dz * dz)) AS reach FROM j WHERE dx * dx + dz * dz > 0.25)"
+FIRST = "firsts AS (SELECT seed_id, node, arg_min(edge, ord * 1000 + entry) AS edge, count(*) AS degree FROM tips GROUP BY seed_id, node HAVING count(*) >= 3), j AS (SELECT n.seed_id, n.node, n.x, n.z, n.seq, e.width, CASE WHEN sqrt(pow(ax - n.x, 2) + pow(az - n.z, 2)) > 0.5 THEN ax ELSE bx END - n.x AS dx, CASE WHEN sqrt(pow(ax - n.x, 2) + pow(az - n.z, 2)) > 0.5 THEN az ELSE bz END - n.z AS dz FROM nodes n JOIN firsts f ON f.seed_id = n.seed_id AND f.node = n.node JOIN ep e ON e.seed_id = f.seed_id AND e.edge = f.edge), jl AS (SELECT *, greatest(0.001e0, sqrt(dx * dx + dz * dz)) AS reach FROM j WHERE dx * dx + dz * dz > 0.25)"
 
 
 @query("g11_crosswalks", built(f"SELECT seed_id, node, CAST(s - 2 AS INTEGER) AS stripe, {rd('x + dx / reach * (s - 2) * 0.85e0 + dz / reach * width * 0.48e0', 3)} AS ax, {rd('z + dz / reach * (s - 2) * 0.85e0 - dx / reach * width * 0.48e0', 3)} AS az FROM jl, range(5) r(s)", more=FIRST))
@@ -244,11 +249,13 @@ def _(t):
 SIDE = unit("concat(edge, ':tree-side')")
 
 
-@query("g12_street_furniture", built(f"""SELECT seed_id, 'tree' AS layer, edge AS owner, CAST(k AS INTEGER) AS k, {rd('x', 3)} AS x, {rd('z', 3)} AS z, {rd('2 * pi() * ' + unit("concat(edge, ':', CAST(22 + 42 * k AS VARCHAR))"), 5)} AS yaw FROM t WHERE n <= 420
-UNION ALL SELECT seed_id, 'light', node, CAST(k AS INTEGER), {rd('x - dz / reach * (width / 2 + 2.1e0)', 3)}, {rd('z + dx / reach * (width / 2 + 2.1e0)', 3)}, {rd('atan2(dx, dz)', 5)} FROM jr WHERE k < 180
-UNION ALL SELECT seed_id, 'sign', node, CAST(k AS INTEGER), {rd('x - dz / reach * (width / 2 + 2.1e0) + dx / reach', 3)}, {rd('z + dx / reach * (width / 2 + 2.1e0) + dz / reach', 3)}, {rd('atan2(dx, dz)', 5)} FROM jr WHERE k < 180 AND k % 2 = 0""", more=FIRST + f""", e2 AS (SELECT ep.*, s.radius, sqrt(pow(bx - ax, 2) + pow(bz - az, 2)) AS span FROM ep JOIN seeds s ON s.seed_id = ep.seed_id WHERE length >= 30 AND kind <> 'motorway'),
+@query("g12_street_furniture", built(f"SELECT seed_id, layer, owner, k, {rd('px', 3)} AS x, {rd('pz', 3)} AS z, {rd('yaw', 5)} AS yaw, {rd('y', 3)} AS y FROM ({elev('f', slim=True)})", "grid", more=FIRST + f""", e2 AS (SELECT ep.*, s.radius, sqrt(pow(bx - ax, 2) + pow(bz - az, 2)) AS span FROM ep JOIN seeds s ON s.seed_id = ep.seed_id WHERE length >= 30 AND kind <> 'motorway'),
 t0 AS (SELECT *, 22 + 42 * k AS d, CASE WHEN {SIDE} > 0.5 THEN 1e0 ELSE -1e0 END * (width / 2 + 3.2e0) AS off FROM e2, range(400) r(k) WHERE 22 + 42 * k < span - 8), t1 AS (SELECT *, ax + (bx - ax) / span * d - (bz - az) / span * off AS x, az + (bz - az) / span * d + (bx - ax) / span * off AS z FROM t0),
-t AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY ord, entry, k) AS n FROM t1 WHERE sqrt(x * x + z * z) <= radius - 4), jr AS (SELECT jl.*, row_number() OVER (PARTITION BY jl.seed_id ORDER BY node) - 1 AS k FROM jl JOIN seeds s ON s.seed_id = jl.seed_id WHERE sqrt(x * x + z * z) <= radius - 5)"""))
+t AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY ord, entry, k) AS n FROM t1 WHERE sqrt(x * x + z * z) <= radius - 4), jr AS (SELECT jl.*, row_number() OVER (PARTITION BY jl.seed_id ORDER BY seq) AS n FROM jl JOIN seeds s ON s.seed_id = jl.seed_id WHERE sqrt(x * x + z * z) <= radius - 5),
+jp AS (SELECT *, n - 1 AS k, x - dz / reach * (width / 2 + 2.1e0) AS lx, z + dx / reach * (width / 2 + 2.1e0) AS lz FROM jr WHERE n <= 180),
+f AS (SELECT seed_id, 'tree' AS layer, edge AS owner, CAST(k AS INTEGER) AS k, x, z, x AS px, z AS pz, 2 * pi() * {unit("concat(edge, ':', CAST(22 + 42 * k AS VARCHAR))")} AS yaw FROM t WHERE n <= 420
+UNION ALL SELECT seed_id, 'light', node, CAST(k AS INTEGER), lx, lz, lx, lz, atan2(dx, dz) FROM jp
+UNION ALL SELECT seed_id, 'sign', node, CAST(k AS INTEGER), lx, lz, lx + dx / reach, lz + dz / reach, atan2(dx, dz) FROM jp WHERE k % 2 = 0)"""))
 def _(t):
     nodes, edges = entry_graph(t)
-    return X.street_furniture(nodes, edges, t.seeds).select("seed_id", "layer", "owner", F.col("k").cast("int").alias("k"), r("x", 3), r("z", 3), r("yaw", 5))
+    return X.street_furniture(nodes, edges, t.seeds, t.grid()).select("seed_id", "layer", "owner", F.col("k").cast("int").alias("k"), r("x", 3), r("z", 3), r("yaw", 5), r("y", 3))

@@ -175,11 +175,11 @@ FROM rv v"""),
 }
 
 
-def elev(points: str, key: str = "point") -> str:
-    """SELECT of points' elevations in the grid: bilinear from the four samples around, on 33 x 33 samples."""
-    return f"""SELECT p.*, coalesce(h00 * (1 - tx) * (1 - tz) + h01 * tx * (1 - tz) + h10 * (1 - tx) * tz + h11 * tx * tz, 0e0) AS y FROM (
-SELECT p.*, p.gx - p.c0 AS tx, p.gz - p.r0 AS tz, a.height AS h00, b.height AS h01, c.height AS h10, d.height AS h11 FROM (
+def elev(points: str, slim: bool = False) -> str:
+    """SELECT of points' elevations in the grid: bilinear from the four samples around, on 33 x 33 samples. slim: of the
+    points' own columns and y alone."""
+    return f"""SELECT {'p.*' if not slim else 'p.* EXCLUDE (gx, gz, c0, r0, tx, tz, h00, h01, h10, h11)'}, coalesce(h00 * (1 - tx) * (1 - tz) + h01 * tx * (1 - tz) + h10 * (1 - tx) * tz + h11 * tx * tz, 0e0) AS y FROM (
+SELECT p.*, p.gx - p.c0 AS tx, p.gz - p.r0 AS tz, h00, h01, h10, h11 FROM (
 SELECT *, CAST(least(31, floor(gx)) AS INTEGER) AS c0, CAST(least(31, floor(gz)) AS INTEGER) AS r0 FROM (
 SELECT p.*, greatest(0e0, least(1e0, (p.x + s.radius) / (2 * s.radius))) * 32 AS gx, greatest(0e0, least(1e0, (p.z + s.radius) / (2 * s.radius))) * 32 AS gz FROM {points} p JOIN seeds s ON s.seed_id = p.seed_id)) p
-JOIN grid a ON a.seed_id = p.seed_id AND a.row = r0 AND a.col = c0 JOIN grid b ON b.seed_id = p.seed_id AND b.row = r0 AND b.col = c0 + 1
-JOIN grid c ON c.seed_id = p.seed_id AND c.row = r0 + 1 AND c.col = c0 JOIN grid d ON d.seed_id = p.seed_id AND d.row = r0 + 1 AND d.col = c0 + 1) p"""
+JOIN (SELECT seed_id, row, col, height AS h00, lead(height) OVER a AS h01, lead(height, 33) OVER b AS h10, lead(height, 34) OVER b AS h11 FROM grid WINDOW a AS (PARTITION BY seed_id, row ORDER BY col), b AS (PARTITION BY seed_id ORDER BY row, col)) g ON g.seed_id = p.seed_id AND g.row = r0 AND g.col = c0) p"""

@@ -8,14 +8,14 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import half_up, seeded_unit
 
-SPACING = 54.0
+SPACING, MARGIN = 54.0, 45.0
 
 
 def demo_buildings(seeds: DataFrame) -> DataFrame:
-    """Buildings on a lattice that leaves out the two main roads, the park and the rim: seed_id, id, n (from 1), x, z, width,
-    depth, height, levels, kind, roof_shape, roof_height."""
-    last = F.floor(F.col("radius") * 2 / SPACING).cast("int")
-    at = lambda k: -F.col("radius") + F.col(k) * SPACING
+    """Buildings on a lattice from MARGIN inside the square on, which leaves out the two main roads, the park and the rim:
+    seed_id, id, n (from 1), x, z, width, depth, height, levels, kind, roof_shape, roof_height, roof_color."""
+    last = F.ceil((F.col("radius") - MARGIN) * 2 / SPACING).cast("int") - 1
+    at = lambda k: -F.col("radius") + MARGIN + F.col(k) * SPACING
     spread = seeds.select("seed_id", "radius").withColumn("i", F.explode(F.sequence(F.lit(0), last))).withColumn("j", F.explode(F.sequence(F.lit(0), last)))
     cells = spread.withColumns({"gx": at("i"), "gz": at("j")})
     cells = cells.where((F.sqrt(F.col("gx") ** 2 + F.col("gz") ** 2) <= F.col("radius") - 38) & (F.abs("gx") >= 13) & (F.abs("gz") >= 13))
@@ -27,7 +27,7 @@ def demo_buildings(seeds: DataFrame) -> DataFrame:
     return b.select(
         "seed_id", "id", "n", (F.col("gx") + (u(":x") - 0.5) * 9).alias("x"), (F.col("gz") + (u(":z") - 0.5) * 9).alias("z"), (u(":w") * 18 + 20).alias("width"), (u(":d") * 20 + 18).alias("depth"),
         F.when(every(5), u(":h") * 54 + 18).alias("height"), F.when(every(3), F.floor(u(":l") * 8) + 3).cast("double").alias("levels"), F.when(every(4), "commercial").otherwise("residential").alias("kind"),
-        F.when(every(7), "gabled").when(every(11), "hipped").otherwise("flat").alias("roof_shape"), F.when(every(7), 3.5).alias("roof_height"),
+        F.when(every(7), "gabled").when(every(11), "hipped").otherwise("flat").alias("roof_shape"), F.when(every(7), 3.5).alias("roof_height"), F.when(every(5), "#8d5f56").alias("roof_color"),
     )
 
 
