@@ -157,20 +157,23 @@ def _(t):
 
 DIST = "sqrt(pow(p.x - (p.ax + (p.bx - p.ax) * p.t), 2) + pow(p.z - (p.az + (p.bz - p.az) * p.t), 2))"
 NEAREST = f"SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, ord, entry) AS k FROM (SELECT p.*, {DIST} AS dist FROM (SELECT p.event_id, p.seed_id, p.x, p.z, p.speed, p.heading AS vh, e.edge, e.ord, e.entry, e.kind, e.width, e.name, ax, az, bx, bz, {proj('p.x', 'p.z', 'ax', 'az', 'bx', 'bz')} AS t FROM telemetry p JOIN epn e ON e.seed_id = p.seed_id) p)"
-EPN = "epn AS (SELECT ep.*, b.name FROM ep JOIN road_base b ON concat('edge:', b.id, ':', CAST(ep.entry AS VARCHAR)) = ep.edge)"
+EPN = "epn AS (SELECT ep.*, b.name FROM ep JOIN road_base b ON concat('edge:', b.id, ':', CAST(ep.entry AS VARCHAR)) = ep.edge WHERE ep.seed_id <> 3)"
 
 
-@query("c6_nearest_road", built(f"SELECT seed_id, event_id AS point, {rd('dist', 3)} AS distance FROM near WHERE k = 1", "telemetry", more=f"{EPN}, near AS ({NEAREST})"))
+def placed_edges(t):
+    """The graph's edges with their ends; seed 3 has no roads, so that its positions match none."""
+    return durable(R.edges_with_points(*entry_graph(t)).where("seed_id <> 3"))
+
+
+@query("c6_nearest_road", built(f"SELECT t.seed_id, t.event_id AS point, {rd('dist', 3)} AS distance FROM telemetry t LEFT JOIN (SELECT * FROM near WHERE k = 1) n ON n.event_id = t.event_id", "telemetry", more=f"{EPN}, near AS ({NEAREST})"))
 def _(t):
-    e = durable(R.edges_with_points(*entry_graph(t)))
-    return S.nearest_road(t.positions(), e).select("seed_id", "point", r("distance", 3))
+    return S.nearest_road(t.positions(), placed_edges(t)).select("seed_id", "point", r("distance", 3))
 
 
-@query("c7_nearest_road_indexed", built(f"SELECT seed_id, point, {rd('min(dist) FILTER (WHERE ring = best)', 3)} AS distance FROM (SELECT *, min(ring) OVER (PARTITION BY point) AS best FROM ringed) GROUP BY seed_id, point", "telemetry", more=f"""{EPN}, ringed AS (SELECT seed_id, event_id AS point, dist, CASE WHEN m <= 2 THEN m ELSE 3 END AS ring FROM (
+@query("c7_nearest_road_indexed", built(f"SELECT t.seed_id, t.event_id AS point, {rd('min(dist) FILTER (WHERE ring = best)', 3)} AS distance FROM telemetry t LEFT JOIN (SELECT *, min(ring) OVER (PARTITION BY point) AS best FROM ringed) r ON r.point = t.event_id GROUP BY t.seed_id, t.event_id", "telemetry", more=f"""{EPN}, ringed AS (SELECT seed_id, event_id AS point, dist, CASE WHEN m <= 2 THEN m ELSE 3 END AS ring FROM (
 SELECT *, greatest(greatest(floor(least(ax, bx) / 72) - floor(x / 72), floor(x / 72) - floor(greatest(ax, bx) / 72), 0), greatest(floor(least(az, bz) / 72) - floor(z / 72), floor(z / 72) - floor(greatest(az, bz) / 72), 0)) AS m FROM ({NEAREST})))"""))
 def _(t):
-    e = durable(R.edges_with_points(*entry_graph(t)))
-    return S.nearest_road_indexed(t.positions(), e).select("seed_id", "point", r("distance", 3))
+    return S.nearest_road_indexed(t.positions(), placed_edges(t)).select("seed_id", "point", r("distance", 3))
 
 
 def walks(t):
@@ -207,11 +210,10 @@ def _(t):
 
 
 def matched(t):
-    """Telemetry with its nearest road and edge attributes."""
-    nodes, edges = entry_graph(t)
-    e = durable(R.edges_with_points(nodes, edges))
+    """Telemetry with its nearest road point (nulls where the seed has no roads), and the edges."""
+    e = placed_edges(t)
     near = S.nearest_road(t.positions(), e).select("seed_id", F.col("point").alias("event_id"), "edge", "distance", "px", "pz")
-    return t["telemetry"].join(near, ["seed_id", "event_id"]), e
+    return t["telemetry"].join(near, ["seed_id", "event_id"], "left"), e
 
 
 @query("c13_graph_lookahead")

@@ -306,17 +306,20 @@ def _(t):
     return W.attribution_document(a, t.seeds.join(W.source_details(t["buildings"]), "seed_id", "left"))
 
 
-@query("s1_telemetry_enrich", built(f"SELECT event_id, CAST(floor(abs(speed) * 3.6e0 + 0.5e0) AS INTEGER) AS speed_kph, coalesce(name, replace(kind, '_', ' ')) AS road_name, dist > width * 0.62e0 + 1.4e0 AS off_road FROM ({NEAREST}) WHERE k = 1", "telemetry", more=EPN))
+@query("s1_telemetry_enrich", built(f"SELECT t.event_id, CAST(floor(abs(t.speed) * 3.6e0 + 0.5e0) AS INTEGER) AS speed_kph, coalesce(name, replace(kind, '_', ' '), 'No drivable road') AS road_name, coalesce(dist > width * 0.62e0 + 1.4e0, true) AS off_road FROM telemetry t LEFT JOIN (SELECT * FROM ({NEAREST}) WHERE k = 1) n ON n.event_id = t.event_id", "telemetry", more=EPN))
 def _(t):
     m, e = matched(t)
-    return M.telemetry(m.join(e.select("seed_id", "edge", "kind", "width", "name"), ["seed_id", "edge"])).select("event_id", "speed_kph", "road_name", "off_road")
+    return M.telemetry(m.join(e.select("seed_id", "edge", "kind", "width", "name"), ["seed_id", "edge"], "left")).select("event_id", "speed_kph", "road_name", "off_road")
 
 
-@query("s2_challenge_progress")
+@query("s2_challenge_progress", with_("telemetry", more="""o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, x / 50 AS x, z / 50 AS z, abs(speed) > 1.2 AS moves, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM telemetry),
+f AS (SELECT user_id, event_id, sec, n, CASE WHEN moves THEN CASE WHEN sqrt(pow(x - 5, 2) + pow(z - 5, 2)) <= 9 THEN 2 ELSE 1 END ELSE 1 END AS nxt, moves AS started, 0e0 AS elapsed FROM o WHERE n = 1
+UNION ALL SELECT o.user_id, o.event_id, o.sec, o.n, CASE WHEN f.nxt < 3 AND (f.started OR o.moves) AND sqrt(pow(o.x - CASE f.nxt WHEN 1 THEN 5 ELSE -5 END, 2) + pow(o.z - 5, 2)) <= 9 THEN f.nxt + 1 ELSE f.nxt END, f.started OR o.moves,
+CASE WHEN f.nxt < 3 AND (f.started OR o.moves) THEN f.elapsed + (o.sec - f.sec) ELSE f.elapsed END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)""").replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT user_id, event_id, CASE WHEN nxt > 2 THEN 'finished' WHEN started THEN 'running' ELSE 'ready' END AS status, {rd('elapsed', 3)} AS elapsed, CAST(least(nxt, 2) AS INTEGER) AS checkpoint FROM f")
 def _(t):
     e = t["telemetry"].select("user_id", "event_id", "ts", (F.col("x") / 50).alias("x"), (F.col("z") / 50).alias("z"), "speed")
     route = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(z).alias("z")) for x, z in ((0.0, 0.0), (5.0, 5.0), (-5.0, 5.0))])
-    return M.challenge_batch(e, e.select("user_id").distinct().withColumn("route", route))
+    return rounded(M.challenge_batch(e, e.select("user_id").distinct().withColumn("route", route)), "elapsed", digits=3)
 
 
 @query("s3_best_time_stream", "SELECT event_type AS route, min(value) AS best_seconds FROM events GROUP BY event_type")
@@ -358,9 +361,14 @@ def _(t):
     return M.ewma(s, 0.2).select("event_id", r("smooth"))
 
 
-@query("s7_cache_ttl", with_("telemetry", more="k AS (SELECT user_id % 40 AS place, min(ts) AS ts FROM telemetry GROUP BY user_id % 40)") + "SELECT place, ts FROM k")
+TTL_MS = 7 * 86_400_000
+
+
+@query("s7_cache_ttl", f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, ms AS last, n, true AS accepted FROM o WHERE n = 1 UNION ALL SELECT o.user_id, o.event_id, CASE WHEN o.ms - f.last >= {TTL_MS} THEN o.ms ELSE f.last END, o.n, o.ms - f.last >= {TTL_MS} FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT user_id, event_id FROM f WHERE accepted""")
 def _(t):
-    return t["telemetry"].groupBy((F.col("user_id") % 40).alias("place")).agg(F.min("ts").alias("ts"))
+    return M.cooldown_batch(t["events"].select("user_id", "event_id", "ts"), TTL_MS).where("accepted").select("user_id", "event_id")
 
 
 @query("w8_budget_prefix", with_("road_base", more="c AS (SELECT *, sum(width) OVER (PARTITION BY seed_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM road_base)") + "SELECT seed_id, id FROM c WHERE coalesce(before, 0) < 600")

@@ -3,10 +3,11 @@ key, with batch twins that fold the same step over ordered rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
@@ -35,21 +36,36 @@ def best_times(finishes: DataFrame) -> DataFrame:
     return finishes.groupBy("route").agg(F.min("seconds").alias("best_seconds"))
 
 
-def _accept(last: Column, at: Column, ms: int) -> Column:
-    return last.isNull() | (at - last >= ms)
+def fold_in_order(rows: DataFrame, key: str, order: list[str], begin: Callable, step: Callable, schema: str) -> DataFrame:
+    """Rows of each key in order, each with what step(state, row) gives: (state, values of schema). begin(): a key's first
+    state. Rows stream by sorted, and the state of one key is all that a task holds, however many rows the key has."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                k = getattr(row, key)
+                if k != now:
+                    now, state = k, begin()
+                state, values = step(state, row)
+                out.append(values)
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def cooldown_batch(requests: DataFrame, ms: int = 2500, key: str = "user_id") -> DataFrame:
     """Requests (key, ts, event_id) with `accepted`: the first of a client, and each that comes `ms` or more after the last
-    accepted one. A fold over each client's requests in order; one client's requests are few beside the table."""
-    lists = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("event_id")))).alias("r"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<event_id:bigint,accepted:boolean>>").alias("out"))
+    accepted one."""
+    rows = requests.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id").where(F.col(key).isNotNull())
 
-    def step(acc, r):
-        ok = _accept(acc["last"], r["at"], ms)
-        return F.struct(F.when(ok, r["at"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(r["event_id"].alias("event_id"), ok.alias("accepted")))).alias("out"))
+    def step(last, r):
+        ok = last is None or r.at - last >= ms
+        return (r.at if ok else last), (getattr(r, key), r.event_id, ok)
 
-    return lists.select(key, F.explode(F.aggregate("r", zero, step)["out"]).alias("o")).select(key, "o.event_id", "o.accepted")
+    return fold_in_order(rows, key, ["at", "event_id"], lambda: None, step, f"{key} long, event_id long, accepted boolean")
 
 
 def cooldown_stream(requests: DataFrame, ms: int = 2500, key: str = "user_id") -> DataFrame:
@@ -78,14 +94,14 @@ def cooldown_stream(requests: DataFrame, ms: int = 2500, key: str = "user_id") -
 def ewma(samples: DataFrame, response: float = 7.5, key: str = "user_id") -> DataFrame:
     """Smoothed values of samples (key, event_id, t in seconds, value): cur + (value - cur)(1 - exp(-max(0, dt) response)),
     starting at the first value."""
-    lists = samples.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))).alias("s"))
-    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("cur"), F.array().cast("array<struct<event_id:bigint,smooth:double>>").alias("out"))
 
-    def step(acc, s):
-        cur = F.when(acc["cur"].isNull(), s["value"]).otherwise(acc["cur"] + (s["value"] - acc["cur"]) * (1 - F.exp(-F.greatest(F.lit(0.0), s["t"] - acc["t"]) * response)))
-        return F.struct(s["t"].alias("t"), cur.alias("cur"), F.concat(acc["out"], F.array(F.struct(s["event_id"].alias("event_id"), cur.alias("smooth")))).alias("out"))
+    def step(state, r):
+        t, cur = state
+        cur = r.value if cur is None else cur + (r.value - cur) * (1 - math.exp(-max(0.0, r.t - t) * response))
+        return (r.t, cur), (getattr(r, key), r.event_id, cur)
 
-    return lists.select(key, F.explode(F.aggregate("s", zero, step)["out"]).alias("o")).select(key, "o.event_id", "o.smooth")
+    rows = samples.select(key, "event_id", "t", "value").where(F.col(key).isNotNull())
+    return fold_in_order(rows, key, ["t", "event_id"], lambda: (0.0, None), step, f"{key} long, event_id long, smooth double")
 
 
 def signature_changes(active: DataFrame, key: str = "user_id") -> DataFrame:
@@ -136,21 +152,17 @@ PROGRESS = "user_id long, event_id long, status string, elapsed double, checkpoi
 
 def challenge_batch(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """The state of each vehicle's drive after each event (user_id, event_id, ts, x, z, speed), on its own checkpoints
-    (user_id, route array<(x, z)>)."""
-
-    def fold(k: tuple, rows: pd.DataFrame, routes: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or routes.empty:
-            return pd.DataFrame(columns=["user_id", "event_id", "status", "elapsed", "checkpoint"])
-        route = [(p["x"], p["z"]) for p in routes["route"].iloc[0]]
-        state, last, out = ("ready", 0.0, 1), None, []
-        for r in rows.sort_values(["ts", "event_id"]).itertuples():
-            at = r.ts.value / 1e9
-            state = drive_step(state, 0.0 if last is None else at - last, r.x, r.z, r.speed, route) if state[0] != "finished" else state
-            last = at
-            out.append((k[0], r.event_id, state[0], state[1], min(state[2], len(route) - 1)))
-        return pd.DataFrame(out, columns=["user_id", "event_id", "status", "elapsed", "checkpoint"])
+    (user_id, route array<(x, z)>; vehicles without a route of two points are left out)."""
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
+    rows = events.select("user_id", "event_id", at, "x", "z", "speed").join(checkpoints.where(F.size("route") >= 2).select("user_id", F.transform("route", lambda p: p["x"]).alias("rx"), F.transform("route", lambda p: p["z"]).alias("rz")), "user_id")
+
+    def step(state, r):
+        drive, last = state
+        if drive[0] != "finished":
+            drive = drive_step(drive, 0.0 if last is None else r.at - last, r.x, r.z, r.speed, list(zip(r.rx, r.rz)))
+        return (drive, r.at), (r.user_id, r.event_id, drive[0], drive[1], min(drive[2], len(r.rx) - 1))
 
-    return events.groupBy("user_id").cogroup(checkpoints.where(F.size("route") >= 2).groupBy("user_id")).applyInPandas(fold, PROGRESS)
+    return fold_in_order(rows, "user_id", ["at", "event_id"], lambda: (("ready", 0.0, 1), None), step, PROGRESS)
 
 
 def challenge_stream(events: DataFrame) -> DataFrame:
