@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A key that holds more than one in HOT_SHARE of the rows counts as hot; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1024
 #: Bytes of text that one step of a vectorised kernel works on.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

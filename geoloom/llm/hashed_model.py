@@ -52,7 +52,7 @@ def train(texts: list[bytes], targets: np.ndarray, steps: int = STEPS) -> np.nda
     for a, z in chunks(texts):
         g, n = grams(texts[a:z])
         key, count = np.unique(np.repeat(np.arange(z - a), n).astype(np.int64) << BITS | g, return_counts=True)
-        rows.append((key >> BITS) + a)
+        rows.append(((key >> BITS) + a).astype(np.int32))
         cols.append((key & ((1 << BITS) - 1)).astype(np.int32))
         shares.append((count / n[key >> BITS]).astype(np.float32))
     row, col, share = np.concatenate(rows), np.concatenate(cols), np.concatenate(shares)
@@ -61,10 +61,10 @@ def train(texts: list[bytes], targets: np.ndarray, steps: int = STEPS) -> np.nda
     w[:, -1] = np.log(prior)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        x = np.stack([np.add.reduceat(w[c][col] * share, starts) + w[c, -1] for c in range(k)], axis=1)
+        x = np.stack([np.add.reduceat(w[c].astype(np.float32)[col] * share, starts, dtype=np.float64) + w[c, -1] for c in range(k)], axis=1)
         e = np.exp(x - x.max(axis=1, keepdims=True))
         miss = (e / e.sum(axis=1, keepdims=True) - targets) / len(texts)
-        grad = np.stack([np.append(np.bincount(col, weights=miss[row, c] * share, minlength=1 << BITS), miss[:, c].sum()) for c in range(k)])
+        grad = np.stack([np.append(np.bincount(col, weights=miss[:, c].astype(np.float32)[row] * share, minlength=1 << BITS), miss[:, c].sum()) for c in range(k)])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = RATE * 4 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         step[:, -1] *= 0.02

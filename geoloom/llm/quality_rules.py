@@ -24,7 +24,7 @@ LOW, HIGH, NOISE = 8.0, 6.0, 2.0
 #: Least deviation (nats a letter), and documents at which a language's deviation is doubled, as so few say little of it.
 LEAST_SPREAD, FEW_DOCS = 0.02, 20
 #: Grams that a task holds before it sends what it has counted.
-MOST_HELD = 4_000_000
+MOST_HELD = 600_000
 BIN = 2000
 
 
