@@ -20,6 +20,12 @@ def _length() -> Column:
     return F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("bz") - F.col("az")) ** 2)
 
 
+def budget_prefix(items: DataFrame, cap: float, weight: str, order: str, key: str = "seed_id") -> DataFrame:
+    """The items of each key, in order, before which less than `cap` of the weight is spent."""
+    before = F.sum(weight).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return items.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < cap).drop("__before")
+
+
 def road_strips(segments: DataFrame, roads: DataFrame, grid: DataFrame) -> DataFrame:
     """Clipped segments (seed_id, id, pos, ax, az, bx, bz) as quads 0.14 m above the grid: the heights ay, by of both ends, the
     offset nx, nz of a corner from the line, and the tile of the middle; those under 0.05 m go."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.resolve import terrarium
 from ..operators import buildings as B
 from ..operators import roads as R
+from ..operators import streets as X
 from ..operators import terrain as E
 from ..operators import tiling as T
 from ..operators import world as W
@@ -373,7 +374,4 @@ def _(t):
 
 @query("w8_budget_prefix", with_("road_base", more="c AS (SELECT *, sum(width) OVER (PARTITION BY seed_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM road_base)") + "SELECT seed_id, id FROM c WHERE coalesce(before, 0) < 600")
 def _(t):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("seed_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return t["road_base"].withColumn("before", F.coalesce(F.sum("width").over(w), F.lit(0.0))).where("before < 600").select("seed_id", "id")
+    return X.budget_prefix(t["road_base"], 600.0, "width", "ord").select("seed_id", "id")
