@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1024
 #: Bytes of text that one step of a vectorised kernel works on.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python. Batches bounded by rows alone grow with the texts, on both sides.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,10 @@ def durable(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def whole_texts(docs: DataFrame, *more) -> DataFrame:
-    """doc_id and the whole text (null: empty); only these columns, so that no extra column can clash."""
+    """doc_id and the whole text (null: empty); only these columns, so that no extra column can clash. Texts go to Python in
+    batches of about BATCH_BYTES (a longer one alone, whole) unless the session has a size of its own."""
+    if docs.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        docs.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *more)
 
 
