@@ -142,8 +142,13 @@ def head_of(model: DataFrame, most: int | None = None) -> tuple[dict, DataFrame]
         if held > most:
             break
         least = b
-    top = model.where(_count_bin(F.col("n")) >= least).select("lang", "gram", "held").toPandas()
-    tables = {lang: HashArrays(one["gram"].to_numpy(), -np.log(one["held"].to_numpy())) for lang, one in top.groupby("lang")}
+    # as Arrow columns, since a Python object for each gram would take the driver's memory
+    top = model.where(_count_bin(F.col("n")) >= least).select("lang", "gram", "held").toArrow().combine_chunks()
+    langs = top["lang"].combine_chunks().dictionary_encode()
+    code, gram, p = langs.indices.to_numpy(), top["gram"].to_numpy(), top["held"].to_numpy()
+    order = np.argsort(code, kind="stable")
+    parts = np.split(order, np.searchsorted(code[order], np.arange(1, len(langs.dictionary))))
+    tables = {lang: HashArrays(gram[at], -np.log(p[at])) for lang, at in zip(langs.dictionary.to_pylist(), parts)}
     return tables, model.where(_count_bin(F.col("n")) < least)
 
 
