@@ -22,8 +22,9 @@ PASSAGE, PASSAGES = 10, 8
 #: A sketch has the least shingle hash of each of 64 bins in a byte; at 0.8 its estimate has a deviation of 0.05, so pairs
 #: estimated at PROBABLE or more are verified, and those at STRONG or more spare the search of a large run more of them.
 BINS, PROBABLE, STRONG = 64, 0.6, 0.9
-#: All probable pairs of runs up to this length are verified; longer ones are searched part by part.
-SMALL_RUN = 64
+#: All probable pairs of runs up to this length are verified at once. In longer ones a text first meets its BEST likeliest
+#: partners and the run's PIVOTS, those that are like most others; what is still apart then meets in a second search.
+SMALL_RUN, BEST, PIVOTS = 64, 4, 8
 RUN_ROWS = 200_000
 
 
@@ -81,17 +82,18 @@ def _estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return ((one == many) & (one > 0)).sum(axis=1) / np.maximum(((one > 0) | (many > 0)).sum(axis=1), 1)
 
 
-def run_pairs(node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def run_pairs(node: np.ndarray, n: np.ndarray, bits: np.ndarray, best: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probable pairs of texts that share a passage.
 
     Texts of which the smaller has less than SIMILARITY of the larger's shingles can't be near copies. In a long run the
     texts that strong pairs reach are walked through before any other, and each meets all that are not reached yet; so
-    pairs of two such parts all come, and within a part enough of them to connect it.
+    pairs of two such parts all come, and within a part enough of them to connect it. With `best`, each gives its strong
+    pairs and its `best` other ones alone, and the PIVOTS give all of theirs: a number of pairs that grows with the run, not
+    its square. pairs_apart() finds what these leave out.
     """
-    order = np.lexsort((node, n))
-    node, n, bits = node[order], n[order], bits[order]
-    low, high = np.searchsorted(n, np.ceil(n * SIMILARITY - 1e-9)), np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), "right")
+    node, n, bits, low, high = _by_size(node, n, bits)
     left, us, vs = np.ones(len(node), bool), [node[:0]], [node[:0]]
+    liked, long = np.zeros(len(node)), len(node) > SMALL_RUN
     for first in range(len(node)):
         queue = [first] if left[first] else []
         left[first] = False
@@ -101,27 +103,68 @@ def run_pairs(node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.nda
             if not len(to):
                 continue
             value = _estimates(bits[i], bits[to])
-            near = to[value >= PROBABLE]
-            us.append(np.full(len(near), node[i]))
-            vs.append(node[near])
-            if len(node) > SMALL_RUN:
-                strong = to[value >= STRONG]
+            near, value = to[value >= PROBABLE], value[value >= PROBABLE]
+            if long:
+                liked[near] += value
+                liked[i] += value.sum()
+                strong = near[value >= STRONG]
                 left[strong] = False
                 queue.extend(strong.tolist())
+                if best is not None:
+                    near, value = near[value < STRONG], value[value < STRONG]
+                    near = np.concatenate([strong, near[np.argsort(-value, kind="stable")[:best]]])
+            us.append(np.full(len(near), node[i]))
+            vs.append(node[near])
+    for i in np.argsort(-liked, kind="stable")[: PIVOTS if long and best is not None else 0].tolist():
+        near = low[i] + np.flatnonzero(_estimates(bits[i], bits[low[i] : high[i]]) >= PROBABLE)
+        near = near[near != i]
+        us.append(np.full(len(near), node[i]))
+        vs.append(node[near])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _candidates(rows: DataFrame, count: int) -> DataFrame:
-    """a, b: pairs of texts (key, node, n, sketch) that share a key and are probably near copies; keys stream by, sorted."""
+def first_pairs(node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return run_pairs(node, n, bits, BEST)
+
+
+def pairs_apart(node: np.ndarray, n: np.ndarray, bits: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All probable pairs of a long run whose texts no verified links connect yet (root: what they are connected to).
+
+    Each such pair has a text outside the run's largest root, so these alone are compared with the run.
+    """
+    if len(node) <= SMALL_RUN:
+        return node[:0], node[:0]
+    node, n, bits, low, high, root = _by_size(node, n, bits, root)
+    names, held = np.unique(root, return_counts=True)
+    us, vs = [node[:0]], [node[:0]]
+    for i in np.flatnonzero(root != names[held.argmax()]).tolist():
+        to = low[i] + np.flatnonzero(root[low[i] : high[i]] != root[i])
+        near = to[_estimates(bits[i], bits[to]) >= PROBABLE]
+        us.append(np.full(len(near), node[i]))
+        vs.append(node[near])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _by_size(node: np.ndarray, n: np.ndarray, bits: np.ndarray, *more: np.ndarray) -> tuple:
+    """The rows by number of shingles, and from where to where each has rows of a size that it can be like."""
+    order = np.lexsort((node, n))
+    n = n[order]
+    low, high = np.searchsorted(n, np.ceil(n * SIMILARITY - 1e-9)), np.searchsorted(n, np.floor(n / SIMILARITY + 1e-9), "right")
+    return node[order], n, bits[order], low, high, *[m[order] for m in more]
+
+
+def _candidates(rows: DataFrame, count: int, search=first_pairs, *more: str) -> DataFrame:
+    """a, b: pairs that `search` gives of texts (key, node, n, sketch and the columns of numbers `more`) that share a key;
+    keys stream by, sorted."""
     schema = "a long, b long"
     met = rows.repartition(parts_for(count, RUN_ROWS), "key").sortWithinPartitions("key")
     arrow = arrow_schema(met, schema)
 
     def pairs(parts: list) -> pa.RecordBatch:
-        key, node, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        bits = np.frombuffer(b"".join(x for p in parts for x in p[3]), np.uint8).reshape(-1, BINS)
+        key, node, n, *rest = (np.concatenate([p[i] for p in parts]) for i in range(3 + len(more)))
+        bits = np.frombuffer(b"".join(x for p in parts for x in p[-1]), np.uint8).reshape(-1, BINS)
         starts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-        got = [run_pairs(*_once(node[a:z], n[a:z], bits[a:z])) for a, z in zip(starts[:-1], starts[1:]) if z - a > 1]
+        got = [search(*_once(*[x[a:z] for x in (node, n, bits, *rest)])) for a, z in zip(starts[:-1], starts[1:]) if z - a > 1]
         u, v = (np.concatenate([g[i] for g in got]) if got else node[:0] for i in range(2))
         return to_batch({"a": np.minimum(u, v), "b": np.maximum(u, v)}, arrow)
 
@@ -130,21 +173,22 @@ def _candidates(rows: DataFrame, count: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            key, node, n, bits = b["key"].to_numpy(), b["node"].to_numpy(), b["n"].to_numpy(), b["sketch"].to_pylist()
+            row = [*[b[c].to_numpy() for c in ("key", "node", "n", *more)], b["sketch"].to_pylist()]
+            key = row[0]
             at = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if at or (held and held[-1][0][-1] != key[-1]):
-                yield pairs([*held, (key[:at], node[:at], n[:at], bits[:at])])
+                yield pairs([*held, [x[:at] for x in row]])
                 held = []
-            held.append((key[at:], node[at:], n[at:], bits[at:]))
+            held.append([x[at:] for x in row])
         if held:
             yield pairs(held)
 
-    return met.select("key", "node", "n", "sketch").mapInArrow(run, schema).distinct()
+    return met.select("key", "node", "n", "sketch", *more).mapInArrow(run, schema).distinct()
 
 
-def _once(node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _once(node: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
     at = np.unique(node, return_index=True)[1]
-    return node[at], n[at], bits[at]
+    return [x[at] for x in (node, *more)]
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
@@ -176,7 +220,18 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = keyed.groupBy("key").agg(F.sum("held").alias("all")).where("`all` > 1").select("key")
     shared = durable(keyed.join(shared, "key", "left_semi"))
     met = durable(join_skewed(passages, shared, "fp", "held", total).select("key", "node", "n", "sketch"))
-    pairs = durable(_candidates(met, met.count()))
+    count = met.count()
+    pairs = durable(_candidates(met, count))
+    linked = durable(_verified(docs, named, pairs))
+    # what the first search leaves out: pairs of long runs between texts that are not connected by now
+    held = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    apart = met.join(held.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    later = durable(_candidates(apart, count, pairs_apart, "root").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+    return rows, named, durable(linked.unionByName(_verified(docs, named, later)))
+
+
+def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of `pairs` whose texts are near copies. Only texts that a pair has are shuffled."""
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(named.select("doc_id", "__key1", "__key2"), "doc_id"))
     texts, _ = parted(_keyed(docs), filter_of(wanted.select(F.col("__key1").alias("hash"))), "__key1")
     # repeated rows share their keys, so one of each is enough
@@ -187,7 +242,7 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         good = [similarity(x, y) >= SIMILARITY for x, y in zip(byte_texts(batch["text_a"]), byte_texts(batch["text_b"]))]
         return {"a": batch["a"].filter(pa.array(good)), "b": batch["b"].filter(pa.array(good))}
 
-    return rows, named, durable(map_batches(both, verify, "a long, b long"))
+    return map_batches(both, verify, "a long, b long")
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:

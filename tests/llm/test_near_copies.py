@@ -64,3 +64,33 @@ def run_lists(n, bits):
 
 def test_no_documents(spark, no_docs):
     assert near_copies.one_of_each_group(no_docs).collect() == []
+
+
+def test_two_searches_of_a_long_run_connect_what_all_pairs_connect():
+    """Copies of one text that are unlike each other are linked through it alone, with pairs that grow with the run."""
+    r = np.random.default_rng(5)
+    texts = []
+    for _ in range(2):
+        words = [f"w{x}" for x in r.integers(0, 5000, 200)]
+        texts += [words] + [altered(words, 200, r) for _ in range(90)] + [[*words[:100], *altered(words[100:], 100, r)] for _ in range(9)]
+    made = [near_copies.sketch([x.encode() for x in t]) for t in texts]
+    n, bits = np.array([m[0] for m in made]), np.stack([np.frombuffer(m[1], np.uint8) for m in made])
+    raw = [" ".join(t).encode() for t in texts]
+    node = np.arange(len(texts))
+
+    def good(pairs):
+        return [(a, b) for a, b in zip(*(x.tolist() for x in pairs)) if near_copies.similarity(raw[a], raw[b]) >= 0.8]
+
+    def roots(pairs):
+        root = list(range(len(texts)))
+        for _ in texts:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    first = near_copies.first_pairs(node, n, bits)
+    linked = good(first)
+    apart = near_copies.pairs_apart(node, n, bits, np.array(roots(linked)))
+    every = [(a, b) for a in range(len(texts)) for b in range(a) if near_copies.similarity(raw[a], raw[b]) >= 0.8]
+    assert roots([*linked, *good(apart)]) == roots(every)
+    assert len(first[0]) <= len(texts) * (near_copies.BEST + near_copies.PIVOTS + 1)
