@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .common import documents
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .packing import pack
 from .pii import find_personal_data
 from .quality_rules import quality_rules
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .weak_labels import score_quality
 
 
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": lambda spark, sf_dir: quality_rules(documents(spark, sf_dir)),
         "op9_weak_labels": lambda spark, sf_dir: score_quality(documents(spark, sf_dir)),
         "op10_simhash": lambda spark, sf_dir: near_duplicates(documents(spark, sf_dir)),
+        "op11_divergence": lambda spark, sf_dir: divergence(documents(spark, sf_dir)),
+        "op12_packing": lambda spark, sf_dir: pack(documents(spark, sf_dir)),
+        "op13_spelling": lambda spark, sf_dir: spelling_variants(documents(spark, sf_dir)),
     }
 
 
@@ -54,5 +60,22 @@ FROM m GROUP BY doc_id
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     o AS (SELECT lang, source, unnest(ws) AS term FROM d),
+     v AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 3),
+     c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN v USING (lang, term) GROUP BY ALL),
+     z AS (SELECT lang, count(*) AS terms FROM v GROUP BY lang),
+     a AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+     p AS (SELECT a.*, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + terms) AS BIGINT) AS p FROM a JOIN z USING (lang)),
+     q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + terms) AS BIGINT) AS q FROM (SELECT lang, term, sum(n) AS n FROM a GROUP BY lang, term) JOIN z USING (lang)),
+     s AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+     r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+           UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op11_divergence": OP11_SQL}
