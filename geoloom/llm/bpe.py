@@ -27,7 +27,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, the rest from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
@@ -39,7 +39,7 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        alphabet = _byte_alphabet()
+        alphabet = byte_alphabet()
         raw = lambda s: bytes(alphabet[c] for c in s)
         ids = {raw(s): i for s, i in file["model"]["vocab"].items()}
         self.special = {t["content"].encode(): t["id"] for t in file["added_tokens"]}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -22,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import byte_alphabet
 from .common import arrow_schema, byte_texts, chunks, durable, map_batches, to_batch, whole_texts
 
 #: Words that a worker remembers the ids of, then it starts anew; longer ones than LONGEST bytes are not kept.
 MOST_WORDS, LONGEST, STEP = 800_000, 64, 4096
 CAPACITY, END = 4096, 1
+#: Marks that end a word as a piece of their own; the last code point of the Latin letters.
+MARKS, LATIN = ".,;:!?", "\u00ff"
 
 
 def default_path() -> str:
@@ -47,15 +51,35 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.letters = str.maketrans({b: c for c, b in byte_alphabet().items()})
+        self.marks = {c: array("I", [t.id for t in self.tokenizer.model.tokenize(c)]).tobytes() for c in MARKS}
+
+    def _word(self, word: str) -> bytes | None:
+        """The ids of Latin letters with at most one mark after them, which its model alone gives: such letters are one piece,
+        composed already, and lower-cased one by one. None for other words."""
+        end = self.marks.get(word[-1], b"")
+        letters = (word[:-1] if end else word).lower()
+        if not letters.isalpha():
+            return None
+        if not letters.isascii():
+            if max(letters) > LATIN:
+                return None
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes() + end
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as 32-bit numbers."""
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         words = [t.split() for t in texts]
-        new = [w for w in set().union(*words) if w not in self.known]
-        for i in range(0, len(new), STEP):
-            some = new[i : i + STEP]
+        new, others = set().union(*words).difference(self.known), []
+        for w in new:
+            if (ids := self._word(w.decode())) is None:
+                others.append(w)
+            else:
+                self.known[w] = ids
+        for i in range(0, len(others), STEP):
+            some = others[i : i + STEP]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
         out = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
@@ -239,7 +263,7 @@ def best_fit(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         nth = k - first[at]
         return {c: b[c] for c in names} | {"sequence_id": sequence[at] + nth // each[at], "offset": offset[at] + nth % each[at] * n}
 
-    met = cut.join(numbers.select("task", "length", "before"), ["task", "length"]).select(*names, (F.col("before") + F.col("nth")).alias("number"))
+    met = cut.hint("merge").join(numbers.select("task", "length", "before"), ["task", "length"]).select(*names, (F.col("before") + F.col("nth")).alias("number"))
     return map_batches(met, run, ", ".join([*(f"{c} {kinds[c]}" for c in names), "sequence_id long, offset long"]))
 
 
