@@ -157,12 +157,12 @@ def _(t):
 
 DIST = "sqrt(pow(p.x - (p.ax + (p.bx - p.ax) * p.t), 2) + pow(p.z - (p.az + (p.bz - p.az) * p.t), 2))"
 NEAREST = f"SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dist, ord, entry) AS k FROM (SELECT p.*, {DIST} AS dist FROM (SELECT p.event_id, p.seed_id, p.x, p.z, p.speed, p.heading AS vh, e.edge, e.ord, e.entry, e.kind, e.width, e.name, ax, az, bx, bz, {proj('p.x', 'p.z', 'ax', 'az', 'bx', 'bz')} AS t FROM telemetry p JOIN epn e ON e.seed_id = p.seed_id) p)"
-EPN = "epn AS (SELECT ep.*, b.name FROM ep JOIN road_base b ON concat('edge:', b.id, ':', CAST(ep.entry AS VARCHAR)) = ep.edge WHERE ep.seed_id <> 3)"
+EPN = "epn AS (SELECT ep.*, b.name FROM ep JOIN road_base b ON concat('edge:', b.id, ':', CAST(ep.entry AS VARCHAR)) = ep.edge)"
 
 
 def placed_edges(t):
-    """The graph's edges with their ends; seed 3 has no roads, so that its positions match none."""
-    return durable(R.edges_with_points(*entry_graph(t)).where("seed_id <> 3"))
+    """The graph's edges with their ends."""
+    return durable(R.edges_with_points(*entry_graph(t)))
 
 
 @query("c6_nearest_road", built(f"SELECT t.seed_id, t.event_id AS point, {rd('dist', 3)} AS distance FROM telemetry t LEFT JOIN (SELECT * FROM near WHERE k = 1) n ON n.event_id = t.event_id", "telemetry", more=f"{EPN}, near AS ({NEAREST})"))
@@ -243,9 +243,16 @@ def _(t):
 FIRST = "firsts AS (SELECT seed_id, node, arg_min(edge, ord * 1000 + entry) AS edge, count(*) AS degree FROM tips GROUP BY seed_id, node HAVING count(*) >= 3), j AS (SELECT n.seed_id, n.node, n.x, n.z, n.seq, e.width, CASE WHEN sqrt(pow(ax - n.x, 2) + pow(az - n.z, 2)) > 0.5 THEN ax ELSE bx END - n.x AS dx, CASE WHEN sqrt(pow(ax - n.x, 2) + pow(az - n.z, 2)) > 0.5 THEN az ELSE bz END - n.z AS dz FROM nodes n JOIN firsts f ON f.seed_id = n.seed_id AND f.node = n.node JOIN ep e ON e.seed_id = f.seed_id AND e.edge = f.edge), jl AS (SELECT *, greatest(0.001e0, sqrt(dx * dx + dz * dz)) AS reach FROM j WHERE dx * dx + dz * dz > 0.25)"
 
 
-@query("g11_crosswalks", built(f"SELECT seed_id, node, CAST(s - 2 AS INTEGER) AS stripe, {rd('x + dx / reach * (s - 2) * 0.85e0 + dz / reach * width * 0.48e0', 3)} AS ax, {rd('z + dz / reach * (s - 2) * 0.85e0 - dx / reach * width * 0.48e0', 3)} AS az FROM jl, range(5) r(s)", more=FIRST))
+SPENT = f"""c AS ({CLIP}), l AS (SELECT c.seed_id, c.ord, c.pos, CASE WHEN kind <> 'motorway' AND width >= 4 THEN 2 ELSE 0 END AS walks, CASE WHEN width >= 6.5 AND kind <> 'service' AND length > 3.5 THEN ceil((length - 3.5e0) / 9) ELSE 0 END AS dashes FROM (SELECT *, sqrt(pow(bx - ax, 2) + pow(bz - az, 2)) AS length FROM c) c JOIN road_base b ON b.id = c.id AND b.seed_id = c.seed_id WHERE kind <> 'footway' AND length >= 2),
+sp AS (SELECT seed_id, max(CASE WHEN before + walks >= 16000 THEN before + walks ELSE least(16000, before + walks + dashes) END) AS spent FROM (SELECT *, coalesce(sum(walks + dashes) OVER (PARTITION BY seed_id ORDER BY ord, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l WHERE walks + dashes > 0) WHERE before < 16000 GROUP BY seed_id),
+jc AS (SELECT * FROM (SELECT jl.*, coalesce(spent, 0) + 5 * (row_number() OVER (PARTITION BY jl.seed_id ORDER BY seq) - 1) AS before FROM jl LEFT JOIN sp ON sp.seed_id = jl.seed_id) WHERE before < 16000),
+st AS (SELECT seed_id, node, CAST(s - 2 AS INTEGER) AS stripe, x + dx / reach * (s - 2) * 0.85e0 + dz / reach * width * 0.48e0 AS ax, z + dz / reach * (s - 2) * 0.85e0 - dx / reach * width * 0.48e0 AS az FROM jc, range(5) r(s)), s0 AS (SELECT *, ax AS x, az AS z FROM st)"""
+
+
+@query("g11_crosswalks", built(f"SELECT seed_id, node, stripe, {rd('ax', 3)} AS ax, {rd('az', 3)} AS az, {rd('y + 0.23e0', 3)} AS ay FROM ({elev('s0', slim=True)})", "rseg", "grid", more=FIRST + ", " + SPENT))
 def _(t):
-    return X.crosswalks(*entry_graph(t)).select("seed_id", "node", "stripe", r("ax", 3), r("az", 3))
+    spent = X.details_spent(R.clip_roads(R.path_segments(t.road_points()), t.seeds), t["road_base"])
+    return X.crosswalks(*entry_graph(t), spent, t.grid()).select("seed_id", "node", "stripe", r("ax", 3), r("az", 3), r("ay", 3))
 
 
 SIDE = unit("concat(edge, ':tree-side')")
