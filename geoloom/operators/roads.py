@@ -37,13 +37,20 @@ def cumulative_offsets(vertices: DataFrame) -> DataFrame:
 
 
 def locate_along(offsets: DataFrame, fractions: DataFrame) -> DataFrame:
-    """The point at a fraction of each path's length: fractions (seed_id, id, fraction) with x, z (and y)."""
+    """The point at a fraction of each path's length: fractions (seed_id, id, fraction, each once) with x, z (and y).
+
+    An as-of join: targets stand among the ends of the path's spans, and in one pass from its end to its start each takes the
+    last span that ends at it or after; so the work grows with vertices plus targets.
+    """
     w = Window.partitionBy("seed_id", "id").orderBy("pos")
     axes = _axes(offsets)
-    spans = offsets.select("seed_id", "id", "pos", "offset", "total", *[F.col(c).alias(f"b{c}") for c in axes], *[F.lag(c).over(w).alias(f"a{c}") for c in axes], F.lag("offset").over(w).alias("before")).where("ax is not null")
-    met = fractions.join(spans, ["seed_id", "id"]).withColumn("target", geo.clamp(F.col("fraction"), 0.0, 1.0) * F.col("total")).where("offset >= target")
-    first = met.groupBy("seed_id", "id", "fraction").agg(F.min_by(F.struct(*[f"{e}{c}" for e in "ab" for c in axes], "before", "offset", "target"), "pos").alias("s"))
-    share = (F.col("s.target") - F.col("s.before")) / F.greatest(F.lit(0.001), F.col("s.offset") - F.col("s.before"))
+    ends = offsets.select("seed_id", "id", "pos", F.col("offset").alias("at"), *[F.lag(c).over(w).alias(f"a{c}") for c in axes], *[F.col(c).alias(f"b{c}") for c in axes], F.lag("offset").over(w).alias("before")).where("ax is not null")
+    spans = ends.select("seed_id", "id", "pos", "at", F.lit(0).alias("kind"), F.struct(*[f"{e}{c}" for e in "ab" for c in axes], "before", F.col("at").alias("offset")).alias("s"))
+    totals = offsets.groupBy("seed_id", "id").agg(F.max("total").alias("total"))
+    targets = fractions.join(totals, ["seed_id", "id"]).select("seed_id", "id", "fraction", (geo.clamp(F.col("fraction"), 0.0, 1.0) * F.col("total")).alias("at"), F.lit(1).alias("kind"))
+    back = Window.partitionBy("seed_id", "id").orderBy(F.desc("at"), "kind", F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = targets.unionByName(spans, allowMissingColumns=True).withColumn("s", F.last("s", ignorenulls=True).over(back)).where("kind = 1 and s is not null")
+    share = (F.col("at") - F.col("s.before")) / F.greatest(F.lit(0.001), F.col("s.offset") - F.col("s.before"))
     return first.select("seed_id", "id", "fraction", *[(F.col(f"s.a{c}") + (F.col(f"s.b{c}") - F.col(f"s.a{c}")) * share).alias(c) for c in axes])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import seeded_unit
 from .roads import DRIVABLE, edges_with_points, node_degree, node_ends
+from .scan import prefix_sum
 from .terrain import lay
 from .tiling import world_tile
 
@@ -21,9 +22,8 @@ def _length() -> Column:
 
 
 def budget_prefix(items: DataFrame, cap: float, weight: str, order: str, key: str = "seed_id") -> DataFrame:
-    """The items of each key, in order, before which less than `cap` of the weight is spent."""
-    before = F.sum(weight).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return items.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < cap).drop("__before")
+    """The items of each key, in order, before which less than `cap` of the weight (not negative) is spent."""
+    return prefix_sum(items, key, [order], weight, "__before", cap).drop("__before")
 
 
 def road_strips(segments: DataFrame, roads: DataFrame, grid: DataFrame) -> DataFrame:
@@ -36,26 +36,38 @@ def road_strips(segments: DataFrame, roads: DataFrame, grid: DataFrame) -> DataF
     return lay(strips, grid, {"ay": ("ax", "az"), "by": ("bx", "bz")}, 0.14)
 
 
+def _details(segments: DataFrame, roads: DataFrame) -> DataFrame:
+    """What each clipped segment asks of the budget: n_walks (0 or 2) and n_dashes, with its road's order and width."""
+    met = segments.withColumn("length", _length()).where("length >= 2").join(roads.where(F.col("kind").isin(*DRIVABLE)).select("seed_id", "id", "ord", "kind", "width"), ["seed_id", "id"])
+    walk = ~F.col("kind").isin("motorway", "trunk") & (F.col("width") >= 4)
+    dash = (F.col("width") >= 6.5) & ~F.col("kind").isin("living_street", "service", "track") & (F.col("length") > 3.5)
+    made = met.withColumns({"n_walks": F.when(walk, 2).otherwise(0), "n_dashes": F.when(dash, F.ceil((F.col("length") - 3.5) / 9).cast("int")).otherwise(0)})
+    return made.withColumn("n_items", F.col("n_walks") + F.col("n_dashes")).where("n_items > 0")
+
+
+def details_spent(segments: DataFrame, roads: DataFrame, cap: int = DETAIL_CAP) -> DataFrame:
+    """seed_id, spent: how much of the budget sidewalks and markings take. Both walks of a segment come or none."""
+    asked = _details(segments, roads)
+    # the last segment begun may be one walk over the cap; its dashes stop at it
+    total = asked.groupBy("seed_id").agg(F.sum("n_items").alias("n"))
+    within = prefix_sum(asked.select("seed_id", "ord", "pos", "n_walks", "n_items"), "seed_id", ["ord", "pos"], "n_items", "before", cap)
+    last = within.groupBy("seed_id").agg(F.max_by(F.greatest(F.col("before") + F.col("n_walks"), F.least(F.col("before") + F.col("n_items"), F.lit(cap))), F.struct("ord", "pos")).alias("spent"))
+    return total.join(last, "seed_id").select("seed_id", F.least("n", "spent").alias("spent"))
+
+
 def sidewalks_and_markings(segments: DataFrame, roads: DataFrame, grid: DataFrame, cap: int = DETAIL_CAP) -> DataFrame:
     """Strips beside and on drivable roads, in order, while fewer than `cap` come before in the seed: seed_id, id, pos, k,
     layer (sidewalk: k = 0, 1; marking: k from 2 on), the strip's ends, sidewalks 0.18 m and markings 0.22 m above the grid."""
-    met = segments.withColumn("length", _length()).where("length >= 2").join(roads.where(F.col("kind").isin(*DRIVABLE)).select("seed_id", "id", "ord", "kind", "width"), ["seed_id", "id"])
-    walk = ~F.col("kind").isin("motorway", "trunk") & (F.col("width") >= 4)
-    dash = (F.col("width") >= 6.5) & ~F.col("kind").isin("living_street", "service", "track")
     side = F.col("width") / 2 + 0.72
-    n = F.when(dash & (F.col("length") > 3.5), F.ceil((F.col("length") - 3.5) / 9).cast("int")).otherwise(0)
     item = lambda k, layer, off, a, b: F.struct(k.alias("k"), F.lit(layer).alias("layer"), off.alias("off"), a.alias("from_m"), b.alias("to_m"))
     none = F.array().cast("array<struct<k:int,layer:string,off:double,from_m:double,to_m:double>>")
-    walks = F.when(walk, F.array(item(F.lit(0), "sidewalk", side, F.lit(0.0), F.col("length")), item(F.lit(1), "sidewalk", -side, F.lit(0.0), F.col("length")))).otherwise(none)
-    dashes = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: item((i + 2).cast("int"), "marking", F.lit(0.0), i * 9.0 + 2.5, F.least(F.col("length") - 0.5, i * 9.0 + 6.0)))).otherwise(none)
-    items = F.concat(walks, dashes)
+    walks = F.when(F.col("n_walks") > 0, F.array(item(F.lit(0), "sidewalk", side, F.lit(0.0), F.col("length")), item(F.lit(1), "sidewalk", -side, F.lit(0.0), F.col("length")))).otherwise(none)
+    dashes = F.when(F.col("n_dashes") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_dashes") - 1, F.lit(0))), lambda i: item((i + 2).cast("int"), "marking", F.lit(0.0), i * 9.0 + 2.5, F.least(F.col("length") - 0.5, i * 9.0 + 6.0)))).otherwise(none)
     # a sidewalk pair is laid whole, so budgets are met pair by pair and dash by dash
-    w = Window.partitionBy("seed_id").orderBy("ord", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    made = met.withColumn("items", items).withColumn("before", F.coalesce(F.sum(F.size("items")).over(w), F.lit(0)))
-    rows = made.where(F.col("before") < cap).select("seed_id", "id", "ord", "pos", "ax", "az", "bx", "bz", "length", "before", F.explode("items").alias("i")).select("*", "i.*").drop("i")
-    has_walk = F.max((F.col("layer") == "sidewalk").cast("int")).over(Window.partitionBy("seed_id", "id", "pos"))
-    index = F.when(F.col("layer") == "marking", F.col("k") - 2 + 2 * F.col("hw")).otherwise(0)
-    rows = rows.withColumn("hw", has_walk).where(F.col("before") + index < cap)
+    begun = prefix_sum(_details(segments, roads), "seed_id", ["ord", "pos"], "n_items", "before", cap)
+    rows = begun.select("seed_id", "id", "pos", "ax", "az", "bx", "bz", "length", "before", "n_walks", F.explode(F.concat(walks, dashes)).alias("i")).select("*", "i.*").drop("i")
+    index = F.when(F.col("layer") == "marking", F.col("k") - 2 + F.col("n_walks")).otherwise(0)
+    rows = rows.where(F.col("before") + index < cap)
     ux, uz = (F.col("bx") - F.col("ax")) / F.col("length"), (F.col("bz") - F.col("az")) / F.col("length")
     at = lambda m: ((F.col("ax") + ux * F.col(m) - uz * F.col("off")), (F.col("az") + uz * F.col(m) + ux * F.col("off")))
     (x0, z0), (x1, z1) = at("from_m"), at("to_m")
@@ -77,12 +89,18 @@ def first_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return met.withColumns({"dx": dx, "dz": dz}).where("dx * dx + dz * dz > 0.25").withColumn("reach", F.greatest(F.lit(0.001), F.sqrt(F.col("dx") ** 2 + F.col("dz") ** 2)))
 
 
-def crosswalks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Five stripes at each node of three or more edges: seed_id, node, stripe, ax, az, bx, bz."""
-    made = first_edges(nodes, edges).withColumn("stripe", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+def crosswalks(nodes: DataFrame, edges: DataFrame, spent: DataFrame, grid: DataFrame, cap: int = DETAIL_CAP) -> DataFrame:
+    """Five stripes at each node of three or more edges, in the order of the graph, while less than `cap` is spent in the seed
+    (seed_id, spent: by sidewalks and markings): seed_id, node, stripe, ax, az, bx, bz and ay, by, 0.23 m above the grid."""
+    asked = first_edges(nodes, edges).select("seed_id", "node", "x", "z", "dx", "dz", "reach", "width", F.col("first.ord").alias("ord"), F.col("first.k").alias("nth"), F.lit(5).alias("n_items"))
+    # what is spent comes first in each seed
+    lead = spent.select("seed_id", F.lit(-1).cast("long").alias("ord"), F.lit(0).alias("nth"), F.col("spent").cast("int").alias("n_items"))
+    begun = prefix_sum(asked.unionByName(lead, allowMissingColumns=True), "seed_id", ["ord", "nth"], "n_items", "before", cap).where("node is not null")
+    made = begun.withColumn("stripe", F.explode(F.sequence(F.lit(-2), F.lit(2))))
     ux, uz, half = F.col("dx") / F.col("reach"), F.col("dz") / F.col("reach"), F.col("width") * 0.48
     cx, cz = F.col("x") + ux * F.col("stripe") * 0.85, F.col("z") + uz * F.col("stripe") * 0.85
-    return made.select("seed_id", "node", "stripe", (cx + uz * half).alias("ax"), (cz - ux * half).alias("az"), (cx - uz * half).alias("bx"), (cz + ux * half).alias("bz"))
+    strips = made.select("seed_id", "node", "stripe", (cx + uz * half).alias("ax"), (cz - ux * half).alias("az"), (cx - uz * half).alias("bx"), (cz + ux * half).alias("bz"))
+    return lay(strips, grid, {"ay": ("ax", "az"), "by": ("bx", "bz")}, 0.23)
 
 
 def street_furniture(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, grid: DataFrame) -> DataFrame:

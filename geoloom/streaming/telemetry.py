@@ -1,10 +1,9 @@
 """Positions and requests as streams. Stateless parts run on batches and streams alike; stateful ones keep a few numbers per
-key, with batch twins that fold the same step over ordered rows."""
+key, with batch twins that fold the same steps over ordered rows in chunks."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..functions.geo import half_up
+from ..operators.scan import Accept, Drive, Smooth, segmented
 
 IDLE_MS = 3_600_000
 
@@ -36,36 +36,11 @@ def best_times(finishes: DataFrame) -> DataFrame:
     return finishes.groupBy("route").agg(F.min("seconds").alias("best_seconds"))
 
 
-def fold_in_order(rows: DataFrame, key: str, order: list[str], begin: Callable, step: Callable, schema: str) -> DataFrame:
-    """Rows of each key in order, each with what step(state, row) gives: (state, values of schema). begin(): a key's first
-    state. Rows stream by sorted, and the state of one key is all that a task holds, however many rows the key has."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = object(), None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                k = getattr(row, key)
-                if k != now:
-                    now, state = k, begin()
-                state, values = step(state, row)
-                out.append(values)
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
 def cooldown_batch(requests: DataFrame, ms: int = 2500, key: str = "user_id") -> DataFrame:
     """Requests (key, ts, event_id) with `accepted`: the first of a client, and each that comes `ms` or more after the last
-    accepted one."""
-    rows = requests.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id").where(F.col(key).isNotNull())
-
-    def step(last, r):
-        ok = last is None or r.at - last >= ms
-        return (r.at if ok else last), (getattr(r, key), r.event_id, ok)
-
-    return fold_in_order(rows, key, ["at", "event_id"], lambda: None, step, f"{key} long, event_id long, accepted boolean")
+    accepted one. Requests without a client or a time go."""
+    rows = requests.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id").where("at is not null")
+    return segmented(rows, key, ["at", "event_id"], "event_id", Accept(ms))
 
 
 def cooldown_stream(requests: DataFrame, ms: int = 2500, key: str = "user_id") -> DataFrame:
@@ -93,15 +68,8 @@ def cooldown_stream(requests: DataFrame, ms: int = 2500, key: str = "user_id") -
 
 def ewma(samples: DataFrame, response: float = 7.5, key: str = "user_id") -> DataFrame:
     """Smoothed values of samples (key, event_id, t in seconds, value): cur + (value - cur)(1 - exp(-max(0, dt) response)),
-    starting at the first value."""
-
-    def step(state, r):
-        t, cur = state
-        cur = r.value if cur is None else cur + (r.value - cur) * (1 - math.exp(-max(0.0, r.t - t) * response))
-        return (r.t, cur), (getattr(r, key), r.event_id, cur)
-
-    rows = samples.select(key, "event_id", "t", "value").where(F.col(key).isNotNull())
-    return fold_in_order(rows, key, ["t", "event_id"], lambda: (0.0, None), step, f"{key} long, event_id long, smooth double")
+    starting at the first value. Samples without a key, a time or a value go."""
+    return segmented(samples.where("t is not null and value is not null"), key, ["t", "event_id"], "event_id", Smooth(response))
 
 
 def signature_changes(active: DataFrame, key: str = "user_id") -> DataFrame:
@@ -152,17 +120,11 @@ PROGRESS = "user_id long, event_id long, status string, elapsed double, checkpoi
 
 def challenge_batch(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """The state of each vehicle's drive after each event (user_id, event_id, ts, x, z, speed), on its own checkpoints
-    (user_id, route array<(x, z)>; vehicles without a route of two points are left out)."""
+    (user_id, route array<(x, z)>; vehicles without a route of two points are left out, and events without a time or place)."""
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
-    rows = events.select("user_id", "event_id", at, "x", "z", "speed").join(checkpoints.where(F.size("route") >= 2).select("user_id", F.transform("route", lambda p: p["x"]).alias("rx"), F.transform("route", lambda p: p["z"]).alias("rz")), "user_id")
-
-    def step(state, r):
-        drive, last = state
-        if drive[0] != "finished":
-            drive = drive_step(drive, 0.0 if last is None else r.at - last, r.x, r.z, r.speed, list(zip(r.rx, r.rz)))
-        return (drive, r.at), (r.user_id, r.event_id, drive[0], drive[1], min(drive[2], len(r.rx) - 1))
-
-    return fold_in_order(rows, "user_id", ["at", "event_id"], lambda: (("ready", 0.0, 1), None), step, PROGRESS)
+    route = checkpoints.where(F.size("route") >= 2).select("user_id", F.transform("route", lambda p: p["x"]).alias("rx"), F.transform("route", lambda p: p["z"]).alias("rz"))
+    rows = events.select("user_id", "event_id", at, "x", "z", F.coalesce("speed", F.lit(0.0)).alias("speed")).dropna(subset=["at", "x", "z"]).join(route, "user_id")
+    return segmented(rows, "user_id", ["at", "event_id"], "event_id", Drive())
 
 
 def challenge_stream(events: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def test_nearest_road_is_the_brute_force_one(spark):
         t = max(0, min(1, ((p[0] - ax) * (bx - ax) + (p[1] - az) * (bz - az)) / ((bx - ax) ** 2 + (bz - az) ** 2)))
         return math.hypot(p[0] - ax - t * (bx - ax), p[1] - az - t * (bz - az))
 
-    got = {r["point"]: r["distance"] for r in S.nearest_road(points(spark, *pts), table, size=4.0).collect()}
+    got = {r["point"]: r["distance"] for r in S.nearest_road(points(spark, *pts), table, pad=4.0).collect()}
     assert got == pytest.approx({i: min(distance(p, e) for e in edges) for i, p in enumerate(pts)})
     assert {r["point"] for r in S.nearest_road_indexed(points(spark, *pts), table).collect()} == set(range(60))
 
