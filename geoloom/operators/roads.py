@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions.parse import GRAPH_SPEEDS, lookup
+from .storage import durable
 from .terrain import lay
 
 # Classes that can be driven on.
@@ -179,7 +180,8 @@ def build_road_graph(roads: DataFrame, entries: DataFrame, grid: DataFrame | Non
     w = Window.partitionBy("seed_id", "id").orderBy("entry")
     pairs = keyed.withColumns({"to_node": F.lead("node").over(w), "bx": F.lead("x").over(w), "bz": F.lead("z").over(w)}).where("to_node is not null")
     length = F.sqrt((F.col("bx") - F.col("x")) * (F.col("bx") - F.col("x")) + (F.col("bz") - F.col("z")) * (F.col("bz") - F.col("z")))
-    pairs = pairs.withColumn("length", length).where("length >= 0.75").join(drivable(roads).select("seed_id", "id", "kind", "one_way", "width", "name"), ["seed_id", "id"])
+    # nodes and edges, and often more, are made of these
+    pairs = durable(pairs.withColumn("length", length).where("length >= 0.75").join(drivable(roads).select("seed_id", "id", "kind", "one_way", "width", "name"), ["seed_id", "id"]))
     ends = pairs.select("seed_id", "node", "ord", (F.col("entry") * 2).alias("k"), "x", "z").unionByName(pairs.select("seed_id", F.col("to_node").alias("node"), "ord", (F.col("entry") * 2 + 1).alias("k"), F.col("bx").alias("x"), F.col("bz").alias("z")))
     nodes = ends.groupBy("seed_id", "node").agg(F.min_by(F.struct("x", "z"), F.struct("ord", "k")).alias("p"), F.min(F.struct("ord", "k")).alias("first")).select("seed_id", "node", "p.x", "p.z", "first")
     edges = pairs.where("node <> to_node").select(
