@@ -1,4 +1,4 @@
-"""Bloom filters of a fixed size, built slice by slice in tasks, and rows dropped by key without a shuffle of the other rows."""
+"""Bloom filters sized by their keys, built slice by slice in tasks, and rows dropped by key without a shuffle of the other rows."""
 
 from __future__ import annotations
 
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, to_batch
 
 N_HASHES = 4
-#: Bits of a filter that is broadcast, in all its slices. The size is fixed: with more keys than about a tenth of it, more
-#: rows that are none of them pass, which costs a shuffle of these rows and changes no result.
-FILTER_BITS, SLICES = 1 << 26, 64
+#: Bits of a filter for each of its keys; of a slice, which one task builds; and of the largest filter, 64 MB, which is broadcast.
+#: With more than about 30 million keys the bits for each get fewer: more rows that are none of them pass, which costs a shuffle
+#: of these rows and changes no result.
+KEY_BITS, SLICE_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
 
 
 class Bloom:
@@ -42,14 +43,11 @@ class Bloom:
         return found
 
 
-def slice_of(hashes, slices: int = SLICES):
-    """The slice of signed 64-bit hashes (a column); slices is a power of two."""
-    return hashes.bitwiseAND(F.lit(slices - 1)).cast("int")
-
-
-def filter_of(hashes: DataFrame, bits: int = FILTER_BITS, slices: int = SLICES) -> Bloom:
-    """The filter of a column `hash`: each task fills the slices that are dealt to it, and the slices, bits / 8 bytes in all,
-    come to the driver."""
+def filter_of(hashes: DataFrame, bits: int | None = None) -> Bloom:
+    """The filter of a column `hash` (durable: it is counted first, which sizes the filter). Each task fills one slice; all
+    slices, at most MOST_BITS, come to the driver in one job."""
+    bits = bits or min(max(1 << (KEY_BITS * hashes.count()).bit_length(), 1 << 16), MOST_BITS)
+    slices = max(1, bits // SLICE_BITS)
     schema = "slice int, bits binary"
     arrow = arrow_schema(hashes, schema)
     width = bits // slices
@@ -63,16 +61,10 @@ def filter_of(hashes: DataFrame, bits: int = FILTER_BITS, slices: int = SLICES)
         for k, f in mine.items():
             yield to_batch({"slice": [k], "bits": [f.data.tobytes()]}, arrow)
 
-    dealt = hashes.select("hash", slice_of(F.col("hash"), slices).alias("slice")).repartition(min(slices, 16), "slice")
-    return assembled(dealt.mapInArrow(run, schema), bits, slices)
-
-
-def assembled(parts: DataFrame, bits: int, slices: int) -> Bloom:
-    """A filter of its slices (slice, bits); those without a hash are missing."""
+    dealt = hashes.select("hash", F.col("hash").bitwiseAND(F.lit(slices - 1)).cast("int").alias("slice")).repartition(slices, "slice")
     whole = bytearray(bits // 8)
-    for row in parts.toLocalIterator():
-        at = row["slice"] * (bits // slices // 8)
-        whole[at : at + len(row["bits"])] = row["bits"]
+    for row in dealt.mapInArrow(run, schema).collect():
+        whole[row["slice"] * (width // 8) : (row["slice"] + 1) * (width // 8)] = row["bits"]
     return Bloom(bits, bytes(whole), slices)
 
 

@@ -10,15 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import Bloom, assembled, filter_of, parted
+from .bloom import Bloom, filter_of, parted
 from .common import arrow_schema, byte_texts, durable, join_skewed, to_batch, whole_texts
 
 STRIP = b" \t\n\x0b\x0c\r"
 MIN_POINTS = 10
-#: Bits of the once-seen filter of one segment of the hash space (segments grow in number with the corpus), and of the
-#: twice-seen filter with all its segments, 16 MB. With more than about 13 million repeated keys, more lines are suspected in
-#: vain, which costs shuffle and changes no result; larger corpora take a larger filter.
-SEGMENT_BITS, TWICE_BITS = 1 << 23, 1 << 27
+#: Bits of the once-seen filter of one segment of the hash space; segments grow in number with the corpus.
+SEGMENT_BITS = 1 << 23
 FLUSH = 1_000_000
 
 
@@ -67,15 +65,12 @@ def line_hashes(docs: DataFrame, segments: int) -> DataFrame:
 
 
 def twice_seen(hashes: DataFrame, segments: int) -> Bloom:
-    """The twice-seen filter, of TWICE_BITS bits in all: each segment's hashes go through a once-seen filter of their own,
-    and those that it had already, or that came as seen twice, into the segment's slice of the twice-seen filter."""
-    schema = "slice int, bits binary"
-    arrow = arrow_schema(hashes, schema)
-    width = TWICE_BITS // segments
+    """The twice-seen filter: each segment's hashes go through a once-seen filter of their own, and those that it had already,
+    or that came as seen twice, fill the twice-seen filter, which is sized by how many they are."""
+    arrow = arrow_schema(hashes, "hash long")
 
     def run(batches):
         once: dict[int, Bloom] = {}
-        again: dict[int, Bloom] = {}
         for b in batches:
             seg, h, twice = b["segment"].to_numpy(), b["hash"].to_numpy().view(np.uint64), b["twice"].to_numpy(zero_copy_only=False)
             for s in np.unique(seg).tolist():
@@ -84,12 +79,10 @@ def twice_seen(hashes: DataFrame, segments: int) -> Bloom:
                 flagged = np.zeros(len(u), bool)
                 np.logical_or.at(flagged, at, twice[mine])
                 seen = once.setdefault(s, Bloom(SEGMENT_BITS))
-                again.setdefault(s, Bloom(width)).add(u[seen.has(u) | flagged | (n > 1)])
+                yield to_batch({"hash": u[seen.has(u) | flagged | (n > 1)].view(np.int64)}, arrow)
                 seen.add(u)
-        for s, f in again.items():
-            yield to_batch({"slice": [s], "bits": [f.data.tobytes()]}, arrow)
 
-    return assembled(hashes.repartition(segments, "segment").mapInArrow(run, schema), TWICE_BITS, segments)
+    return filter_of(durable(hashes.repartition(segments, "segment").mapInArrow(run, "hash long").distinct()))
 
 
 def _suspected_lines(docs: DataFrame, twice: Bloom) -> DataFrame:

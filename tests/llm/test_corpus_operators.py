@@ -123,14 +123,17 @@ def test_line_dedup(spark, edge_docs, no_docs, monkeypatch):
     want = {r[0]: r[3] for r in brute_lines(rows)}
     whole = line_dedup.without_repeated_lines(spark.createDataFrame(rows, SCHEMA))
     assert whole.columns == edge_docs.columns and {r["doc_id"]: r["text"] for r in whole.collect()} == want
-    monkeypatch.setattr(line_dedup, "TWICE_BITS", 256)  # a filter that is full: all lines are suspected
+    full = bloom.filter_of
+    monkeypatch.setattr(line_dedup, "filter_of", lambda hashes: full(hashes, 8))  # a filter that is full: all lines are suspected
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()} == want
     assert line_dedup.dedup_lines(no_docs).collect() == []
 
 
-def test_bloom_filter_forgets_nothing(spark):
+def test_bloom_filter_forgets_nothing(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "SLICE_BITS", 1 << 13)  # 2,000 keys fill more than one slice
     h = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
-    made = bloom.filter_of(spark.createDataFrame([(int(x),) for x in h[:2000].view(np.int64)], "hash long").repartition(5), 1 << 16, 8)
+    made = bloom.filter_of(spark.createDataFrame([(int(x),) for x in h[:2000].view(np.int64)], "hash long").repartition(5))
+    assert made.slices == 8
     one = bloom.Bloom(1 << 16, slices=8)
     one.add(h[:2000])
     assert (made.data == one.data).all() and made.has(h[:2000]).all() and made.has(h[2000:]).mean() < 0.05
