@@ -215,3 +215,44 @@ def test_places_along_paths(spark):
     vertices = spark.createDataFrame([(1, p, k, x, z) for p, v in paths.items() for k, (x, z) in enumerate(v)], "seed_id int, id string, pos int, x double, z double")
     asked = spark.createDataFrame([(1, p, f) for p, f in [*fractions, ("none", 0.5)]], "seed_id int, id string, fraction double")
     assert {(r["id"], r["fraction"]): (r["x"], r["z"]) for r in R.locate_along(R.cumulative_offsets(vertices), asked).collect()} == want
+
+
+# rings
+
+
+def rings(seed=4):
+    """Stars of many corners, boxes along cells' borders, a ring with a third of all edges, a flat one."""
+    rnd = random.Random(seed)
+
+    def star(x, z, n, low, high):
+        r = [rnd.uniform(low, high) for _ in range(n)]
+        return [(x + r[i] * math.cos(2 * math.pi * i / n), z + r[i] * math.sin(2 * math.pi * i / n)) for i in range(n)]
+
+    out = {"big": star(0, 0, 400, 30, 60), "box": [(-20, -20), (20, -20), (20, 20), (-20, 20)], "flat": [(0, 5), (30, 5), (60, 5)], "point": [(3, 3)]}
+    return {k: [*v, v[0]] for k, v in (out | {f"s{i}": star(rnd.uniform(-90, 90), rnd.uniform(-90, 90), rnd.randint(3, 30), 2, 40) for i in range(25)}).items()}
+
+
+def inside(x, z, ring):
+    return sum(((az > z) != (bz > z)) and x < (bx - ax) * (z - az) / (bz - az) + ax for (ax, az), (bx, bz) in zip(ring, ring[1:])) % 2 == 1
+
+
+@pytest.mark.parametrize("size", [3.0, 10.0, 40.37, 1000.0])
+def test_points_in_rings(spark, size):
+    rnd = random.Random(8)
+    spots = [(rnd.uniform(-120, 120), rnd.uniform(-120, 120)) for _ in range(300)] + [(float(rnd.randint(-25, 25)), float(rnd.randint(-25, 25))) for _ in range(100)]
+    made = rings()
+    vertices = spark.createDataFrame([(1, k, i, float(x), float(z)) for k, v in made.items() for i, (x, z) in enumerate(v)], "seed_id int, id string, pos int, x double, z double")
+    points = spark.createDataFrame([(1, i, x, z) for i, (x, z) in enumerate([*spots, (None, 1.0)])], POINTS)
+    got = S.point_in_polygon(points, vertices, size=size).collect()
+    want = {(i, k) for i, (x, z) in enumerate(spots) for k, v in made.items() if inside(x, z, v)}
+    assert len(got) == len(want) and {(r["point"], r["id"]) for r in got} == want
+    world = spark.createDataFrame([(1, 0.0, 0.0, 100.0)], "seed_id int, lon double, lat double, radius double")
+    clear = {i for i, (x, z) in enumerate(spots) if math.hypot(x, z) <= 98 and not any(inside(x, z, v) or min(distance(x, z, (0, 0, 0, 0, *a, *b)) for a, b in zip(v, v[1:])) < 2 for v in made.values())}
+    assert {r["point"] for r in S.can_occupy(points, vertices, world, 2.0, size=size).collect()} == clear
+
+
+def test_a_large_ring_costs_its_edges_and_cells(spark):
+    n = 20_000
+    ring = spark.range(n + 1).selectExpr("1 AS seed_id", "'r' AS id", "CAST(id AS INT) AS pos", f"500 * cos(2 * pi() * id / {n}) AS x", f"500 * sin(2 * pi() * id / {n}) AS z")
+    listed, inner = S._ring_cells(ring, 0.0, 40.37)
+    assert listed.count() < 1.2 * n and 350 < inner.count() < 500
