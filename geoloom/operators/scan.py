@@ -272,3 +272,20 @@ class Drive(Fold):
             if max(nxt, 1) + len(passed) == m:
                 status[end:] = "finished"
         return {"status": status, "elapsed": seconds, "checkpoint": np.minimum(ahead, m - 1).astype(np.int32)}
+
+
+class Changes(Fold):
+    """`changed`: the first row, and each whose `signature` differs from that of the row before."""
+
+    columns = ("signature",)
+    out = {"changed": pa.bool_()}
+
+    def summary(self, rows: dict[str, np.ndarray]) -> list:
+        return [rows["signature"][-1]]
+
+    def through(self, state: list | None, summary: list) -> list:
+        return summary
+
+    def inside(self, state: list | None, rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        sign = rows["signature"].astype(object)
+        return {"changed": np.concatenate([[state is None or state[0] != sign[0]], sign[1:] != sign[:-1]]).astype(bool)}

@@ -313,14 +313,17 @@ def _(t):
     return M.telemetry(m.join(e.select("seed_id", "edge", "kind", "width", "name"), ["seed_id", "edge"], "left")).select("event_id", "speed_kph", "road_name", "off_road")
 
 
+def drive_route():
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(z).alias("z")) for x, z in ((0.0, 0.0), (5.0, 5.0), (-5.0, 5.0))])
+
+
 @query("s2_challenge_progress", with_("telemetry", more="""o AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, x / 50 AS x, z / 50 AS z, abs(speed) > 1.2 AS moves, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM telemetry),
 f AS (SELECT user_id, event_id, sec, n, CASE WHEN moves THEN CASE WHEN sqrt(pow(x - 5, 2) + pow(z - 5, 2)) <= 9 THEN 2 ELSE 1 END ELSE 1 END AS nxt, moves AS started, 0e0 AS elapsed FROM o WHERE n = 1
 UNION ALL SELECT o.user_id, o.event_id, o.sec, o.n, CASE WHEN f.nxt < 3 AND (f.started OR o.moves) AND sqrt(pow(o.x - CASE f.nxt WHEN 1 THEN 5 ELSE -5 END, 2) + pow(o.z - 5, 2)) <= 9 THEN f.nxt + 1 ELSE f.nxt END, f.started OR o.moves,
 CASE WHEN f.nxt < 3 AND (f.started OR o.moves) THEN f.elapsed + (o.sec - f.sec) ELSE f.elapsed END FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)""").replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT user_id, event_id, CASE WHEN nxt > 2 THEN 'finished' WHEN started THEN 'running' ELSE 'ready' END AS status, {rd('elapsed', 3)} AS elapsed, CAST(least(nxt, 2) AS INTEGER) AS checkpoint FROM f")
 def _(t):
     e = t["telemetry"].select("user_id", "event_id", "ts", (F.col("x") / 50).alias("x"), (F.col("z") / 50).alias("z"), "speed")
-    route = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(z).alias("z")) for x, z in ((0.0, 0.0), (5.0, 5.0), (-5.0, 5.0))])
-    return rounded(M.challenge_batch(e, e.select("user_id").distinct().withColumn("route", route)), "elapsed", digits=3)
+    return rounded(M.challenge_batch(e, e.select("user_id").distinct().withColumn("route", drive_route())), "elapsed", digits=3)
 
 
 @query("s3_best_time_stream", "SELECT event_type AS route, min(value) AS best_seconds FROM events GROUP BY event_type")

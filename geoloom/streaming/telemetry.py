@@ -3,16 +3,12 @@ key, with batch twins that fold the same steps over ordered rows in chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.window import Window
 
 from ..functions.geo import half_up
-from ..operators.scan import Accept, Drive, Smooth, segmented
+from ..operators.scan import Accept, Changes, Drive, Smooth, segmented
+from .run import folded
 
 IDLE_MS = 3_600_000
 
@@ -44,26 +40,10 @@ def cooldown_batch(requests: DataFrame, ms: int = 2500, key: str = "user_id") ->
 
 
 def cooldown_stream(requests: DataFrame, ms: int = 2500, key: str = "user_id") -> DataFrame:
-    """The accepted requests of a stream (key, ts with a watermark, event_id); a client's state goes after an idle hour."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        kept = []
-        for ts, event in zip(rows["ts"], rows["event_id"]):
-            at = int(ts.value // 1_000_000)
-            if last is None or at - last >= ms:
-                last = at
-                kept.append((k[0], event, at))
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + max(ms, IDLE_MS))
-        yield pd.DataFrame(kept, columns=[key, "event_id", "at_ms"])
-
-    return requests.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, at_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    """The accepted requests (key, event_id) of a stream (key, ts with a watermark, event_id); a client's state goes after an idle
+    hour, or `ms` if that is longer."""
+    rows = requests.withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    return folded(rows, key, ["at", "event_id"], "event_id", Accept(ms), max(ms, IDLE_MS)).where("accepted").drop("accepted")
 
 
 def ewma(samples: DataFrame, response: float = 7.5, key: str = "user_id") -> DataFrame:
@@ -75,29 +55,14 @@ def ewma(samples: DataFrame, response: float = 7.5, key: str = "user_id") -> Dat
 def signature_changes(active: DataFrame, key: str = "user_id") -> DataFrame:
     """Of active tiles per position (key, event_id, ts, tile), the positions where a viewer's set of tiles changes."""
     sets = active.groupBy(key, "event_id", "ts").agg(F.array_join(F.array_sort(F.collect_set("tile")), "|").alias("signature"))
-    before = F.lag("signature").over(Window.partitionBy(key).orderBy("ts", "event_id"))
-    return sets.withColumn("before", before).where("before is null or before <> signature").drop("before")
-
+    changed = segmented(sets, key, ["ts", "event_id"], "event_id", Changes()).where("changed")
+    return changed.join(sets, [key, "event_id"]).select(key, "event_id", "ts", "signature")
 
-def active_tiles_stream(active: DataFrame, key: str = "user_id") -> DataFrame:
-    """signature_changes() for a stream (key, ts, event_id, signature): the last signature of each viewer is the state."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for ts, event, sign in zip(rows["ts"], rows["event_id"], rows["signature"]):
-            if sign != last:
-                last = sign
-                out.append((k[0], event, sign))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + IDLE_MS)
-        yield pd.DataFrame(out, columns=[key, "event_id", "signature"])
-
-    return active.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, signature string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
+def active_tiles_stream(active: DataFrame, key: str = "user_id", idle_ms: int = IDLE_MS) -> DataFrame:
+    """signature_changes() for a stream (key, ts with a watermark, event_id, signature): the last signature of each viewer is the
+    state, which goes after an idle hour. Returns key, event_id."""
+    return folded(active, key, ["ts", "event_id"], "event_id", Changes(), idle_ms).where("changed").drop("changed")
 
 
 def drive_step(state: tuple, dt: float, x: float, z: float, speed: float, checkpoints: list) -> tuple:
@@ -127,27 +92,12 @@ def challenge_batch(events: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return segmented(rows, "user_id", ["at", "event_id"], "event_id", Drive())
 
 
-def challenge_stream(events: DataFrame) -> DataFrame:
-    """challenge_batch() for a stream of events that carry their `route`: state (status, elapsed, next, last time) per vehicle."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        status, elapsed, nxt, last = state.get if state.exists else ("ready", 0.0, 1, -1.0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            at = r.ts.value / 1e9
-            route = [(p["x"], p["z"]) for p in r.route]
-            if status != "finished" and len(route) >= 2:
-                status, elapsed, nxt = drive_step((status, elapsed, nxt), 0.0 if last < 0 else at - last, r.x, r.z, r.speed, route)
-            last = at
-            out.append((k[0], r.event_id, status, elapsed, min(nxt, len(route) - 1)))
-        state.update((status, elapsed, nxt, last))
-        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + IDLE_MS)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "status", "elapsed", "checkpoint"])
-
-    return events.groupBy("user_id").applyInPandasWithState(step, PROGRESS, "status string, elapsed double, next int, last double", "append", GroupStateTimeout.EventTimeTimeout)
+def challenge_stream(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """challenge_batch() for a stream of events (ts with a watermark) that carry their `route`; a drive goes after an idle hour."""
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
+    axis = lambda c: F.transform("route", lambda p: p[c])
+    rows = events.where(F.size("route") >= 2).select("user_id", "event_id", "ts", at, "x", "z", F.coalesce("speed", F.lit(0.0)).alias("speed"), axis("x").alias("rx"), axis("z").alias("rz")).dropna(subset=["at", "x", "z"])
+    return folded(rows, "user_id", ["at", "event_id"], "event_id", Drive(), idle_ms)
 
 
 def suppress_repeats(stream: DataFrame, key: str = "key", days: int = 7) -> DataFrame:
