@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tiling import world_tile
@@ -156,11 +156,48 @@ def compact_properties(df: DataFrame, column: str = "properties") -> DataFrame:
     return df.withColumn(column, F.map_filter(column, lambda k, v: v.isNotNull()))
 
 
+def _write_by_seed(rows: DataFrame, path: str) -> None:
+    """Rows as a table by seed; only the seeds in them are replaced, so the same write again leaves the same."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seed_id").parquet(path)
+
+
+def _write_parts(parts: dict[str, DataFrame], path: str) -> None:
+    """The parts' rows, and last a header of how many each seed has: a seed counts as written when its header is."""
+    for name, rows in parts.items():
+        _write_by_seed(rows, f"{path}/{name}")
+    spark = next(iter(parts.values())).sparkSession
+    header = None
+    for name in parts:
+        n = spark.read.parquet(f"{path}/{name}").join(parts[name].select("seed_id").distinct(), "seed_id", "left_semi").groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name))
+        header = n if header is None else header.unionByName(n)
+    _write_by_seed(header, f"{path}/header")
+
+
+def _read_part(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """The rows of the seeds that have a header; those of a write that has not ended are left out, and a table that has not what
+    its header says raises an error."""
+    header = spark.read.parquet(f"{path}/header").where(F.col("part") == part).select("seed_id", "n")
+    rows = spark.read.parquet(f"{path}/{part}").join(header.select("seed_id"), "seed_id", "left_semi")
+    found = rows.groupBy("seed_id").agg(F.count(F.lit(1)).alias("found"))
+    wrong = header.join(found, "seed_id", "left").where("coalesce(found, 0) <> n").limit(1).count()
+    if wrong:
+        raise ValueError(f"{part} of {path} does not hold the rows that its header names")
+    return rows
+
+
 def write_manifest(objects: DataFrame, path: str) -> None:
     """The manifest partitioned by seed; rows of one seed and tile stand together."""
-    objects.repartition("seed_id", "tile").sortWithinPartitions("seed_id", "tile").write.mode("overwrite").partitionBy("seed_id").parquet(path)
+    _write_parts({"objects": objects.repartition("seed_id", "tile").sortWithinPartitions("seed_id", "tile")}, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return _read_part(spark, path, "objects")
 
 
 def write_road_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").partitionBy("seed_id").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("seed_id").parquet(f"{path}/edges")
+    """Nodes and edges, each partitioned by seed."""
+    _write_parts({"nodes": nodes.repartition("seed_id"), "edges": edges.repartition("seed_id", "road")}, path)
+
+
+def read_road_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return _read_part(spark, path, "nodes"), _read_part(spark, path, "edges")

@@ -202,9 +202,17 @@ def _(t):
     return W.tile_buckets(parts.select("seed_id", "tile", "kind", "id")).select("seed_id", "tile", "kind", F.array_join("ids", ",").alias("ids"), "n_parts")
 
 
+def tiled_objects(t):
+    """The manifest's objects as seed and tile alone, which takes their boxes and no heights."""
+    boxes = lambda v: v.groupBy("seed_id", "id").agg(((F.min("x") + F.max("x")) / 2).alias("x"), ((F.min("z") + F.max("z")) / 2).alias("z"))
+    buildings = T.world_tile(boxes(t.rings())).select("seed_id", F.explode(F.array("tile", "tile")).alias("tile"))  # one and its roof
+    roads = T.world_tile(boxes(t.road_points())).select("seed_id", "tile")
+    return buildings.unionByName(roads).unionByName(t.seeds.select("seed_id", F.lit(None).cast("string").alias("tile")))
+
+
 def stats(t):
-    nodes, edges = entry_graph(t)
-    return W.world_stats(t.seeds, t.resolved(), t["road_base"], durable(nodes), durable(edges), objects(t), E.grid_summary(t.grid()))
+    nodes, edges = (durable(x) for x in entry_graph(t))
+    return W.world_stats(t.seeds, t.resolved(), t["road_base"], nodes, edges, tiled_objects(t), E.grid_summary(t.grid()))
 
 
 @query("d4_world_stats", with_("rv", "road_base", "grid", "rr", "bbox", more=BUILT + ", " + BOBJ) + f"""SELECT s.seed_id, b.n AS buildings, b.p AS provided_heights, b.l AS level_heights, b.i AS inferred_heights, b.shaped AS shaped_roofs, o.n AS semantic_objects, o.tiles, coalesce(r.n, 0) AS roads, coalesce(n.n, 0) AS road_nodes, coalesce(e.n, 0) AS road_edges, coalesce(e.m, 0) AS drivable_meters, {rd('sm.high - sm.low')} AS relief

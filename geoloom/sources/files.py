@@ -16,8 +16,10 @@ BUILDING_XML = f"_id string, name string, boundedBy array<struct<GroundSurface:{
 
 
 def _near_tiles(table: DataFrame, seeds: DataFrame, pad: float) -> DataFrame:
-    """Rows of a table partitioned by tile_x, tile_y that stand in a tile of a seed's box, with the seed."""
-    tiles = tiles_for_bounds(bounds_around(seeds, pad)).select("seed_id", F.col("x").alias("tile_x"), F.col("y").alias("tile_y"))
+    """Rows of a table partitioned by tile_x, tile_y that stand in a tile of a seed's box, with the seed. The tiles are known when
+    the scan begins, so only their files are read."""
+    # all tiles pass; the optimizer prunes by a side that has a condition
+    tiles = tiles_for_bounds(bounds_around(seeds, pad)).select("seed_id", F.col("x").alias("tile_x"), F.col("y").alias("tile_y")).where("tile_x >= 0")
     return table.join(small(tiles), ["tile_x", "tile_y"])
 
 
@@ -83,17 +85,20 @@ def _vertex(first: Column, second: Column, elevation: Column) -> Column:
     return F.struct(F.when(lat_first, second).otherwise(first).alias("lon"), F.when(lat_first, first).otherwise(second).alias("lat"), elevation.alias("elevation"))
 
 
-def read_citygml(spark: SparkSession, path: str) -> DataFrame:
+def read_citygml(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per Building of CityGML files: id, name, lod (2 if any thematic surface is given) and `surfaces`
-    (kind, vertices)."""
-    raw = spark.read.format("xml").option("rowTag", "Building").option("ignoreNamespace", "true").schema(BUILDING_XML).load(path)
+    (kind, vertices). With `lines`, each line of a file is a building, so a large file is read by many tasks."""
+    raw = spark.read.format("xml").option("rowTag", "Building").option("ignoreNamespace", "true").option("multiLine", str(not lines).lower()).schema(BUILDING_XML).load(path)
     kinds = {"ground": "GroundSurface", "wall": "WallSurface", "roof": "RoofSurface", "closure": "ClosureSurface"}
-    members = lambda kind, list_: F.transform(F.filter(list_, lambda m: m["Polygon"]["exterior"]["LinearRing"]["posList"].isNotNull()), lambda m: F.struct(F.lit(kind).alias("kind"), position_list(m["Polygon"]["exterior"]["LinearRing"]["posList"], 3).alias("vertices")))
-    none = F.array().cast("array<struct<kind:string,vertices:array<struct<lon:double,lat:double,elevation:double>>>>")
+    given = lambda m: m["Polygon"]["exterior"]["LinearRing"]["posList"]
+    members = lambda kind, list_: F.transform(F.filter(list_, lambda m: given(m).isNotNull()), lambda m: F.struct(F.lit(kind).alias("kind"), given(m).alias("text")))
+    none = F.array().cast("array<struct<kind:string,text:string>>")
     themed = F.flatten(F.transform(F.coalesce("boundedBy", F.array().cast(raw.schema["boundedBy"].dataType)), lambda b: F.concat(*[F.coalesce(members(k, b[e]["lod2MultiSurface"]["MultiSurface"]["surfaceMember"]), none) for k, e in kinds.items()])))
     plain = F.coalesce(members("other", F.col("lod1Solid.Solid.exterior.CompositeSurface.surfaceMember")), none)
-    two = F.size(themed) > 0
-    return raw.select(F.col("_id").alias("id"), "name", F.when(two, 2).otherwise(1).alias("lod"), F.when(two, themed).otherwise(plain).alias("surfaces"))
+    # the texts of positions become columns before they are read, once
+    texts = raw.select(F.col("_id").alias("id"), "name", themed.alias("themed"), plain.alias("plain")).withColumn("lod", F.when(F.size("themed") > 0, 2).otherwise(1))
+    texts = texts.select("id", "name", "lod", F.when(F.col("lod") == 2, F.col("themed")).otherwise(F.col("plain")).alias("texts"))
+    return texts.select("id", "name", "lod", F.transform("texts", lambda s: F.struct(s["kind"].alias("kind"), position_list(s["text"], 3).alias("vertices"))).alias("surfaces"))
 
 
 def dedupe_surfaces(surfaces: DataFrame) -> DataFrame:

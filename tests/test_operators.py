@@ -187,7 +187,13 @@ def test_building_tiles(spark, tmp_path, seeds):
     df = spark.createDataFrame(rows, "id string, name string, height double, levels double, kind string, ring array<struct<lon:double,lat:double>>")
     tiled = df.withColumn("tile_x", T.geo.tile_x(F.col("ring")[0]["lon"], 14)).withColumn("tile_y", T.geo.tile_y(F.col("ring")[0]["lat"], 14)).withColumn("ordinal", F.lit(0))
     tiled.write.partitionBy("tile_x", "tile_y").parquet(str(tmp_path / "b"))
-    assert [r["id"] for r in files.read_buildings(spark, str(tmp_path / "b"), seeds).collect()] == ["in"]
+    found = files.read_buildings(spark, str(tmp_path / "b"), seeds)
+    assert "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString()
+    # the files of other tiles are not even opened
+    lost = [f for f in (tmp_path / "b").rglob("*.parquet") if "tile_x=14552" not in str(f)]
+    assert len(lost) == 1
+    lost[0].write_bytes(b"not a table")
+    assert [r["id"] for r in found.collect()] == ["in"]
 
 
 def test_elevation_tiles(spark, tmp_path):
@@ -227,8 +233,20 @@ def test_export_keeps_the_origin_out(spark, seeds):
 
 def test_manifest_writes(spark, tmp_path):
     o = spark.createDataFrame([(1, "building:a", "0:0"), (2, "building:b", "1:0")], "seed_id int, object_id string, tile string")
-    W.write_manifest(o, str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    path, rows = str(tmp_path / "m"), lambda: sorted(map(tuple, W.read_manifest(spark, str(tmp_path / "m")).select("seed_id", "object_id", "tile").collect()))
+    W.write_manifest(o, path)
+    assert rows() == [(1, "building:a", "0:0"), (2, "building:b", "1:0")]
+    W.write_manifest(o, path)
+    assert rows() == [(1, "building:a", "0:0"), (2, "building:b", "1:0")]
+    # another write of one seed replaces that seed alone
+    W.write_manifest(spark.createDataFrame([(2, "building:c", "2:0"), (2, "building:d", "2:0")], o.schema), path)
+    assert rows() == [(1, "building:a", "0:0"), (2, "building:c", "2:0"), (2, "building:d", "2:0")]
+    # a write that stopped before its header is not read; one that lost rows is noticed
+    W._write_by_seed(spark.createDataFrame([(3, "building:e", "0:0")], o.schema), f"{path}/objects")
+    assert len(rows()) == 3
+    W._write_by_seed(spark.createDataFrame([(2, "building:c", "2:0")], o.schema), f"{path}/objects")
+    with pytest.raises(ValueError, match="header"):
+        rows()
 
 
 MS = [0, 1000, 2499, 2500, 3000, 5000]
