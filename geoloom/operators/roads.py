@@ -102,6 +102,15 @@ def attach_connectors(refs: DataFrame, connectors: DataFrame, offsets: DataFrame
     return found.join(made, ["seed_id", "id", "at"], "left").select("seed_id", "id", "connector", "at", F.coalesce("cx", "mx").alias("x"), F.coalesce("cz", "mz").alias("z"))
 
 
+def longest_part(vertices: DataFrame) -> DataFrame:
+    """Of roads with several parts (seed_id, id, part, pos, x, z) the vertices of the longest one, of equal ones the first."""
+    w = Window.partitionBy("seed_id", "id", "part").orderBy("pos")
+    step = F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("z") - F.lag("z").over(w)) ** 2)
+    lengths = vertices.withColumn("__step", F.coalesce(step, F.lit(0.0))).groupBy("seed_id", "id", "part").agg(F.sum("__step").alias("length"))
+    best = lengths.groupBy("seed_id", "id").agg(F.max_by("part", F.struct("length", -F.col("part"))).alias("part"))
+    return vertices.join(best, ["seed_id", "id", "part"], "left_semi")
+
+
 def merge_road_fragments(fragments: DataFrame, refs: DataFrame) -> DataFrame:
     """One row per road of fragments (id, ord, kind, width, name): the first one's attributes, the number of fragments, and
     of the references (id, ord, connector, at) the last of each connector, in order of `at`."""

@@ -4,18 +4,33 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..functions.resolve import grid_size, mesh_profile
+from .tiling import from_local
+
+
+def grid_points(seeds: DataFrame, n: Column | int) -> DataFrame:
+    """The places of an n by n grid over each seed's square: seed_id, radius, row, col, x, z. n may differ by seed."""
+    n = F.lit(n) if isinstance(n, int) else n
+    at = lambda c: -F.col("radius") + F.col(c) * (2 * F.col("radius") / (F.col("__n") - 1))
+    each = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    spread = seeds.select("seed_id", "radius", n.cast("int").alias("__n")).withColumn("row", each).withColumn("col", each)
+    return spread.withColumns({"x": at("col"), "z": at("row")}).drop("__n")
+
+
+def terrain_grid(seeds: DataFrame, pixels: DataFrame, zoom: int = geo.FEATURE_ZOOM, size: int = 256) -> DataFrame:
+    """Heights above the middle on each seed's grid, 65 to 257 samples a side by its radius, from elevation tiles."""
+    placed = from_local(grid_points(seeds, grid_size(F.col("radius"))), seeds).select("seed_id", "row", "col", "x", "z", "lon", "lat")
+    return rebased(sample_mosaic(placed, pixels, zoom, size).withColumnRenamed("elevation", "height"))
 
 
 def demo_elevation(seeds: DataFrame, n: int = 33) -> DataFrame:
     """A synthetic n by n grid over each seed's square: row, col, x, z, height."""
-    at = lambda c: -F.col("radius") + F.col(c) * (2 * F.col("radius") / (n - 1))
-    spread = seeds.select("seed_id", "radius").withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    placed = spread.withColumns({"x": at("col"), "z": at("row")})
+    placed = grid_points(seeds, n)
     x, z = F.col("x"), F.col("z")
     return placed.withColumn("height", F.sin(x / 230) * 3.2 + F.cos(z / 280) * 2.4 + F.sin((x + z) / 95) * 0.8 - 2.4)
 
@@ -118,12 +133,15 @@ def draped_strips(strips: DataFrame, triangles: DataFrame, lift: float = 0.14) -
     return laid.groupBy("seed_id", "strip", "spans").agg(F.count(F.lit(1)).alias("n_vertices"), F.count_if(F.col("how") == "missed").alias("n_missed"), F.min(F.col("y") + lift).alias("min_y"), F.max(F.col("y") + lift).alias("max_y"))
 
 
-def radial_terrain(seeds: DataFrame, sectors: int, rings: int) -> DataFrame:
-    """The vertices of a radial mesh: the centre (index 0), then ring by ring: seed_id, point, ring, sector, x, z."""
-    s = seeds.select("seed_id", "radius")
-    spread = s.withColumn("ring", F.explode(F.sequence(F.lit(1), F.lit(rings)))).withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(sectors - 1))))
-    angle, r = F.col("sector") * (2 * math.pi / sectors), F.col("radius") * F.col("ring") / rings
-    outer = spread.select("seed_id", (1 + (F.col("ring") - 1) * sectors + F.col("sector")).cast("int").alias("point"), "ring", "sector", (F.cos(angle) * r).alias("x"), (F.sin(angle) * r).alias("z"))
+def radial_terrain(seeds: DataFrame, sectors: int | None = None, rings: int | None = None) -> DataFrame:
+    """The vertices of a radial mesh: the centre (index 0), then ring by ring: seed_id, point, ring, sector, x, z. Sectors and
+    rings are given, or follow from the radius and the spacing of its grid."""
+    profile = mesh_profile(2 * F.col("radius") / (grid_size(F.col("radius")) - 1), F.col("radius"))
+    given = lambda n, name: (profile[name] if n is None else F.lit(n)).alias(name)
+    s = seeds.select("seed_id", "radius", given(sectors, "sectors"), given(rings, "rings"))
+    spread = s.withColumn("ring", F.explode(F.sequence(F.lit(1), F.col("rings")))).withColumn("sector", F.explode(F.sequence(F.lit(0), F.col("sectors") - 1)))
+    angle, r = F.col("sector") * (F.lit(2 * math.pi) / F.col("sectors")), F.col("radius") * F.col("ring") / F.col("rings")
+    outer = spread.select("seed_id", (1 + (F.col("ring") - 1) * F.col("sectors") + F.col("sector")).cast("int").alias("point"), "ring", "sector", (F.cos(angle) * r).alias("x"), (F.sin(angle) * r).alias("z"))
     centre = s.select("seed_id", F.lit(0).alias("point"), F.lit(0).alias("ring"), F.lit(0).alias("sector"), F.lit(0.0).alias("x"), F.lit(0.0).alias("z"))
     return centre.unionByName(outer)
 

@@ -64,7 +64,14 @@ def _(t):
     return offs.groupBy("seed_id").agg(F.max_by("id", F.struct("total", -F.col("ord"))).alias("id"), (F.round(F.max("total"), 3) + 0.0).alias("total"))
 
 
-@query("d3_stitch_paths")
+@query("t3_longest_part", with_("rv", more="p AS (SELECT *, pos // 3 AS part FROM rv), s AS (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(z - lag(z) OVER w, 2)), 0e0) AS step FROM p WINDOW w AS (PARTITION BY seed_id, id, part ORDER BY pos)), l AS (SELECT seed_id, id, part, sum(step) AS length, count(*) AS n FROM s GROUP BY ALL)") + "SELECT seed_id, id, arg_max(part, (length, -part)) AS part, arg_max(n, (length, -part)) AS n FROM l GROUP BY seed_id, id")
+def _(t):
+    parts = t.road_points().withColumn("part", F.floor(F.col("pos") / 3).cast("int"))
+    return R.longest_part(parts).groupBy("seed_id", "id", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+# halves that share a vertex come together again
+@query("d3_stitch_paths", with_("rv") + "SELECT id, CAST(count(*) AS INTEGER) AS n FROM rv GROUP BY id")
 def _(t):
     roads = t.local_roads().withColumn("ord", F.col("ord") * 2)
     half = F.greatest(F.floor(F.size("path") / 2).cast("int"), F.lit(1))
@@ -78,7 +85,7 @@ def _(t):
     return rounded(t.entries(), "offset", "x", "z")
 
 
-@query("w5_compact_path")
+@query("w5_compact_path", with_("rv", more="o AS (SELECT seed_id, id, x, z, row_number() OVER (PARTITION BY seed_id, id ORDER BY pos) AS k FROM rv), f AS (SELECT seed_id, id, k, x, z, 1 AS n FROM o WHERE k = 1 UNION ALL SELECT o.seed_id, o.id, o.k, CASE WHEN sqrt(pow(o.x - f.x, 2) + pow(o.z - f.z, 2)) >= 30 THEN o.x ELSE f.x END, CASE WHEN sqrt(pow(o.x - f.x, 2) + pow(o.z - f.z, 2)) >= 30 THEN o.z ELSE f.z END, CASE WHEN sqrt(pow(o.x - f.x, 2) + pow(o.z - f.z, 2)) >= 30 THEN f.n + 1 ELSE f.n END FROM f JOIN o ON o.seed_id = f.seed_id AND o.id = f.id AND o.k = f.k + 1)").replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT seed_id, id, max(n) AS n FROM f GROUP BY seed_id, id")
 def _(t):
     return t.local_roads().select("seed_id", "id", F.size(R.compact(F.col("path"), 30.0)).alias("n"))
 

@@ -91,14 +91,14 @@ def _tin_pixels(t):
     return cells.withColumn("elevation", (F.col("px") * 11 + F.col("py") * 7 + F.col("tile_x") % 50 + F.col("tile_y") % 30).cast("double"))
 
 
-@query("g6_terrain_grid", with_("seeds", more=f"""p AS (SELECT seed_id, i AS row, j AS col, lon + (-radius + j * (2 * radius / 16)) / ({RAD} * cos(lat * {DEG})) / {DEG} AS lon, lat - (-radius + i * (2 * radius / 16)) / {RAD} / {DEG} AS lat FROM seeds, range(17) a(i), range(17) b(j)),
+N_SQL = "CASE WHEN radius <= 300 THEN 65 WHEN radius <= 600 THEN 129 ELSE 257 END"
+
+
+@query("g6_terrain_grid", with_("seeds", more=f"""n AS (SELECT *, {N_SQL} AS n FROM seeds), p AS (SELECT seed_id, n, i AS row, j AS col, lon + (-radius + j * (2 * radius / (n - 1))) / ({RAD} * cos(lat * {DEG})) / {DEG} AS lon, lat - (-radius + i * (2 * radius / (n - 1))) / {RAD} / {DEG} AS lat FROM n, range(257) a(i), range(257) b(j) WHERE i < n AND j < n),
 g AS (SELECT *, (lon + 180) / 360 * 16384 * 16 AS gx, (1 - asinh(tan(lat * {DEG})) / pi()) / 2 * 16384 * 16 AS gy FROM p), f AS (SELECT *, floor(gx / 16) AS tx, floor(gy / 16) AS ty FROM g), h AS (SELECT *, greatest(0, least(15, gx - tx * 16)) AS fx, greatest(0, least(15, gy - ty * 16)) AS fy FROM f),
-e AS (SELECT *, least(fx, 15) * 11 + least(fy, 15) * 7 + tx % 50 + ty % 30 AS height FROM h)""") + f"SELECT e.seed_id, CAST(e.row AS INTEGER) AS row, CAST(e.col AS INTEGER) AS col, {rd('e.height - o.height', 3)} AS height FROM e JOIN e o ON o.seed_id = e.seed_id AND o.row = 8 AND o.col = 8")
+e AS (SELECT *, least(fx, 15) * 11 + least(fy, 15) * 7 + tx % 50 + ty % 30 AS height FROM h)""") + f"SELECT e.seed_id, CAST(e.row AS INTEGER) AS row, CAST(e.col AS INTEGER) AS col, {rd('e.height - o.height', 3)} AS height FROM e JOIN e o ON o.seed_id = e.seed_id AND o.row = e.n // 2 AND o.col = e.n // 2")
 def _(t):
-    base = E.demo_elevation(t.seeds, 17).select("seed_id", "row", "col", "x", "z")
-    placed = T.from_local(base, t.seeds).select("seed_id", "row", "col", "x", "z", "lon", "lat")
-    laid = E.sample_mosaic(placed, _tin_pixels(t), 14, 16)
-    return E.rebased(laid.withColumnRenamed("elevation", "height")).select("seed_id", "row", "col", r("height", 3))
+    return E.terrain_grid(t.seeds, _tin_pixels(t), 14, 16).select("seed_id", "row", "col", r("height", 3))
 
 
 RADIAL = """pts AS (SELECT seed_id, 0 AS point, 0e0 AS x, 0e0 AS z FROM seeds UNION ALL SELECT seed_id, CAST(1 + (a - 1) * 32 + b AS INTEGER), cos(b * (2 * pi() / 32)) * (radius * a / 12), sin(b * (2 * pi() / 32)) * (radius * a / 12) FROM seeds, range(1, 13) r(a), range(32) s(b))"""
@@ -109,9 +109,14 @@ def radial(t):
     return E.elevation_at(v, t.grid())
 
 
-@query("g7_radial_terrain", with_("grid", more=RADIAL) + f"SELECT seed_id, point, {rd('x', 3)} AS x, {rd('z', 3)} AS z, {rd('y', 3)} AS y FROM ({elev('pts')})")
+MESH = f"""ms AS (SELECT seed_id, radius, greatest(2e0, 2 * radius / ({N_SQL} - 1)) AS res FROM seeds),
+mp AS (SELECT seed_id, radius, CAST(greatest(32, least(128, ceil(radius / greatest(6e0, res * 1.15e0)))) AS INTEGER) AS rings, CAST(greatest(128, least(384, ceil(ceil(2 * pi() * radius / greatest(10e0, res * 1.7e0)) / 32) * 32)) AS INTEGER) AS sectors FROM ms),
+pts AS (SELECT seed_id, 0 AS point, 0e0 AS x, 0e0 AS z FROM seeds UNION ALL SELECT seed_id, CAST(1 + (a - 1) * sectors + b AS INTEGER), cos(b * (2 * pi() / sectors)) * (radius * a / rings), sin(b * (2 * pi() / sectors)) * (radius * a / rings) FROM mp, range(1, 129) r(a), range(384) s(b) WHERE a <= rings AND b < sectors)"""
+
+
+@query("g7_radial_terrain", with_("grid", more=MESH) + f"SELECT seed_id, point, {rd('x', 3)} AS x, {rd('z', 3)} AS z, {rd('y', 3)} AS y FROM ({elev('pts')})")
 def _(t):
-    return rounded(radial(t).select("seed_id", "point", "x", "z", "y"), "x", "z", "y", digits=3)
+    return rounded(E.elevation_at(E.radial_terrain(t.seeds), t.grid()).select("seed_id", "point", "x", "z", "y"), "x", "z", "y", digits=3)
 
 
 @query("g8_terrain_triangles", with_("seeds", more="m AS (SELECT seed_id, CAST(least(128, greatest(32, radius / 10)) AS INTEGER) AS rings FROM seeds), s AS (SELECT *, k * 2 AS sector FROM m, range(64) r(k)), kept AS (SELECT seed_id, ring, row_number() OVER (PARTITION BY seed_id ORDER BY ring) AS n FROM (SELECT DISTINCT seed_id, CASE WHEN k = 0 THEN rings ELSE k * 2 END AS ring FROM m, range(70) r(k) WHERE k * 2 <= rings)), pairs AS (SELECT a.seed_id, a.ring AS inner_ring, b.ring AS outer_ring FROM kept a JOIN kept b ON b.seed_id = a.seed_id AND b.n = a.n + 1)") + """SELECT seed_id, count(*) AS n, sum(a * 3 + b * 5 + c * 7)::BIGINT AS mix FROM (
