@@ -18,7 +18,8 @@ PASS_BITS = 10
 #: A cut is exact enough when the bin that it falls into has less than this share of a shard's bytes.
 CUT_SHARE = 1 / 2048
 SLOT_ROWS = 20_000
-DIMENSIONS = ("by_lang", "by_source", "by_size", "by_id")
+#: The metadata that a box can be wide in; the id only where it is wide in none of them.
+DIMENSIONS, LAST = ("by_lang", "by_source", "by_size", "by_length"), "by_id"
 
 
 @dataclass
@@ -49,6 +50,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         spread(docs["lang"]).alias("by_lang"),
         spread(docs["source"]).alias("by_source"),
         F.least(F.lit(top - 1), F.floor(F.log2(size.cast("double")) / 40 * top)).cast("long").alias("by_size"),
+        F.least(F.lit(top - 1), F.floor(F.log2(F.coalesce(F.char_length(text), F.lit(0)) + 1.0) / 40 * top)).cast("long").alias("by_length"),
         spread(docs["doc_id"]).alias("by_id"),
         F.pmod(F.xxhash64(F.lit("tie"), docs["doc_id"], F.crc32(F.coalesce(text, F.lit("")).cast("binary"))), F.lit(1 << TIE_BITS)).alias("tie"),
     )
@@ -96,16 +98,19 @@ def _cuts(rows: DataFrame, open_nodes: dict[int, Node], total: int, shards: int)
 
 def tree(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """metadata() with `shard`: a box that is to become k shards is cut in floor(k / 2) and the rest, at that share of its
-    bytes, along the dimension in which it is widest; equal values of the dimension are cut by the tie-break."""
+    bytes, along the dimension in which it is widest, measured by the whole table's width in it (ties: the first); equal values
+    of the dimension are cut by the tie-break."""
     nodes = {0: Node(0, shards)}
     rows = rows.withColumn("node", F.lit(0))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    whole = rows.agg(F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).first()
+    total = whole["bytes"] or 0
     while any(n.shards > 1 for n in nodes.values()) and total:
         stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).collect()}
         cut = {}
         for k, n in nodes.items():
             if n.shards > 1 and k in stats:
-                widest = max(DIMENSIONS, key=lambda d: (stats[k][d], -DIMENSIONS.index(d)))
+                width = {d: stats[k][d] / max(whole[d], 1) for d in DIMENSIONS}
+                widest = max(width, key=width.get) if any(width.values()) else LAST
                 cut[k] = Node(n.first, n.shards, stats[k]["bytes"], widest, goal=stats[k]["bytes"] * (n.shards // 2) / n.shards)
         _cuts(rows, cut, total, shards)
         # a node is named by its first shard, so the left part keeps the name
@@ -134,8 +139,8 @@ def with_slots(rows: DataFrame, total: int, shards: int = SHARDS) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Documents in shards of nearly equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The size is the text's bytes in UTF-8 plus 8 (null text: 8). Dimensions are language, source, size and id; null lang
-    and source are values of their own. Copies of a text or rows of a hot source are cut by a hash of id and text, so no
+    The size is the text's bytes in UTF-8 plus 8 (null text: 8). Dimensions are language, source, size and length in
+    code points, and the id where a box is wide in none of them; a null lang or source counts as an empty one. Copies of a text or rows of a hot source are cut by a hash of id and text, so no
     group outgrows a shard; repeated rows with one doc_id and text stay together. A shard may stay empty when there are
     fewer documents than shards; an empty table gives no rows; other columns are ignored.
     """

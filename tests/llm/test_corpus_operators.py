@@ -42,6 +42,35 @@ def test_shards(spark, no_docs, edge_docs):
     assert sharding.shard_documents(no_docs).collect() == []
 
 
+def brute_tree(rows, shards):
+    """Boxes cut one by one at the row nearest to the goal of bytes, along the widest dimension; the dimensions that were cut."""
+    whole, cuts = {d: max(r[d] for r in rows) - min(r[d] for r in rows) for d in sharding.DIMENSIONS}, []
+
+    def cut(box, first, n):
+        if n == 1:
+            return {r["doc_id"]: first for r in box}
+        width = {d: (max(r[d] for r in box) - min(r[d] for r in box)) / max(whole[d], 1) for d in sharding.DIMENSIONS}
+        dim = max(width, key=width.get) if any(width.values()) else sharding.LAST
+        cuts.append(dim)
+        box = sorted(box, key=lambda r: (r[dim], r["tie"]))
+        goal, run, at = sum(r["size"] for r in box) * (n // 2) / n, 0, 0
+        while run + box[at]["size"] < goal:
+            run, at = run + box[at]["size"], at + 1
+        at += goal - run >= run + box[at]["size"] - goal
+        return cut(box[:at], first, n // 2) | cut(box[at:], first + n // 2, n - n // 2)
+
+    return cut(rows, 0, shards), cuts
+
+
+def test_cuts_are_those_of_a_brute_force_tree(spark):
+    rnd = random.Random(6)
+    rows = [(i, prose(rnd.randint(1, 200), i), rnd.choice(["en", "de", "fr", "es"]), "hot" if i % 3 else f"s{rnd.randint(0, 9)}", 0, "", 0) for i in range(700)]
+    table = sharding.metadata(spark.createDataFrame(rows, SCHEMA)).cache()
+    want, cuts = brute_tree(table.collect(), 24)
+    assert {r["doc_id"]: r["shard"] for r in sharding.tree(table, 24).collect()} == want
+    assert len(set(cuts)) >= 3 and sharding.LAST not in cuts
+
+
 # operator 4
 
 
