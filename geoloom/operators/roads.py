@@ -249,6 +249,16 @@ def spawn_points(nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame
     return met.withColumn("heading", F.atan2((F.col("bx") - F.col("ax")) * sign, (F.col("bz") - F.col("az")) * sign)).select("seed_id", "node", "x", "z", "degree", "rank", "edge", "heading")
 
 
+def timed_spawn_points(nodes: DataFrame, edges: DataFrame, points: DataFrame, most: int = 8) -> DataFrame:
+    """spawn_points() behind the start of each seed's timed route (points: seed_id, pos, x, z), which heads for its second
+    point; together `most`. A seed whose route has fewer than two points has its nodes alone."""
+    at = lambda k, c: F.max(F.when(F.col("pos") == k, F.col(c)))
+    start = points.where("pos < 2").groupBy("seed_id").agg(at(0, "x").alias("x"), at(0, "z").alias("z"), at(1, "x").alias("nx"), at(1, "z").alias("nz")).where("x is not null and nx is not null")
+    first = start.select("seed_id", F.lit("time-attack").alias("node"), "x", "z", F.lit(1).alias("rank"), F.atan2(F.col("nx") - F.col("x"), F.col("nz") - F.col("z")).alias("heading"))
+    rest = spawn_points(nodes, edges, most).join(start.select("seed_id", F.lit(1).alias("ahead")), "seed_id", "left").withColumn("rank", F.col("rank") + F.coalesce("ahead", F.lit(0)))
+    return first.unionByName(rest.where(F.col("rank") <= most).select("seed_id", "node", "x", "z", "rank", "heading"))
+
+
 def checkpoints_along(vertices: DataFrame, spacing: float) -> DataFrame:
     """Points every `spacing` metres along paths (seed_id, id, pos, x, z and y where there are heights), from the start on;
     the end is added if it is over 0.35 spacings from the last, else it takes its place: seed_id, id, k, x, z (and y)."""

@@ -204,6 +204,14 @@ def _(t):
     return routes.join(n, "seed_id").select("seed_id", "route", "n_steps", r("walked", 2), r("spacing", 3), "n_points")
 
 
+@query("t2_timed_spawn_points")
+def _(t):
+    nodes, edges = (durable(x) for x in entry_graph(t))
+    ways = R.adjacency(edges)
+    walked = durable(N.seeded_walks(N.walk_starts(t.seeds, nodes, R.route_start(nodes, ways)), ways))
+    return rounded(R.timed_spawn_points(nodes, edges, N.drive_routes(walked, nodes, t.seeds)[1]), "x", "z", "heading", digits=3)
+
+
 @query("w6_checkpoints_along", with_("rv", "grid", more=f"""ry AS (SELECT seed_id, id, pos, x, y, z FROM ({elev('rv', slim=True)})),
 ro AS (SELECT *, max(off) OVER (PARTITION BY seed_id, id) AS total FROM (SELECT *, sum(step) OVER (PARTITION BY seed_id, id ORDER BY pos) AS off FROM (SELECT *, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(z - lag(z) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0e0) AS step FROM ry WINDOW w AS (PARTITION BY seed_id, id ORDER BY pos)))),
 tot AS (SELECT seed_id, id, max(total) AS total, arg_min(x, pos) AS sx, arg_min(y, pos) AS sy, arg_min(z, pos) AS sz, arg_max(x, pos) AS ex, arg_max(y, pos) AS ey, arg_max(z, pos) AS ez FROM ro GROUP BY seed_id, id HAVING count(*) > 1),

@@ -102,6 +102,16 @@ def test_walks_repeat_and_routes_have_checkpoints(spark, seeds):
     assert routes.first()["route"].startswith("drive-") and R.checkpoints_along(pts, routes.first()["spacing"]).count() >= 2
 
 
+def test_spawns_begin_with_the_timed_route(spark):
+    nodes, edges = crossing(spark)
+    route = spark.createDataFrame([(1, 0, 1.0, 2.0), (1, 1, 4.0, 2.0), (1, 2, 9.0, 9.0)], "seed_id int, pos int, x double, z double")
+    got = [tuple(r) for r in R.timed_spawn_points(nodes, edges, route, 3).orderBy("rank").select("node", "x", "rank").collect()]
+    assert got[0] == ("time-attack", 1.0, 1) and got[1][0] == "connector:crossing" and [g[2] for g in got] == [1, 2, 3]
+    assert R.timed_spawn_points(nodes, edges, route, 3).where("rank = 1").first()["heading"] == pytest.approx(math.pi / 2)
+    alone = R.timed_spawn_points(nodes, edges, route.where("pos = 0"), 3)
+    assert sorted(r["rank"] for r in alone.collect()) == [1, 2, 3] and not alone.where("node = 'time-attack'").count()
+
+
 def test_lookahead_turns_at_the_bend(spark):
     roads, paths = road_table(spark, [[(0, 40), (0, 0)], [(0, 0), (40, 0)]])
     refs = no_refs(spark, [(1, "r0", 0, "bend", 1.0, 0.0, 0.0), (1, "r1", 0, "bend", 0.0, 0.0, 0.0)])
