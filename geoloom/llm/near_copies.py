@@ -26,6 +26,9 @@ BINS, PROBABLE, STRONG = 64, 0.6, 0.9
 #: partners and the run's PIVOTS, those that are like most others; what is still apart then meets in a second search.
 SMALL_RUN, BEST, PIVOTS = 64, 4, 8
 RUN_ROWS = 200_000
+#: The second search has of each text its least shingle hashes: all of them up to MARKS, fewer in runs of so many texts that a task
+#: would hold more than RUN_MARKS. Where some are left out, pairs within SLACK deviations of the similarity are verified.
+MARKS, LEAST_MARKS, RUN_MARKS, SLACK = 2048, 64, 8 << 20, 5
 
 
 def _rolled(h: np.ndarray, n: int) -> np.ndarray:
@@ -127,21 +130,38 @@ def first_pairs(node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.n
     return run_pairs(node, n, bits, BEST)
 
 
-def pairs_apart(node: np.ndarray, n: np.ndarray, bits: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All probable pairs of a long run whose texts no verified links connect yet (root: what they are connected to).
+def pairs_apart(node: np.ndarray, n: np.ndarray, bits: np.ndarray, root: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a long run that are alike by their marks (sorted arrays of shingle hashes) and that no verified links connect
+    yet (root: what they are connected to).
 
-    Each such pair has a text outside the run's largest root, so these alone are compared with the run.
+    Each such pair has a text outside the run's largest root, so these alone are compared with the run, each by the texts that
+    have its marks. Where both have all their shingles as marks, the pairs are just those of a similarity of SIMILARITY.
     """
     if len(node) <= SMALL_RUN:
         return node[:0], node[:0]
-    node, n, bits, low, high, root = _by_size(node, n, bits, root)
+    node, n, bits, low, high, root, marks = _by_size(node, n, bits, root, marks)
     names, held = np.unique(root, return_counts=True)
+    size = np.array([len(m) for m in marks])
+    ends = np.append(0, np.cumsum(size))
+    of = np.unique(np.concatenate(marks), return_inverse=True)[1]
+    order = np.argsort(of, kind="stable")
+    owner, starts = np.repeat(np.arange(len(node)), size)[order], np.append(0, np.cumsum(np.bincount(of)))
     us, vs = [node[:0]], [node[:0]]
     for i in np.flatnonzero(root != names[held.argmax()]).tolist():
         to = low[i] + np.flatnonzero(root[low[i] : high[i]] != root[i])
-        near = to[_estimates(bits[i], bits[to]) >= PROBABLE]
-        us.append(np.full(len(near), node[i]))
-        vs.append(node[near])
+        having = [owner[starts[k] : starts[k + 1]] for k in of[ends[i] : ends[i + 1]].tolist()]
+        if not len(to) or not having:
+            continue
+        common = np.bincount(np.concatenate(having), minlength=len(node))[to]
+        whole = (size[to] == n[to]) & (size[i] == n[i])
+        alike = whole & (common >= SIMILARITY * (size[i] + size[to] - common) - 1e-9)
+        for k in np.flatnonzero(~whole & (common > 0)).tolist():  # texts of which some shingles are left out, up to the lesser end
+            a, b = marks[i], marks[to[k]]
+            till = min(x[-1] if len(x) < m else np.uint64(2**64 - 1) for x, m in ((a, n[i]), (b, n[to[k]])))
+            either = np.searchsorted(a, till, "right") + np.searchsorted(b, till, "right") - common[k]
+            alike[k] = common[k] / either >= SIMILARITY - SLACK * (SIMILARITY * (1 - SIMILARITY) / either) ** 0.5
+        us.append(np.full(int(alike.sum()), node[i]))
+        vs.append(node[to[alike]])
     return np.concatenate(us), np.concatenate(vs)
 
 
@@ -153,16 +173,19 @@ def _by_size(node: np.ndarray, n: np.ndarray, bits: np.ndarray, *more: np.ndarra
     return node[order], n, bits[order], low, high, *[m[order] for m in more]
 
 
-def _candidates(rows: DataFrame, count: int, search=first_pairs, *more: str) -> DataFrame:
-    """a, b: pairs that `search` gives of texts (key, node, n, sketch and the columns of numbers `more`) that share a key;
-    keys stream by, sorted."""
+def _candidates(rows: DataFrame, count: int, search=first_pairs, *more: str, marks: bool = False) -> DataFrame:
+    """a, b: pairs that `search` gives of texts (key, node, n, sketch, the columns of numbers `more`, and marks) that share a
+    key; keys stream by, sorted."""
     schema = "a long, b long"
     met = rows.repartition(parts_for(count, RUN_ROWS), "key").sortWithinPartitions("key")
     arrow = arrow_schema(met, schema)
 
     def pairs(parts: list) -> pa.RecordBatch:
         key, node, n, *rest = (np.concatenate([p[i] for p in parts]) for i in range(3 + len(more)))
-        bits = np.frombuffer(b"".join(x for p in parts for x in p[-1]), np.uint8).reshape(-1, BINS)
+        bits = np.frombuffer(b"".join(x for p in parts for x in p[3 + len(more)]), np.uint8).reshape(-1, BINS)
+        if marks:
+            rest.append(np.empty(len(key), object))
+            rest[-1][:] = [np.frombuffer(x, np.uint64) for p in parts for x in p[-1]]
         starts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
         got = [search(*_once(*[x[a:z] for x in (node, n, bits, *rest)])) for a, z in zip(starts[:-1], starts[1:]) if z - a > 1]
         u, v = (np.concatenate([g[i] for g in got]) if got else node[:0] for i in range(2))
@@ -173,7 +196,7 @@ def _candidates(rows: DataFrame, count: int, search=first_pairs, *more: str) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            row = [*[b[c].to_numpy() for c in ("key", "node", "n", *more)], b["sketch"].to_pylist()]
+            row = [*[b[c].to_numpy() for c in ("key", "node", "n", *more)], *[b[c].to_pylist() for c in lists]]
             key = row[0]
             at = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if at or (held and held[-1][0][-1] != key[-1]):
@@ -183,7 +206,8 @@ def _candidates(rows: DataFrame, count: int, search=first_pairs, *more: str) ->
         if held:
             yield pairs(held)
 
-    return met.select("key", "node", "n", "sketch", *more).mapInArrow(run, schema).distinct()
+    lists = ["sketch", "marks"] if marks else ["sketch"]
+    return met.select("key", "node", "n", *more, *lists).mapInArrow(run, schema).distinct()
 
 
 def _once(node: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
@@ -225,17 +249,39 @@ def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     linked = durable(_verified(docs, named, pairs))
     # what the first search leaves out: pairs of long runs between texts that are not connected by now
     held = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    apart = met.join(held.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    later = durable(_candidates(apart, count, pairs_apart, "root").join(pairs.hint("merge"), ["a", "b"], "left_anti"))
+    runs = met.groupBy("key").agg(F.count(F.lit(1)).alias("run")).where(F.col("run") > SMALL_RUN)
+    long = durable(join_skewed(met, durable(runs), "key", "run", count))
+    marked = _marked(docs, named, durable(long.groupBy(F.col("node").alias("doc_id")).agg(F.max("run").alias("run"))))
+    apart = long.join(held.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")).join(marked.hint("merge"), "node")
+    later = durable(_candidates(apart, count, pairs_apart, "root", marks=True).join(pairs.hint("merge"), ["a", "b"], "left_anti"))
     return rows, named, durable(linked.unionByName(_verified(docs, named, later)))
 
 
-def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of `pairs` whose texts are near copies. Only texts that a pair has are shuffled."""
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(named.select("doc_id", "__key1", "__key2"), "doc_id"))
+def _texts_of(docs: DataFrame, named: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns of ids (doc_id, each once), of the rows that stand for them. No other texts are shuffled."""
+    wanted = durable(ids.join(named.select("doc_id", "__key1", "__key2"), "doc_id"))
     texts, _ = parted(_keyed(docs), filter_of(wanted.select(F.col("__key1").alias("hash"))), "__key1")
     # repeated rows share their keys, so one of each is enough
-    texts = durable(texts.join(wanted.hint("merge"), ["doc_id", "__key1", "__key2"], "left_semi").dropDuplicates(["doc_id"]))
+    return durable(texts.join(wanted.hint("merge"), ["doc_id", "__key1", "__key2"]).dropDuplicates(["doc_id"]).drop("__key1", "__key2"))
+
+
+def _marked(docs: DataFrame, named: DataFrame, ids: DataFrame) -> DataFrame:
+    """node and marks, its least shingle hashes, of ids (doc_id, run: the size of its longest run)."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out = []
+        for t, most in zip(byte_texts(batch["text"]), batch["run"].to_pylist()):
+            words = t.lower().split()
+            five = np.unique(_rolled(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), SHINGLE))
+            out.append(five[: min(MARKS, max(LEAST_MARKS, RUN_MARKS // most))].tobytes())
+        return {"node": batch["doc_id"], "marks": out}
+
+    return durable(map_batches(_texts_of(docs, named, ids).select("doc_id", "text", "run"), run, "node long, marks binary"))
+
+
+def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of `pairs` whose texts are near copies."""
+    texts = _texts_of(docs, named, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = _with_texts(durable(_with_texts(pairs, texts, "a").select("a", "b", "text_a")), texts, "b").select("a", "b", "text_a", "text_b")
 
     def verify(batch: pa.RecordBatch) -> dict:

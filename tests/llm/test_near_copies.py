@@ -90,7 +90,30 @@ def test_two_searches_of_a_long_run_connect_what_all_pairs_connect():
 
     first = near_copies.first_pairs(node, n, bits)
     linked = good(first)
-    apart = near_copies.pairs_apart(node, n, bits, np.array(roots(linked)))
+    marks = np.empty(len(texts), object)
+    marks[:] = [np.unique(near_copies._rolled(np.array([near_copies.xxhash.xxh64_intdigest(x.encode()) for x in t], np.uint64), near_copies.SHINGLE)) for t in texts]
+    apart = near_copies.pairs_apart(node, n, bits, np.array(roots(linked)), marks)
     every = [(a, b) for a in range(len(texts)) for b in range(a) if near_copies.similarity(raw[a], raw[b]) >= 0.8]
     assert roots([*linked, *good(apart)]) == roots(every)
+    assert good(apart) == list(zip(*(x.tolist() for x in apart)))  # with all marks, pairs are links
     assert len(first[0]) <= len(texts) * (near_copies.BEST + near_copies.PIVOTS + 1)
+    # with a part of the marks more pairs come, and none is lost
+    marks[:] = [m[: 64 + i % 90] for i, m in enumerate(marks)]
+    fewer = near_copies.pairs_apart(node, n, bits, np.array(roots(linked)), marks)
+    assert set(good(apart)) <= {p for a, b in zip(*(x.tolist() for x in fewer)) for p in ((a, b), (b, a))}
+
+
+def test_a_long_run_on_spark(spark):
+    """Over SMALL_RUN near copies, linked through their model alone, beside texts that share its passages and are no copies."""
+    r = np.random.default_rng(7)
+    model = [f"w{x}" for x in r.integers(0, 5000, 200)]
+    texts = [model] + [altered(model, 60, r) for _ in range(60)] + [altered(model, 14, r) for _ in range(40)] + [[*model[:150], *altered(model[150:], 5, r)] for _ in range(5)]
+    raw = [" ".join(t) for t in texts]
+    root = list(range(len(raw)))
+    alike = [(a, b) for a in range(len(raw)) for b in range(a) if near_copies.similarity(raw[a].encode(), raw[b].encode()) >= 0.8]
+    for _ in raw:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string").repartition(3)
+    assert sorted(x["doc_id"] for x in near_copies.one_of_each_group(docs).collect()) == sorted(set(root))
+    assert 1 < len(set(root)) < len(raw)
