@@ -15,9 +15,10 @@ def cache_key(provider: str, lon: Column, lat: Column, radius: Column) -> Column
 
 
 def load_missing(requests: DataFrame, cache: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses) of requests (key, ...): a cached row counts while its expires_at is not before now."""
-    live = cache.where(F.col("expires_at") >= now)
-    return requests.join(live.select("key", "value"), "key"), requests.join(live.select("key"), "key", "left_anti")
+    """(hits, misses) of requests (key, ...), each once: a cached row counts while its expires_at is not before now; of several
+    of a key the one that expires last counts, of those the greatest value."""
+    live = cache.where(F.col("expires_at") >= now).groupBy("key").agg(F.max(F.struct("expires_at", "value"))["value"].alias("value"))
+    return requests.join(live, "key"), requests.join(live.select("key"), "key", "left_anti")
 
 
 def purge(cache: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
