@@ -13,3 +13,11 @@ def test_a_request_meets_one_cached_row_of_its_key(spark):
     hits, misses = load_missing(requests, cache, F.timestamp_seconds(F.lit(20)))
     assert sorted((r["id"], r["value"]) for r in hits.collect()) == [("p", 3), ("q", 3)]
     assert [r["id"] for r in misses.collect()] == ["r"]
+
+
+def test_a_triangle_holds_points_within_its_tolerance_across_a_cell(spark):
+    from geoloom.operators.terrain import sample_tin
+
+    tri = spark.createDataFrame([(0, 1, 28.0, 1.0, 28.0, 128.0, 1.0, 28.0, 28.0, 1.0, 128.0)], "seed_id int, tri int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
+    spots = spark.createDataFrame([(0, 1, 27.95, 70.0), (0, 2, 27.9, 70.0), (0, 3, 29.0, 70.0)], "seed_id int, point int, x double, z double")
+    assert {r["point"]: r["how"] for r in sample_tin(spots, tri).collect()} == {1: "inside", 2: "vertex", 3: "inside"}
