@@ -21,3 +21,16 @@ def test_a_triangle_holds_points_within_its_tolerance_across_a_cell(spark):
     tri = spark.createDataFrame([(0, 1, 28.0, 1.0, 28.0, 128.0, 1.0, 28.0, 28.0, 1.0, 128.0)], "seed_id int, tri int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
     spots = spark.createDataFrame([(0, 1, 27.95, 70.0), (0, 2, 27.9, 70.0), (0, 3, 29.0, 70.0)], "seed_id int, point int, x double, z double")
     assert {r["point"]: r["how"] for r in sample_tin(spots, tri).collect()} == {1: "inside", 2: "vertex", 3: "inside"}
+
+
+def test_the_twin_of_sidewalks_lays_a_pair_whole_at_the_cap(spark):
+    import duckdb
+
+    from geoloom.plans.registry import ORACLES
+    from geoloom.plans import all_queries  # noqa: F401
+
+    # 15,999 dashes of earlier roads, then a pair that starts at the cap's last place
+    sql = ORACLES["g10_sidewalks_and_markings"]
+    where = sql.split("AS lift FROM q WHERE ")[1].split("),\n")[0]
+    rows = "SELECT 15999 AS n, 'marking' AS layer, 5 AS k UNION ALL SELECT 16000, 'sidewalk', 0 UNION ALL SELECT 16001, 'sidewalk', 1 UNION ALL SELECT 16002, 'marking', 2"
+    assert duckdb.sql(f"SELECT n FROM ({rows}) WHERE {where} ORDER BY n").fetchall() == [(15999,), (16000,), (16001,)]
