@@ -23,6 +23,14 @@ def test_a_triangle_holds_points_within_its_tolerance_across_a_cell(spark):
     assert {r["point"]: r["how"] for r in sample_tin(spots, tri).collect()} == {1: "inside", 2: "vertex", 3: "inside"}
 
 
+def test_scores_equal_but_for_noise_come_in_the_order_of_the_buildings(spark):
+    from geoloom.operators.buildings import nearest_buildings
+
+    buildings = spark.createDataFrame([(0, "a", 1, 10.0), (0, "b", 2, 10.0), (0, "c", 3, 10.0)], "seed_id int, id string, ord int, resolved_height double")
+    means = spark.createDataFrame([(0, "a", 30.0 + 1e-9, 40.0), (0, "b", -30.0, 40.0), (0, "c", 29.0, 40.0)], "seed_id int, id string, mean_x double, mean_z double")
+    assert {r["id"]: r["rank"] for r in nearest_buildings(buildings, means).collect()} == {"c": 1, "a": 2, "b": 3}
+
+
 def test_the_twin_of_sidewalks_lays_a_pair_whole_at_the_cap(spark):
     import duckdb
 
