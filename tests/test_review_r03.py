@@ -42,3 +42,19 @@ def test_the_twin_of_sidewalks_lays_a_pair_whole_at_the_cap(spark):
     where = sql.split("AS lift FROM q WHERE ")[1].split("),\n")[0]
     rows = "SELECT 15999 AS n, 'marking' AS layer, 5 AS k UNION ALL SELECT 16000, 'sidewalk', 0 UNION ALL SELECT 16001, 'sidewalk', 1 UNION ALL SELECT 16002, 'marking', 2"
     assert duckdb.sql(f"SELECT n FROM ({rows}) WHERE {where} ORDER BY n").fetchall() == [(15999,), (16000,), (16001,)]
+
+
+def test_dense_long_edges_are_copied_a_few_times(spark, monkeypatch):
+    import random
+
+    from geoloom.operators import spatial as S
+
+    rnd, rows, dealt = random.Random(3), [], []
+    for i in range(3000):
+        rows.append((0, f"e{i}", i, 0, *(rnd.uniform(-400, 400) for _ in range(4))))
+    edges = spark.createDataFrame(rows, "seed_id int, edge string, ord int, entry int, ax double, az double, bx double, bz double")
+    spots = spark.createDataFrame([(0, i, rnd.uniform(-400, 400), rnd.uniform(-400, 400)) for i in range(400)], "seed_id int, point int, x double, z double")
+    columns = S._columns_of
+    monkeypatch.setattr(S, "_columns_of", lambda *a: dealt.append(columns(*a)) or dealt[-1])
+    S._nearest_in_cells(spots, edges, "point", 16.0)
+    assert max(d.count() for d in dealt) < 5 * len(rows)
