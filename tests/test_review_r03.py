@@ -50,7 +50,7 @@ def test_dense_long_edges_are_copied_a_few_times(spark, monkeypatch):
     from geoloom.operators import spatial as S
 
     rnd, rows, dealt = random.Random(3), [], []
-    for i in range(3000):
+    for i in range(20_000):
         rows.append((0, f"e{i}", i, 0, *(rnd.uniform(-400, 400) for _ in range(4))))
     edges = spark.createDataFrame(rows, "seed_id int, edge string, ord int, entry int, ax double, az double, bx double, bz double")
     spots = spark.createDataFrame([(0, i, rnd.uniform(-400, 400), rnd.uniform(-400, 400)) for i in range(400)], "seed_id int, point int, x double, z double")
