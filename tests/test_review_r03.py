@@ -58,3 +58,22 @@ def test_dense_long_edges_are_copied_a_few_times(spark, monkeypatch):
     monkeypatch.setattr(S, "_columns_of", lambda *a: dealt.append(columns(*a)) or dealt[-1])
     S._nearest_in_cells(spots, edges, "point", 16.0)
     assert max(d.count() for d in dealt) < 5 * len(rows)
+
+
+def test_roads_are_stitched_in_one_stream(spark):
+    from geoloom.operators.roads import stitch_paths
+
+    kind = "id string, ord int, path array<struct<x:double,z:double>>"
+    rows = [(f"r{i}", k, [(float(i + 10 * k + j), 0.0) for j in range(11)] if k < 3 else None) for i in range(500) for k in (2, 0, 1, 3)]
+    rows += [(None, 0, [(0.0, 0.0), (5.0, 0.0)]), (None, 1, [(5.0, 0.0), (9.0, 0.0)]), ("empty", 0, [])]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = stitch_paths(spark.createDataFrame(rows, kind))
+        got = {r["id"]: [p["x"] for p in r["path"]] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {f"r{i}": [float(i + j) for j in range(31)] for i in range(500)} | {None: [0.0, 5.0, 9.0], "empty": []}
+    # a pandas call for each road took most of the time
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
