@@ -77,3 +77,26 @@ def test_roads_are_stitched_in_one_stream(spark):
     # a pandas call for each road took most of the time
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_and_visible_tiles_are_not_shuffled_as_pairs(spark):
+    from geoloom.operators.tiling import visible_tiles
+
+    at = spark.createDataFrame([(0, i, i * 40.0 - 400, 10.0, 300.0) for i in range(20)] + [(0, 99, None, None, 300.0)], "seed_id int, event_id int, x double, z double, radius double")
+    tiles = spark.createDataFrame([(0, i, j) for i in range(-9, 10) for j in range(-9, 10)] * 2 + [(1, 0, 0)], "seed_id int, tile_x int, tile_z int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = visible_tiles(at, tiles, "walk")
+        assert "SortMergeJoin" not in _plan(df)
+        got = sorted(tuple(r) for r in df.select("event_id", "tile_x", "tile_z").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    from geoloom.functions.resolve import streaming_range
+
+    reach = spark.range(1).select(streaming_range(F.lit("walk"), F.lit(300.0))["base"].alias("r")).first()["r"] + 300 * 2**0.5 / 2
+    assert got == sorted((i, a, b) for i in range(20) for a in range(-9, 10) for b in range(-9, 10) if ((a * 300 - (i * 40.0 - 400)) ** 2 + (b * 300 - 10.0) ** 2) ** 0.5 <= reach)
