@@ -100,3 +100,21 @@ def test_positions_and_visible_tiles_are_not_shuffled_as_pairs(spark):
 
     reach = spark.range(1).select(streaming_range(F.lit("walk"), F.lit(300.0))["base"].alias("r")).first()["r"] + 300 * 2**0.5 / 2
     assert got == sorted((i, a, b) for i in range(20) for a in range(-9, 10) for b in range(-9, 10) if ((a * 300 - (i * 40.0 - 400)) ** 2 + (b * 300 - 10.0) ** 2) ** 0.5 <= reach)
+
+
+def test_points_and_rings_are_decided_where_they_meet(spark):
+    from geoloom.operators import spatial as S
+
+    ring = lambda name, a, b: [(0, name, i, x, z) for i, (x, z) in enumerate(((a, a), (b, a), (b, b), (a, b), (a, a)))]
+    rings = spark.createDataFrame(ring("big", -150.0, 150.0) + ring("small", 10.0, 12.0) + ring("over", 5.0, 60.0), "seed_id int, id string, pos int, x double, z double")
+    spots = [(-100.0, 20.0), (11.0, 11.0), (8.0, 50.0), (149.5, 0.0), (151.0, 0.0), (200.0, 0.0), (-152.0, -152.0), (0.0, 0.0)]
+    points = spark.createDataFrame([(0, i, x, z) for i, (x, z) in enumerate(spots)], "seed_id int, point int, x double, z double")
+    inside = S.point_in_polygon(points, rings)
+    assert sorted((r["point"], r["id"]) for r in inside.collect()) == sorted((i, n) for i, (x, z) in enumerate(spots) for n, a, b in (("big", -150, 150), ("small", 10, 12), ("over", 5, 60)) if a < x < b and a < z < b)
+    seeds = spark.createDataFrame([(0, 1000.0)], "seed_id int, radius double")
+    free = S.can_occupy(points, rings, seeds)
+    assert sorted(r["point"] for r in free.collect()) == [5, 6]
+    # pairs of points and rings went through a shuffle by point
+    import re
+
+    assert not any(re.search(r"hashpartitioning\([^)]*point#", _plan(df)) for df in (inside, free))
