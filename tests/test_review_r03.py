@@ -118,3 +118,18 @@ def test_points_and_rings_are_decided_where_they_meet(spark):
     import re
 
     assert not any(re.search(r"hashpartitioning\([^)]*point#", _plan(df)) for df in (inside, free))
+
+
+def test_a_point_meets_one_row_of_an_elevation_tile(spark):
+    from geoloom.operators.terrain import sample_mosaic
+
+    n, size = 1 << 14, 2
+    pixels = spark.createDataFrame([(n // 2, n // 2 - 1, px, py, float(10 * px + py)) for px in (0, 1) for py in (0, 1)] + [(n // 2 + 1, n // 2 - 1, 0, 0, 5.0)], "tile_x int, tile_y int, px int, py int, elevation double")
+    lon = lambda share: 360 / n * share
+    points = spark.createDataFrame([(1, lon(0.25), 1e-9), (2, lon(0.75), 1e-9), (3, lon(1.25), 1e-9), (4, lon(3.5), 1e-9)], "point int, lon double, lat double")
+    df = sample_mosaic(points, pixels, 14, size)
+    got = {r["point"]: (r["missing"], r["elevation"]) for r in df.collect()}
+    # at the lower edge the last row stands for the next
+    assert {p: m for p, (m, _) in got.items()} == {1: False, 2: False, 3: True, 4: True}
+    assert abs(got[1][1] - 6.0) < 1e-3 and abs(got[2][1] - 11.0) < 1e-3
+    assert "Aggregate" not in _plan(df)
