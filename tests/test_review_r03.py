@@ -133,3 +133,18 @@ def test_a_point_meets_one_row_of_an_elevation_tile(spark):
     assert {p: m for p, (m, _) in got.items()} == {1: False, 2: False, 3: True, 4: True}
     assert abs(got[1][1] - 6.0) < 1e-3 and abs(got[2][1] - 11.0) < 1e-3
     assert "Aggregate" not in _plan(df)
+
+
+def test_clipping_works_each_term_out_once(spark):
+    from geoloom.functions import geo
+    from geoloom.operators.roads import clip_roads, path_segments
+
+    vertices = spark.createDataFrame([(0, "a", 0, -20.0, 0.0), (0, "a", 1, 20.0, 0.0), (0, "a", 2, 20.0, 30.0), (0, "b", 0, 3.0, 4.0), (0, "b", 1, 3.0, 4.0), (0, "b", 2, 5.0, 6.0)], "seed_id int, id string, pos int, x double, z double")
+    segments, seeds = path_segments(vertices), spark.createDataFrame([(0, 10.0)], "seed_id int, radius double")
+    df = clip_roads(segments, seeds)
+    got = sorted((r["id"], r["pos"], r["ax"], r["az"], r["bx"], r["bz"]) for r in df.collect())
+    assert got == [("a", 0, -10.0, 0.0, 10.0, 0.0), ("b", 0, 3.0, 4.0, 3.0, 4.0), ("b", 1, 3.0, 4.0, 5.0, 6.0)]
+    t = geo.clip_to_circle(*(F.col(c) for c in ("ax", "az", "bx", "bz")), F.lit(10.0))
+    assert segments.withColumns(t).where("t0 is not null").count() == len(got)
+    # the filter and both ends had a copy of the root each, in code too large to be compiled
+    assert _plan(df).split("== Initial Plan ==")[0].count("SQRT(") == 1
