@@ -148,3 +148,15 @@ def test_clipping_works_each_term_out_once(spark):
     assert segments.withColumns(t).where("t0 is not null").count() == len(got)
     # the filter and both ends had a copy of the root each, in code too large to be compiled
     assert _plan(df).split("== Initial Plan ==")[0].count("SQRT(") == 1
+
+
+def test_a_list_of_positions_is_read_once(spark):
+    from geoloom.sources.files import position_list
+
+    ring = [(35.0 + i / 1000, 139.0 + i / 1000, float(i)) for i in range(300)]
+    text = " ".join(f"{a} {b} {c}" for a, b, c in [*ring, ring[0]])
+    df = spark.createDataFrame([(1, text), (2, "35 139 1 95 185 2 36 140 3 x nan"), (3, ""), (4, None)], "id int, text string").select("id", position_list(F.col("text"), 3).alias("v"))
+    got = {r["id"]: r["v"] and [(v["lat"], v["lon"], v["elevation"]) for v in r["v"]] for r in df.collect()}
+    assert got == {1: ring, 2: [(35.0, 139.0, 1.0), (36.0, 140.0, 3.0)], 3: [], 4: []}
+    # the text was split again for each number of each vertex
+    assert df._jdf.queryExecution().analyzed().toString().count("split(") == 1
