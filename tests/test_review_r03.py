@@ -160,3 +160,28 @@ def test_a_list_of_positions_is_read_once(spark):
     assert got == {1: ring, 2: [(35.0, 139.0, 1.0), (36.0, 140.0, 3.0)], 3: [], 4: []}
     # the text was split again for each number of each vertex
     assert df._jdf.queryExecution().analyzed().toString().count("split(") == 1
+
+
+def test_vertices_of_roads_are_laid_out_by_road_once(spark, monkeypatch):
+    import re
+
+    from geoloom.operators.roads import path_segments
+    from geoloom.plans import views
+    from geoloom.plans.registry import Tables
+
+    folder = "/root/testdata/sf0.001"
+    needs, sql = views.VIEWS["road_vertices"]
+    stated = spark.sql(sql, **{n: views.view(spark, folder, n) for n in needs})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        monkeypatch.setattr(views.spread, "__defaults__", (100,))
+        made = views.view(spark, folder, "road_vertices")
+        segments = path_segments(Tables(spark, folder).road_points())
+        # the tasks' number stood still while the table grew, and a road's rows were shuffled again
+        assert not re.search(r"hashpartitioning\(seed_id#\d+, id#", _plan(segments))
+        n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+        assert segments.rdd.getNumPartitions() >= n // 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert made.dtypes == stated.dtypes and sorted(map(tuple, made.collect())) == sorted(map(tuple, stated.collect()))
