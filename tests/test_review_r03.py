@@ -185,3 +185,22 @@ def test_vertices_of_roads_are_laid_out_by_road_once(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert made.dtypes == stated.dtypes and sorted(map(tuple, made.collect())) == sorted(map(tuple, stated.collect()))
+
+
+def test_a_step_of_a_walk_reads_the_buckets_of_its_walkers(spark, monkeypatch):
+    from geoloom.operators import network as N
+
+    plans, keep = [], N.durable
+    monkeypatch.setattr(N, "durable", lambda df, *by: (plans.append(_plan(df)) if "trail" in df.columns else None) or keep(df, *by))
+    monkeypatch.setattr(N, "BUCKET_WAYS", 10, raising=False)
+    ways = spark.createDataFrame([(0, f"n{k}", f"n{k + 1}", f"e{k}", 10.0, False, k, 0) for k in range(60)], "seed_id int, node string, next_node string, edge string, length double, reversed boolean, ord int, entry int")
+    starts = spark.createDataFrame([(0, "n0", 7, 195.0), (1, "n5", 7, 50.0)], "seed_id int, node string, rng long, target double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = sorted((r["seed_id"], r["step"], r["edge"]) for r in N.seeded_walks(starts, ways).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(0, k, f"e{k}") for k in range(20)]
+    # each step sorted and shuffled the ways of all nodes
+    assert plans and not any("hashpartitioning" in p for p in plans) and "dynamicpruning" in plans[-1]
