@@ -204,3 +204,19 @@ def test_a_step_of_a_walk_reads_the_buckets_of_its_walkers(spark, monkeypatch):
     assert got == [(0, k, f"e{k}") for k in range(20)]
     # each step sorted and shuffled the ways of all nodes
     assert plans and not any("hashpartitioning" in p for p in plans) and "dynamicpruning" in plans[-1]
+
+
+def test_entries_of_a_road_come_from_one_row(spark):
+    from geoloom.operators.roads import graph_entries
+    from geoloom.plans.registry import Tables
+
+    vertices = spark.createDataFrame([(0, "a", 1, 500.0, k, 10.0 * k, 0.0) for k in range(4)] + [(0, "far", 2, 500.0, 0, 900.0, 0.0), (0, "far", 2, 500.0, 1, 0.0, 0.0), (0, "bare", 3, 500.0, 0, 0.0, 5.0), (0, "bare", 3, 500.0, 1, 3.0, 9.0)], "seed_id int, id string, ord int, radius double, pos int, x double, z double")
+    refs = spark.createDataFrame([(0, "a", 0, "near", 0.9, 14.0, 3.0), (0, "a", 0, "near", 0.9, 14.0, 3.0), (0, "a", 1, "off", 0.5, 14.0, 300.0), (0, "a", 2, "none", 1.0, None, None), (0, "far", 0, "x", 0.0, 0.0, 0.0)], "seed_id int, id string, ref_pos int, connector string, at double, x double, z double")
+    got = sorted((r["id"], r["entry"], r["offset"], r["x"], r["key"]) for r in graph_entries(vertices, refs).collect())
+    assert got == [
+        ("a", 0, 0.0, 0.0, None), ("a", 1, 10.0, 10.0, None), ("a", 2, 14.0, 14.0, "connector:near"), ("a", 3, 15.0, 15.0, "connector:off"), ("a", 4, 20.0, 20.0, None), ("a", 5, 30.0, 30.0, "connector:none"),
+        ("bare", 0, 0.0, 0.0, None), ("bare", 1, 5.0, 3.0, None),
+    ]
+    # references met all spans of their road in a join, after three readings of the vertices
+    plan = _plan(Tables(spark, "/root/testdata/sf0.001").entries())
+    assert plan.split("== Initial Plan ==")[0].count("lineitem.parquet") == 1 and "hashpartitioning(seed_id" not in plan
