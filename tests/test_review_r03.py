@@ -220,3 +220,14 @@ def test_entries_of_a_road_come_from_one_row(spark):
     # references met all spans of their road in a join, after three readings of the vertices
     plan = _plan(Tables(spark, "/root/testdata/sf0.001").entries())
     assert plan.split("== Initial Plan ==")[0].count("lineitem.parquet") == 1 and "hashpartitioning(seed_id" not in plan
+
+
+def test_world_stats_write_the_graph_once(spark, monkeypatch):
+    from geoloom.plans import queries_world as Q
+    from geoloom.plans.registry import Tables
+
+    written = []
+    monkeypatch.setattr(Q, "durable", lambda df: written.append(df.columns) or df)
+    Q.stats(Tables(spark, "/root/testdata/sf0.001"))
+    # nodes and edges, of which only counts are asked for, were written beside the pairs they are made of
+    assert not written
