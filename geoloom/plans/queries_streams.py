@@ -6,14 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import spatial as S
 from ..operators import tiling as T
 from ..operators.storage import shared_dir
 from ..streaming import run
 from ..streaming import telemetry as M
 from . import views
 from .queries_roads import placed_edges
-from .queries_world import TTL_MS, drive_route
+from .queries_world import ROAD, TTL_MS, drive_route, on_roads
 from .registry import ORACLES, query, rounded
 
 
@@ -37,14 +36,8 @@ def as_(twin: str) -> str:
 
 @query("s1_telemetry_stream", as_("s1_telemetry_enrich"))
 def _(t):
-    edges = placed_edges(t)
-
-    def match(batch):
-        near = S.nearest_road(batch.withColumn("point", F.col("event_id")), edges).select("seed_id", F.col("point").alias("event_id"), "edge", "distance")
-        roads = edges.select("seed_id", "edge", "kind", "width", "name")
-        return M.telemetry(batch.join(near, ["seed_id", "event_id"], "left").join(roads, ["seed_id", "edge"], "left")).select("event_id", "speed_kph", "road_name", "off_road")
-
-    return run.batches(positions(t, None), place(t), match).drop("batch")
+    edges = placed_edges(t, *ROAD)
+    return run.batches(positions(t, None), place(t), lambda b: on_roads(b, edges)).drop("batch")
 
 
 @query("s2_challenge_stream", as_("s2_challenge_progress"))

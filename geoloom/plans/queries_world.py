@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.resolve import terrarium
 from ..operators import buildings as B
 from ..operators import roads as R
+from ..operators import spatial as S
 from ..operators import streets as X
 from ..operators import terrain as E
 from ..operators import tiling as T
@@ -15,7 +16,7 @@ from ..operators import world as W
 from ..operators.storage import durable
 from ..sources import files as I
 from ..streaming import telemetry as M
-from .queries_roads import BUILT, EPN, NEAREST, built, entry_graph, matched
+from .queries_roads import BUILT, EPN, NEAREST, built, entry_graph, placed_edges
 from .registry import DEG, RAD, elev, query, r, rd, rounded, with_
 
 
@@ -320,10 +321,19 @@ def _(t):
     return W.attribution_document(a, t.seeds.join(W.source_details(t["buildings"]), "seed_id", "left"))
 
 
+#: What telemetry() asks of an edge.
+ROAD = ("kind", "width", "name")
+
+
+def on_roads(positions, edges):
+    """Positions of vehicles with the road that they are on; it comes with the match."""
+    near = S.nearest_road(positions, edges, "event_id", more=ROAD).select("seed_id", "event_id", "distance", *ROAD)
+    return M.telemetry(positions.join(near, ["seed_id", "event_id"], "left")).select("event_id", "speed_kph", "road_name", "off_road")
+
+
 @query("s1_telemetry_enrich", built(f"SELECT t.event_id, CAST(floor(abs(t.speed) * 3.6e0 + 0.5e0) AS INTEGER) AS speed_kph, coalesce(name, replace(kind, '_', ' '), 'No drivable road') AS road_name, coalesce(dist > width * 0.62e0 + 1.4e0, true) AS off_road FROM telemetry t LEFT JOIN (SELECT * FROM ({NEAREST}) WHERE k = 1) n ON n.event_id = t.event_id", "telemetry", more=EPN))
 def _(t):
-    m, e = matched(t)
-    return M.telemetry(m.join(e.select("seed_id", "edge", "kind", "width", "name"), ["seed_id", "edge"], "left")).select("event_id", "speed_kph", "road_name", "off_road")
+    return on_roads(t["telemetry"], placed_edges(t, *ROAD))
 
 
 def drive_route():
